@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from papergraph.llm.common import table
+from papergraph.llm.langid import fit_languages, identify_languages
+from papergraph.llm.quality import fit_quality, score_quality
 from papergraph.llm.sharding import BYTE_SHARDS_SQL, byte_shards
+from papergraph.llm.topk import TOP_K_SQL, exact_top_k
+
+
+def remainder(n: int):
+    """crc32 of the id as text, mod n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op7_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(4) == 2)
+    model = fit_quality(docs.where("NOT held_out"), table(spark, sf_dir, "labels").where(remainder(4) != 2))
+    return score_quality(docs, model, keep=["doc_id", "held_out"])
 
 
 def op9_sharding(spark, sf_dir):
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(3) == 1)
+    model = fit_languages(docs.where("NOT held_out"), "text", "lang", "doc_id")
+    return identify_languages(docs, model, keep=["doc_id", "held_out"]).drop("rejected")
+
+
 QUERIES = {
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES = {
+    "op7_exact_top_k": TOP_K_SQL,
     "op9_sharding": BYTE_SHARDS_SQL,
 }

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papergraph.llm.common import longs
+from papergraph.llm.common import longs, partitions, saved
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
@@ -72,7 +72,7 @@ def read_lists(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k
         dims = np.flatnonzero(q[j])
         weight = q[j][dims]
         tail = np.where(weight > 0, values[dims, 0], values[dims, -1]) * weight  # the least share each list can give
-        gained, read, take = np.zeros(n), 0, min(k + 1, n)
+        gained, read, take = np.zeros(n), 0, min(k + int((ids == own[j]).sum()), n)
         for depth in steps:
             for sign in (1, -1):
                 of = np.flatnonzero(np.sign(weight) == sign)
@@ -115,7 +115,46 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
         source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
         return source.mapInArrow(lambda b: _pack(b, "id", "v", scale, rows), _PACKED)
 
-    asked = packed(queries.coalesce(1) if queries.rdd.getNumPartitions() == 1 else queries, QUERY_ROWS)
-    blocks = packed(vectors, BLOCK_ROWS)
-    asked = asked.select(F.monotonically_increasing_id().alias("qb"), *[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "vectors")])
-    return asked, blocks
+    blocks = saved(packed(vectors, BLOCK_ROWS), "topk-blocks")
+    asked = packed(queries, QUERY_ROWS).select(
+        F.monotonically_increasing_id().alias("query_block"), *[F.col(c).alias(f"query_{c}") for c in ("n", "width", "ids", "vectors")]
+    )
+    asked = saved(asked, "topk-queries")
+    # Rows here are blocks, not vectors: each block of queries meets each block of rows.
+    met = asked.crossJoin(blocks).repartition(partitions(vectors), "query_block", "part")
+
+    def searched(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                width = max(row["width"], row["query_width"])
+                x = _matrix(row["vectors"], row["n"], row["width"], width)
+                q = _matrix(row["query_vectors"], row["query_n"], row["query_width"], width)
+                ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+                for j, best, scores in read_lists(x, ids, q, own, k):
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query_block": pa.array([row["query_block"]] * len(best), pa.int64()),
+                            "place": pa.array([j] * len(best), pa.int32()),
+                            "query_id": pa.array([own[j]] * len(best), pa.int64()),
+                            "vec_id": pa.array(best, pa.int64()),
+                            "score": pa.array(scores, pa.int64()),
+                        }
+                    )
+
+    found = met.mapInArrow(searched, "query_block long, place int, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_block", "place").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: For a table whose vectors are all of one width.
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
