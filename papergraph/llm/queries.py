@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papergraph.llm.chat import format_turns, read_back
 from papergraph.llm.common import table
+from papergraph.llm.decontaminate import contaminated
 from papergraph.llm.langid import fit_languages, identify_languages
+from papergraph.llm.mixing import mix_sources
+from papergraph.llm.ngram_join import NGRAM_COMPONENTS_SQL, ngram_components
 from papergraph.llm.quality import fit_quality, score_quality
 from papergraph.llm.sharding import BYTE_SHARDS_SQL, byte_shards
 from papergraph.llm.topk import TOP_K_SQL, exact_top_k
@@ -16,6 +20,25 @@ def remainder(n: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def op1_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_weight")
+
+
+def op2_ngram_join(spark, sf_dir):
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_turns(turns.unionByName(own)))
+
+
+def op4_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -38,6 +61,10 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_chat": op3_chat,
+    "op4_decontamination": op4_decontamination,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
@@ -45,6 +72,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_join": NGRAM_COMPONENTS_SQL,
     "op7_exact_top_k": TOP_K_SQL,
     "op9_sharding": BYTE_SHARDS_SQL,
 }
