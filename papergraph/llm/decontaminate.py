@@ -63,24 +63,26 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
         return df.withColumn("tokens", _tokens(F.col("text"))).withColumn("template", _template(F.col("tokens"))).withColumn("windows", _windows(F.col("template"), words))
 
     asked = templated(items)
-    wanted = saved(asked.select("item_id", F.explode("windows").alias("h")).distinct(), "template-windows")
+    wanted = saved(asked.select("item_id", F.explode_outer("windows").alias("h")).where("h IS NOT NULL").distinct(), "template-windows")
     totals = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     small = wanted.count() <= BROADCAST_WINDOWS
 
     def sized(df):
         return F.broadcast(df) if small else df
 
+    # explode_outer throughout: a plain explode makes the optimizer test the windows' size below the projections that
+    # hold tokens and templates, and work both out anew for each element.
     # Distinct hashes first, so that windows that many items share meet a document's windows once.
-    hit = templated(source).select("doc_id", F.explode("windows").alias("h")).join(sized(wanted.select("h").distinct()), "h", "left_semi")
+    hit = templated(source).select("doc_id", F.explode_outer("windows").alias("h")).join(sized(wanted.select("h").distinct()), "h", "left_semi")
     hit = saved(hit.distinct(), "template-hits")
     pairs = hit.join(sized(wanted), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
     pairs = pairs.join(sized(totals), "item_id").where(F.col("n_matched") >= least * F.col("n_windows"))
     pairs = saved(pairs, "template-pairs")
 
-    slots = asked.select("item_id", "tokens", F.posexplode("windows").alias("i", "h"), "template")
+    slots = asked.select("item_id", "tokens", F.posexplode_outer("windows").alias("i", "h"), "template")
     slots = slots.where(F.exists("template", lambda w: w.startswith("<"))).select("item_id", "h", "i", F.slice("tokens", F.col("i") + 1, words).alias("item_words"), F.slice("template", F.col("i") + 1, words).alias("kinds"))
     found = templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
-    found = found.select("doc_id", "tokens", F.posexplode("windows").alias("j", "h")).select("doc_id", "h", "j", F.slice("tokens", F.col("j") + 1, words).alias("doc_words"))
+    found = found.select("doc_id", "tokens", F.posexplode_outer("windows").alias("j", "h")).select("doc_id", "h", "j", F.slice("tokens", F.col("j") + 1, words).alias("doc_words"))
     filled = (
         found.join(sized(slots), "h")
         .join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
