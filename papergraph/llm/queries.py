@@ -11,6 +11,7 @@ from papergraph.llm.langid import fit_languages, identify_languages
 from papergraph.llm.mixing import mix_sources
 from papergraph.llm.ngram_join import NGRAM_COMPONENTS_SQL, ngram_components
 from papergraph.llm.quality import fit_quality, score_quality
+from papergraph.llm.repeats import remove_repeats
 from papergraph.llm.sharding import BYTE_SHARDS_SQL, byte_shards
 from papergraph.llm.topk import TOP_K_SQL, exact_top_k
 
@@ -39,6 +40,10 @@ def op4_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repeats(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_exact_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_chat": op3_chat,
     "op4_decontamination": op4_decontamination,
+    "op6_repeats": op6_repeats,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
