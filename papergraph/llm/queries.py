@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papergraph.llm.chat import format_turns, read_back
 from papergraph.llm.common import table
 from papergraph.llm.decontaminate import contaminated
+from papergraph.llm.html_text import extract_text
 from papergraph.llm.langid import fit_languages, identify_languages
 from papergraph.llm.mixing import mix_sources
 from papergraph.llm.ngram_join import NGRAM_COMPONENTS_SQL, ngram_components
@@ -40,6 +41,10 @@ def op4_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_chat": op3_chat,
     "op4_decontamination": op4_decontamination,
+    "op5_html": op5_html,
     "op6_repeats": op6_repeats,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_quality": op8_quality,
