@@ -50,8 +50,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     """doc_id, item_id, n_windows, n_matched, n_slots and slot_consistency of each document that holds an item.
 
     It does if it has at least that share of the item's distinct template windows, and if, in one alignment at least of
-    the two texts, that share of the item's slot values is each filled with one value all through. n_slots is 0 (and the
-    consistency 1) for an item without placeholders. All of every text is read; no Python runs on rows.
+    the two texts, that share of the item's values that fill several slots is each replaced by one value all through.
+    n_slots counts the item's slot values; without a repeated one (or any) the consistency is 1. All of every text is read; no Python runs on rows.
 
     Null, empty and wordless texts hold nothing and are held by nothing. Fewer words than a window are one window. Null
     ids take no part. Rows of one id count as one document. Empty tables give an empty result; other columns are not read.
@@ -86,14 +86,15 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     filled = (
         found.join(sized(slots), "h")
         .join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-        .select("doc_id", "item_id", (F.col("j") - F.col("i")).alias("shift"), F.explode(F.arrays_zip("kinds", "item_words", "doc_words")).alias("s"))
+        .select("doc_id", "item_id", "i", (F.col("j") - F.col("i")).alias("shift"), F.posexplode(F.arrays_zip("kinds", "item_words", "doc_words")).alias("k", "s"))
         .where(F.col("s.kinds").startswith("<"))
         .groupBy("doc_id", "item_id", "shift", "s.kinds", "s.item_words")
-        .agg(F.min("s.doc_words").alias("low"), F.max("s.doc_words").alias("high"))
+        .agg(F.min("s.doc_words").alias("low"), F.max("s.doc_words").alias("high"), (F.min(F.col("i") + F.col("k")) < F.max(F.col("i") + F.col("k"))).alias("again"))
         .groupBy("doc_id", "item_id", "shift")
-        .agg(F.count("*").alias("n_slots"), F.count_if(F.col("low") == F.col("high")).alias("steady"))
+        .agg(F.count("*").alias("n_slots"), F.count_if("again").alias("repeated"), F.count_if(F.col("again") & (F.col("low") == F.col("high"))).alias("steady"))
+        .withColumn("share", F.when(F.col("repeated") > 0, F.col("steady") / F.col("repeated")).otherwise(1.0))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("n_slots").alias("n_slots"), F.max(F.col("steady") / F.col("n_slots")).alias("slot_consistency"))
+        .agg(F.max("n_slots").alias("n_slots"), F.max("share").alias("slot_consistency"))
     )
     return (
         pairs.join(filled, ["doc_id", "item_id"], "left")
