@@ -19,7 +19,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def docs_of(spark, texts):
-    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in texts], SCHEMA)
 
 
 def corpus(seed=3, n=40):
