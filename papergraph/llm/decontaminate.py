@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from papergraph.llm.common import saved
 
-#: Up to so many windows (of about 40 bytes) the benchmark is broadcast; beyond, both sides are shuffled by hash.
-BROADCAST_WINDOWS = 500_000
+#: Up to so many windows (of about 200 bytes with their words) the benchmark is broadcast; beyond, both sides are shuffled by hash.
+BROADCAST_WINDOWS = 200_000
 #: Units of measure.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s ms min h hr hrs hours minutes seconds days weeks months years eur usd gbp kb mb gb tb hz w kw v a j k c f mph kmh".split()
 _NUMBER = r"^[^\p{L}\p{N}]*\p{N}[\p{N}.,:/]*[^\p{L}\p{N}]*$"
@@ -19,23 +19,38 @@ def _tokens(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _bare(word):
+    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+
 def _template(tokens):
-    """Tokens with typed placeholders: numbers, units after numbers, and capitalised words inside a sentence."""
+    """Tokens with typed placeholders: numbers, units after numbers, and capitalised words inside a sentence.
+
+    A name keeps its word behind the placeholder; _typed drops the word, _plain the placeholder.
+    """
 
     def canonical(word, i):
         before = F.when(i > 0, F.get(tokens, i - 1))
-        bare = F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        bare = _bare(word)
         return (
             F.when(word.rlike(_NUMBER), F.lit("<number>"))
             .when(word.rlike(_MEASURE), F.lit("<measure>"))
             .when(bare.isin(UNITS) & F.coalesce(before.rlike(_NUMBER), F.lit(False)), F.lit("<unit>"))
-            .when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}") & F.coalesce(~before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(False)), F.lit("<name>"))
+            .when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}") & F.coalesce(~before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(False)), F.concat(F.lit("<name>"), bare))
             .otherwise(bare)
         )
 
     return F.transform(tokens, canonical)
 
 
+def _typed(template):
+    return F.transform(template, lambda c: F.when(c.startswith("<name>"), F.lit("<name>")).otherwise(c))
+
+
+def _plain(template):
+    return F.transform(template, lambda c: F.when(c.startswith("<name>"), F.substr(c, F.lit(len("<name>") + 1))).otherwise(c))
+
+
 def _windows(template, words: int):
     """Hashes of the runs of that many tokens; a shorter template is one window."""
     n = F.size(template)
@@ -49,22 +64,30 @@ def _windows(template, words: int):
 def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots and slot_consistency of each document that holds an item.
 
-    It does if it has at least that share of the item's distinct template windows, and if, in one alignment at least of
-    the two texts, that share of the item's values that fill several slots is each replaced by one value all through.
-    n_slots counts the item's slot values; without a repeated one (or any) the consistency is 1. All of every text is read; no Python runs on rows.
+    It does if it has at least that share of the item's distinct template windows, and if, where the two texts agree at
+    the most places, that share of the item's values that fill several slots is each replaced by one value all through.
+    A window counts by its typed template or by the one that leaves names as words, so that texts all in capitals or in
+    small letters match. n_slots counts the item's slot values; without a repeated one (or any) the consistency is 1.
+    All of every text is read; no Python runs on rows.
 
     Null, empty and wordless texts hold nothing and are held by nothing. Fewer words than a window are one window. Null
     ids take no part. Rows of one id count as one document. Empty tables give an empty result; other columns are not read.
     """
     items = items.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("item_id IS NOT NULL")
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    none = F.array().cast("array<long>")
 
     def templated(df):
-        return df.withColumn("tokens", _tokens(F.col("text"))).withColumn("template", _template(F.col("tokens"))).withColumn("windows", _windows(F.col("template"), words))
+        coded = df.withColumn("tokens", _tokens(F.col("text"))).withColumn("template", _template(F.col("tokens")))
+        named = F.exists("template", lambda c: c.startswith("<name>"))
+        split = coded.withColumn("typed", _typed(F.col("template"))).withColumn("plain", F.when(named, _plain(F.col("template"))))
+        return split.withColumn("windows", _windows(F.col("typed"), words)).withColumn("plain_windows", F.coalesce(_windows(F.col("plain"), words), none))
 
     asked = templated(items)
-    wanted = saved(asked.select("item_id", F.explode_outer("windows").alias("h")).where("h IS NOT NULL").distinct(), "template-windows")
-    totals = wanted.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    both = asked.select("item_id", F.explode_outer(F.arrays_zip("windows", "plain_windows")).alias("x"))
+    both = both.select("item_id", F.col("x.windows").alias("w"), F.explode_outer(F.array("x.windows", "x.plain_windows")).alias("h"))
+    wanted = saved(both.where("h IS NOT NULL").distinct(), "template-windows")
+    totals = wanted.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"))
     small = wanted.count() <= BROADCAST_WINDOWS
 
     def sized(df):
@@ -73,28 +96,35 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     # explode_outer throughout: a plain explode makes the optimizer test the windows' size below the projections that
     # hold tokens and templates, and work both out anew for each element.
     # Distinct hashes first, so that windows that many items share meet a document's windows once.
-    hit = templated(source).select("doc_id", F.explode_outer("windows").alias("h")).join(sized(wanted.select("h").distinct()), "h", "left_semi")
+    hit = templated(source).select("doc_id", F.explode_outer(F.concat("windows", "plain_windows")).alias("h")).join(sized(wanted.select("h").distinct()), "h", "left_semi")
     hit = saved(hit.distinct(), "template-hits")
-    pairs = hit.join(sized(wanted), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"))
+    pairs = hit.join(sized(wanted), "h").groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_matched"))
     pairs = pairs.join(sized(totals), "item_id").where(F.col("n_matched") >= least * F.col("n_windows"))
     pairs = saved(pairs, "template-pairs")
 
-    slots = asked.select("item_id", "tokens", F.posexplode_outer("windows").alias("i", "h"), "template")
-    slots = slots.where(F.exists("template", lambda w: w.startswith("<"))).select("item_id", "h", "i", F.slice("tokens", F.col("i") + 1, words).alias("item_words"), F.slice("template", F.col("i") + 1, words).alias("kinds"))
-    found = templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"))
-    found = found.select("doc_id", "tokens", F.posexplode_outer("windows").alias("j", "h")).select("doc_id", "h", "j", F.slice("tokens", F.col("j") + 1, words).alias("doc_words"))
+    def placed(df, key, at, said):
+        """Each window by either template, with its place, what its tokens are, and the tokens."""
+        either = [df.select(key, "tokens", "typed", F.posexplode_outer(c).alias(at, "h")) for c in ("windows", "plain_windows")]
+        cut = either[0].union(either[1]).where("h IS NOT NULL")
+        return cut.select(key, "h", at, F.slice("typed", F.col(at) + 1, words).alias("kinds"), F.transform(F.slice("tokens", F.col(at) + 1, words), _bare).alias(said))
+
+    slots = placed(asked.where(F.exists("typed", lambda c: c.startswith("<"))), "item_id", "i", "item_words")
+    found = placed(templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id", "j", "doc_words").drop("kinds")
+    slot = F.col("kinds").startswith("<")
     filled = (
         found.join(sized(slots), "h")
         .join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
         .select("doc_id", "item_id", "i", (F.col("j") - F.col("i")).alias("shift"), F.posexplode(F.arrays_zip("kinds", "item_words", "doc_words")).alias("k", "s"))
-        .where(F.col("s.kinds").startswith("<"))
-        .groupBy("doc_id", "item_id", "shift", "s.kinds", "s.item_words")
-        .agg(F.min("s.doc_words").alias("low"), F.max("s.doc_words").alias("high"), (F.min(F.col("i") + F.col("k")) < F.max(F.col("i") + F.col("k"))).alias("again"))
+        .select("doc_id", "item_id", "shift", (F.col("i") + F.col("k")).alias("place"), "s.kinds", "s.item_words", "s.doc_words")
+        .distinct()
+        .groupBy("doc_id", "item_id", "shift", "kinds", "item_words")
+        .agg(F.min("doc_words").alias("low"), F.max("doc_words").alias("high"), F.count("*").alias("n"))
         .groupBy("doc_id", "item_id", "shift")
-        .agg(F.count("*").alias("n_slots"), F.count_if("again").alias("repeated"), F.count_if(F.col("again") & (F.col("low") == F.col("high"))).alias("steady"))
+        .agg(F.sum("n").alias("covered"), F.count_if(slot).alias("n_slots"), F.count_if(slot & (F.col("n") > 1)).alias("repeated"), F.count_if(slot & (F.col("n") > 1) & (F.col("low") == F.col("high"))).alias("steady"))
         .withColumn("share", F.when(F.col("repeated") > 0, F.col("steady") / F.col("repeated")).otherwise(1.0))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("n_slots").alias("n_slots"), F.max("share").alias("slot_consistency"))
+        .agg(F.max_by(F.struct("n_slots", "share"), F.struct("covered", "share", "n_slots")).alias("best"))
+        .select("doc_id", "item_id", "best.n_slots", F.col("best.share").alias("slot_consistency"))
     )
     return (
         pairs.join(filled, ["doc_id", "item_id"], "left")

@@ -95,6 +95,9 @@ def test_reparameterised_items_are_found(spark):
     assert set(got) == {1, 2} and got[2].n_slots > 0
     assert contaminated(docs_of(spark, [(6, mixed)]), items).count() == 0
     assert contaminated(rows.limit(0), items).count() == 0
+    named = "In spring Anna Berg and Carl Dahl walk with Anna from the town of Lund to the sea. Is it far for Carl and her?"
+    cases = docs_of(spark, [(1, "so. " + named), (2, "WE SAY " + named.upper()), (3, "we say " + named.lower()), (4, "so " + named.replace("Anna", "Eva").replace("Carl", "Finn")), (5, clean.upper())])
+    assert {r.doc_id for r in contaminated(cases, spark.createDataFrame([(7, named)], "item_id long, text string")).collect()} == {1, 2, 3, 4}
 
 
 def test_mixing_keeps_every_row_and_the_limit(spark):
