@@ -38,8 +38,9 @@ class Shingler:
         if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = _word_hash(w)
+        for w in words:
+            if w not in known:
+                known[w] = _word_hash(w)
         h = np.array([known[w] for w in words], np.uint64)
         width = min(self.n, len(h))
         out = np.full(len(h) - width + 1, width, np.uint64)
@@ -67,10 +68,16 @@ def ngram_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def counted(batches):
-        total, shingler = np.zeros(SKETCH, np.int64), Shingler(n)
+        total, shingler, held, size = np.zeros(SKETCH, np.int64), Shingler(n), [], 0
         for batch in batches:
             for t in batch.column("text"):
-                total += np.bincount((shingler(t.as_py()) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                held.append((shingler(t.as_py()) & np.uint64(SKETCH - 1)).astype(np.int64))
+                size += len(held[-1])
+                if size >= SKETCH:  # a pass over the whole sketch for that many n-grams, not for each text
+                    total += np.bincount(np.concatenate(held), minlength=SKETCH)
+                    held, size = [], 0
+        if size:
+            total += np.bincount(np.concatenate(held), minlength=SKETCH)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int64()), "c": pa.array(total[at], pa.int64())})
