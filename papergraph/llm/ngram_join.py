@@ -153,7 +153,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(got, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
 
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
+    # A row for each pair and fragment: the pieces stay where the removal of repeats has dealt them, for either join.
+    asked = pairs.select("a", "b", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment"))
+    met = asked.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     partial = met.mapInArrow(overlaps, "a long, b long, n_a long, n_b long, shared long")
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     return summed.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "shared")
