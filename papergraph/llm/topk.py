@@ -67,6 +67,9 @@ def read_lists(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k
     n, width = x.shape
     order = np.argsort(x, axis=0, kind="stable").T.astype(np.intp)
     values = np.take_along_axis(x.T, order, axis=1)
+    # Each row's place in each list: what is unread is told by place, as equal values can stand on both sides of the depth.
+    place = np.empty(order.shape, np.int32)
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[None], axis=1)
     steps = sorted({max(1, int(np.ceil(n * d))) for d in DEPTHS})
     for j in range(len(q)):
         dims = np.flatnonzero(q[j])
@@ -88,7 +91,8 @@ def read_lists(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k
             least = np.partition(gained, n - take)[n - take]
             if (head - tail).sum() < least:  # nothing unseen in every list can still qualify
                 open_rows = np.flatnonzero(gained < least)
-                unread = np.where(weight > 0, x[open_rows][:, dims] < values[dims, n - depth], x[open_rows][:, dims] > values[dims, depth - 1])
+                at = place[np.ix_(dims, open_rows)].T
+                unread = np.where(weight > 0, at < n - depth, at >= depth)
                 if not len(open_rows) or (gained[open_rows] + (unread * (head - tail)).sum(axis=1)).max() < least:
                     break
         # Those that stand: their scores in full, ties included.

@@ -13,7 +13,7 @@ from papergraph.llm.ngram_join import ngram_components
 from papergraph.llm.quality import score_quality
 from papergraph.llm.repeats import remove_repeats
 from papergraph.llm.sharding import byte_shards
-from papergraph.llm.topk import exact_top_k
+from papergraph.llm.topk import exact_top_k, read_lists
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -137,3 +137,14 @@ def test_language_quality_and_shards_on_odd_rows(spark):
     assert sorted(got, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "en"), (4, "en")], key=str)
     assert score_quality(rows, None).count() == 6
     assert byte_shards(rows, 2).count() == 6 and byte_shards(rows.limit(0)).count() == 0
+
+
+def test_top_k_with_many_equal_values():
+    x = np.array([[3, 9], [3, 0], [9, 2], [0, 0]])
+    assert [(list(i), list(s)) for _, i, s in read_lists(x, np.arange(4), np.array([[1, 1]]), np.array([9]), 1)] == [([0], [12])]
+    rng = np.random.default_rng(11)
+    for n, width, values, k in [(400, 2, 4, 1), (700, 3, 12, 5), (300, 6, 3, 5), (5, 2, 2, 5)]:
+        x, q = rng.integers(-values, values, (n, width)), rng.integers(-3, 4, (60, width))
+        for j, ids, scores in read_lists(x, np.arange(n), q, np.arange(60), k):
+            best = sorted((-int(q[j] @ x[i]), i) for i in range(n) if i != j)[:k]
+            assert [(-s, i) for s, i in zip(scores, ids, strict=True)] == best
