@@ -148,3 +148,21 @@ def test_top_k_with_many_equal_values():
         for j, ids, scores in read_lists(x, np.arange(n), q, np.arange(60), k):
             best = sorted((-int(q[j] @ x[i]), i) for i in range(n) if i != j)[:k]
             assert [(-s, i) for s, i in zip(scores, ids, strict=True)] == best
+
+
+def test_html_style_tree(spark):
+    def text_of(pages):
+        rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+        return [r.text for r in extract_text(rows).orderBy("page_id").collect()]
+
+    heads = ["Methods", "Results", "Data", "Limits", "Notes"]
+    # Few distinct headings, whatever the number of pages; the notice in an unnamed div is on all of them.
+    for n in (20, 400):
+        pages = [(f"http://h/{i}", f"<body><article><h2 class='sec'>{heads[i % 5]}</h2><p class='k'>{heads[i % 3]}</p><p>text {i}</p><div>All rights kept.</div></article></body>") for i in range(n)]
+        assert text_of(pages) == [f"{heads[i % 5]} {heads[i % 3]} text {i}" for i in range(n)]
+    # Copies of a page are no evidence.
+    copies = [("http://c/", "<body><div class='content'>same</div></body>")] * 90 + [(f"http://c/{i}", f"<body><div class='content'>own {i}</div></body>") for i in range(10)]
+    assert text_of(copies) == ["same"] * 90 + [f"own {i}" for i in range(10)]
+    # Words of a state, and words on an article.
+    state = "<body class='menu-open'><div class='has-sidebar no-comments'><article class='comment-page share'>kept <div class='share'>no</div></article></div></body>"
+    assert text_of([("http://s/", state)]) == ["kept"]
