@@ -163,6 +163,9 @@ def test_html_style_tree(spark):
     # Copies of a page are no evidence.
     copies = [("http://c/", "<body><div class='content'>same</div></body>")] * 90 + [(f"http://c/{i}", f"<body><div class='content'>own {i}</div></body>") for i in range(10)]
     assert text_of(copies) == ["same"] * 90 + [f"own {i}" for i in range(10)]
+    # No article: a menu and a notice in plain elements go, a text of one page stays where others hold the same.
+    plain = [(f"http://p/{i}", f"<body><ul><li>Home<li>News</ul><table><tr><td>We are closed.</table><div><p>page {i}</p></div><div id='x'>{'own' if i == 7 else 'none'}</div></body>") for i in range(60)]
+    assert text_of(plain) == [f"page {i}" + (" own" if i == 7 else "") for i in range(60)]
     # Words of a state, and words on an article.
     state = "<body class='menu-open'><div class='has-sidebar no-comments'><article class='comment-page share'>kept <div class='share'>no</div></article></div></body>"
     assert text_of([("http://s/", state)]) == ["kept"]
