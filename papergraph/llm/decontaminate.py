@@ -23,42 +23,61 @@ def _bare(word):
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
-def _template(tokens):
-    """Tokens with typed placeholders: numbers, units after numbers, and capitalised words inside a sentence.
+def _template(tokens, bare):
+    """Tokens with typed placeholders: numbers, units after numbers, and capitalised words.
 
-    A name keeps its word behind the placeholder; _typed drops the word, _plain the placeholder.
+    A name inside a sentence keeps its word behind <name>, a capitalised word at the start of one behind <first>.
     """
 
     def canonical(word, i):
         before = F.when(i > 0, F.get(tokens, i - 1))
-        bare = _bare(word)
+        plain = F.get(bare, i)
+        inside = F.coalesce(~before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(False))
         return (
             F.when(word.rlike(_NUMBER), F.lit("<number>"))
             .when(word.rlike(_MEASURE), F.lit("<measure>"))
-            .when(bare.isin(UNITS) & F.coalesce(before.rlike(_NUMBER), F.lit(False)), F.lit("<unit>"))
-            .when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}") & F.coalesce(~before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(False)), F.concat(F.lit("<name>"), bare))
-            .otherwise(bare)
+            .when(plain.isin(UNITS) & F.coalesce(before.rlike(_NUMBER), F.lit(False)), F.lit("<unit>"))
+            .when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), F.concat(F.when(inside, F.lit("<name>")).otherwise(F.lit("<first>")), plain))
+            .otherwise(plain)
         )
 
     return F.transform(tokens, canonical)
 
 
+def _word(code, *marks):
+    """The word behind any of the marks, else the code itself."""
+    for mark in marks:
+        code = F.when(code.startswith(mark), F.substr(code, F.lit(len(mark) + 1))).otherwise(code)
+    return code
+
+
 def _typed(template):
-    return F.transform(template, lambda c: F.when(c.startswith("<name>"), F.lit("<name>")).otherwise(c))
+    return F.transform(template, lambda c: F.when(c.startswith("<name>"), F.lit("<name>")).otherwise(_word(c, "<first>")))
 
 
 def _plain(template):
-    return F.transform(template, lambda c: F.when(c.startswith("<name>"), F.substr(c, F.lit(len("<name>") + 1))).otherwise(c))
+    return F.transform(template, lambda c: _word(c, "<name>", "<first>"))
 
 
-def _windows(template, words: int):
-    """Hashes of the runs of that many tokens; a shorter template is one window."""
-    n = F.size(template)
-    return (
-        F.when(n == 0, F.array().cast("array<long>"))
-        .when(n < words, F.array(F.xxhash64(F.array_join(template, " "))))
-        .otherwise(F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*[F.get(template, i + k) for k in range(words)])))
-    )
+def _every(template):
+    return F.transform(template, lambda c: F.when(c.startswith("<name>") | c.startswith("<first>"), F.lit("<name>")).otherwise(c))
+
+
+def _around(template, mark: str, words: int):
+    """Places of the windows that hold a token with the mark; elsewhere two templates agree."""
+    last = F.greatest(F.size(template) - words, F.lit(0))
+    marked = F.filter(F.transform(template, lambda c, i: F.when(c.startswith(mark), i)), lambda i: i.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(F.least(i, last) - F.greatest(F.least(i, last) - i + words - 1, F.lit(0)), F.lit(0)), F.least(i, last)))))
+
+
+def _windows(template, places, words: int):
+    """Hashes of the runs of that many tokens at the places; a shorter template is one window."""
+    return F.transform(places, lambda i: F.xxhash64(F.slice(template, i + 1, words)))
+
+
+def _named_windows(template, places, words: int):
+    """The same, but null where a window is nothing but names."""
+    return F.transform(places, lambda i: F.when(F.exists(F.slice(template, i + 1, words), lambda c: c != "<name>"), F.xxhash64(F.slice(template, i + 1, words))))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -66,8 +85,10 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
 
     It does if it has at least that share of the item's distinct template windows, and if, where the two texts agree at
     the most places, that share of the item's values that fill several slots is each replaced by one value all through.
-    A window counts by its typed template or by the one that leaves names as words, so that texts all in capitals or in
-    small letters match. n_slots counts the item's slot values; without a repeated one (or any) the consistency is 1.
+    A window counts by its typed template, by the one that leaves names as words, so that texts all in capitals or in
+    small letters match, or by the one that takes capitalised words at the start of a sentence for names as well (unless
+    it holds nothing else). There such a word's value is judged if the item has it as a name inside a sentence too.
+    Equal numbers before unlike words are values of their own, but not if some keep the item's number and others do not. n_slots counts the item's slot values; without a repeated one (or any) the consistency is 1.
     All of every text is read; no Python runs on rows.
 
     Null, empty and wordless texts hold nothing and are held by nothing. Fewer words than a window are one window. Null
@@ -75,18 +96,28 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     """
     items = items.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("item_id IS NOT NULL")
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    none = F.array().cast("array<long>")
 
     def templated(df):
-        coded = df.withColumn("tokens", _tokens(F.col("text"))).withColumn("template", _template(F.col("tokens")))
-        named = F.exists("template", lambda c: c.startswith("<name>"))
-        split = coded.withColumn("typed", _typed(F.col("template"))).withColumn("plain", F.when(named, _plain(F.col("template"))))
-        return split.withColumn("windows", _windows(F.col("typed"), words)).withColumn("plain_windows", F.coalesce(_windows(F.col("plain"), words), none))
+        coded = df.withColumn("tokens", _tokens(F.col("text"))).withColumn("bare", F.transform("tokens", _bare)).withColumn("template", _template(F.col("tokens"), F.col("bare")))
+        coded = coded.withColumns({"typed": _typed(F.col("template")), "plain": _plain(F.col("template")), "every": _every(F.col("template"))})
+        n = F.size("template")
+        coded = coded.withColumns(
+            {
+                "at_typed": F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(n - words, F.lit(0)))),
+                "at_plain": _around(F.col("template"), "<name>", words),
+                "at_every": _around(F.col("template"), "<first>", words),
+            }
+        )
+        return coded.withColumns({"by_typed": _windows(F.col("typed"), F.col("at_typed"), words), "by_plain": _windows(F.col("plain"), F.col("at_plain"), words), "by_every": _named_windows(F.col("every"), F.col("at_every"), words)})
+
+    def spots(df, *kept):
+        """A row for each window by any template: its place `at` and hash `h`."""
+        zipped = [F.arrays_zip(F.col(f"at_{c}").alias("at"), F.col(f"by_{c}").alias("h")) for c in ("typed", "plain", "every")]
+        return df.select(*kept, F.explode_outer(F.concat(*zipped)).alias("x")).select(*[k for k in kept], "x.at", "x.h").where("h IS NOT NULL")
 
     asked = templated(items)
-    both = asked.select("item_id", F.explode_outer(F.arrays_zip("windows", "plain_windows")).alias("x"))
-    both = both.select("item_id", F.col("x.windows").alias("w"), F.explode_outer(F.array("x.windows", "x.plain_windows")).alias("h"))
-    wanted = saved(both.where("h IS NOT NULL").distinct(), "template-windows")
+    both = spots(asked, "item_id", "by_typed").select("item_id", F.get("by_typed", F.col("at")).alias("w"), "h")
+    wanted = saved(both.distinct(), "template-windows")
     totals = wanted.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"))
     small = wanted.count() <= BROADCAST_WINDOWS
 
@@ -96,31 +127,32 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     # explode_outer throughout: a plain explode makes the optimizer test the windows' size below the projections that
     # hold tokens and templates, and work both out anew for each element.
     # Distinct hashes first, so that windows that many items share meet a document's windows once.
-    hit = templated(source).select("doc_id", F.explode_outer(F.concat("windows", "plain_windows")).alias("h")).join(sized(wanted.select("h").distinct()), "h", "left_semi")
+    hit = templated(source).select("doc_id", F.explode_outer(F.concat("by_typed", "by_plain", "by_every")).alias("h")).join(sized(wanted.select("h").distinct()), "h", "left_semi")
     hit = saved(hit.distinct(), "template-hits")
     pairs = hit.join(sized(wanted), "h").groupBy("doc_id", "item_id").agg(F.count_distinct("w").alias("n_matched"))
     pairs = pairs.join(sized(totals), "item_id").where(F.col("n_matched") >= least * F.col("n_windows"))
     pairs = saved(pairs, "template-pairs")
 
-    def placed(df, key, at, said):
-        """Each window by either template, with its place, what its tokens are, and the tokens."""
-        either = [df.select(key, "tokens", "typed", F.posexplode_outer(c).alias(at, "h")) for c in ("windows", "plain_windows")]
-        cut = either[0].union(either[1]).where("h IS NOT NULL")
-        return cut.select(key, "h", at, F.slice("typed", F.col(at) + 1, words).alias("kinds"), F.transform(F.slice("tokens", F.col(at) + 1, words), _bare).alias(said))
-
-    slots = placed(asked.where(F.exists("typed", lambda c: c.startswith("<"))), "item_id", "i", "item_words")
-    found = placed(templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id", "j", "doc_words").drop("kinds")
+    # What the slots of an item are, and for numbers the word that follows, which tells equal values of unlike slots apart.
+    names = F.filter("template", lambda c: c.startswith("<name>"))
+    kinds = F.transform("template", lambda c: F.when(c.startswith("<name>") | (c.startswith("<first>") & F.array_contains(F.col("names"), F.concat(F.lit("<name>"), _word(c, "<first>")))), F.lit("<name>")).otherwise(_word(c, "<first>")))
+    roles = F.transform("template", lambda c, i: F.when(c.startswith("<number>") | c.startswith("<measure>"), F.coalesce(F.get("bare", i + 1), F.lit(""))).otherwise(F.lit("")))
+    slots = asked.where(F.exists("template", lambda c: c.startswith("<"))).withColumn("names", names).withColumn("kinds", kinds).withColumn("roles", roles)
+    slots = spots(slots, "item_id", "bare", "kinds", "roles").select("item_id", "h", F.col("at").alias("i"), *[F.slice(c, F.col("at") + 1, words).alias(a) for c, a in (("kinds", "kinds"), ("roles", "roles"), ("bare", "item_words"))])
+    found = spots(templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id", "bare").select("doc_id", "h", F.col("at").alias("j"), F.slice("bare", F.col("at") + 1, words).alias("doc_words"))
     slot = F.col("kinds").startswith("<")
     filled = (
         found.join(sized(slots), "h")
         .join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-        .select("doc_id", "item_id", "i", (F.col("j") - F.col("i")).alias("shift"), F.posexplode(F.arrays_zip("kinds", "item_words", "doc_words")).alias("k", "s"))
-        .select("doc_id", "item_id", "shift", (F.col("i") + F.col("k")).alias("place"), "s.kinds", "s.item_words", "s.doc_words")
+        .select("doc_id", "item_id", "i", (F.col("j") - F.col("i")).alias("shift"), F.posexplode(F.arrays_zip("kinds", "roles", "item_words", "doc_words")).alias("k", "s"))
+        .select("doc_id", "item_id", "shift", (F.col("i") + F.col("k")).alias("place"), "s.kinds", "s.roles", "s.item_words", "s.doc_words")
         .distinct()
-        .groupBy("doc_id", "item_id", "shift", "kinds", "item_words")
+        .groupBy("doc_id", "item_id", "shift", "kinds", "item_words", "roles")
         .agg(F.min("doc_words").alias("low"), F.max("doc_words").alias("high"), F.count("*").alias("n"))
+        .groupBy("doc_id", "item_id", "shift", "kinds", "item_words")
+        .agg(F.sum("n").alias("n"), F.every(F.col("low") == F.col("high")).alias("same"), F.some(F.col("low") == F.col("item_words")).alias("kept"), F.some(F.col("low") != F.col("item_words")).alias("changed"))
         .groupBy("doc_id", "item_id", "shift")
-        .agg(F.sum("n").alias("covered"), F.count_if(slot).alias("n_slots"), F.count_if(slot & (F.col("n") > 1)).alias("repeated"), F.count_if(slot & (F.col("n") > 1) & (F.col("low") == F.col("high"))).alias("steady"))
+        .agg(F.sum("n").alias("covered"), F.count_if(slot).alias("n_slots"), F.count_if(slot & (F.col("n") > 1)).alias("repeated"), F.count_if(slot & (F.col("n") > 1) & F.col("same") & ~(F.col("kept") & F.col("changed"))).alias("steady"))
         .withColumn("share", F.when(F.col("repeated") > 0, F.col("steady") / F.col("repeated")).otherwise(1.0))
         .groupBy("doc_id", "item_id")
         .agg(F.max_by(F.struct("n_slots", "share"), F.struct("covered", "share", "n_slots")).alias("best"))

@@ -169,3 +169,14 @@ def test_html_style_tree(spark):
     # Words of a state, and words on an article.
     state = "<body class='menu-open'><div class='has-sidebar no-comments'><article class='comment-page share'>kept <div class='share'>no</div></article></div></body>"
     assert text_of([("http://s/", state)]) == ["kept"]
+
+
+def test_names_at_sentence_starts_and_equal_numbers(spark):
+    tom = "Tom has 3 apples. Tom buys 2 more. How many apples does Tom have?"
+    fruit = "A basket holds 2 apples and another basket holds 2 pears while both of them stand on one table in the hall"
+    short = "Anna sings."
+    items = spark.createDataFrame([(1, tom), (2, fruit), (3, short)], "item_id long, text string")
+    texts = [tom.replace("Tom", "Ann"), tom.replace("Tom", "Ann", 1).replace("Tom", "Bob"), fruit.replace("2 apples", "5 apples").replace("2 pears", "7 pears"), fruit.replace("2 pears", "7 pears")]
+    texts += [tom.replace("Tom", "Ann").upper(), "Eva sings.", "The dog and the cat of Tom have 3 apples and buy 2 more as they do have many"]
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, [*enumerate(texts)]), items).collect()}
+    assert got == {(0, 1), (2, 2), (5, 3)}
