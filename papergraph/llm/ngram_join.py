@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papergraph.llm.common import mixed, partitions, saved
@@ -54,6 +54,16 @@ def _order(sketch: bytes) -> np.ndarray:
     return np.log2(np.frombuffer(sketch, np.int64) + 1).astype(np.uint64)
 
 
+def _fragments(sketch: bytes) -> np.ndarray:
+    """For each slot of the sketch its range of the global order; the ranges hold about equally many n-grams."""
+    counts = np.frombuffer(sketch, np.int64)
+    order = np.lexsort((np.arange(SKETCH), _order(sketch)))
+    upto = np.cumsum(counts[order])
+    out = np.empty(SKETCH, np.int64)
+    out[order] = np.minimum((upto - counts[order]) * FRAGMENTS // max(int(upto[-1]), 1), FRAGMENTS - 1)
+    return out
+
+
 def _prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     """The n-grams of which one at least is in the prefix of every set that is similar enough, in the global order."""
     n = len(shingles)
@@ -117,26 +127,26 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("key", "n_shingles", "prefix").mapInArrow(spread, "gram long, key long, n int, at int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, held: bytes, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that are similar enough, with their overlap.
 
-    The sets of the classes named are cut into FRAGMENTS ranges of the n-gram order; each range's overlaps are counted
-    apart and summed up for each pair.
+    The sets of the classes named are cut into FRAGMENTS ranges of the global order of n-grams (rare ones first); each
+    range's overlaps are counted apart and summed up for each pair.
     """
     named = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     one = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(named, "key", "left_semi")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(one.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def cut(batches):
-        shingler = Shingler(n)
+        shingler, ranges = Shingler(n), _fragments(held)
         for batch in batches:
             for t in batch.column("text"):
                 s = shingler(t.as_py())
                 if not len(s):
                     continue
                 key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                edges = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS))
-                parts = np.split(s, edges)
+                at = ranges[s & np.uint64(SKETCH - 1)]
+                parts = [s[at == i] for i in range(FRAGMENTS)]
                 yield pa.RecordBatch.from_pydict(
                     {"key": pa.array([key] * FRAGMENTS, pa.int64()), "fragment": pa.array(range(FRAGMENTS), pa.int32()), "size": pa.array([len(s)] * FRAGMENTS, pa.int64()), "grams": pa.array([p.tobytes() for p in parts], pa.binary())}
                 )
@@ -161,57 +171,54 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent
     return summed.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "shared")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles (size of its set) and component_id (least doc_id that links reach) for each row of docs.
+def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join: every link between different sets, and the rows' membership of the sets.
 
-    Rows whose sets are equal form a class; classes are compared, never their copies. Candidates share an n-gram of
-    their prefixes in the global order (rare n-grams first). First each class meets its neighbours, by size, among those
-    that share an n-gram, and the best of these is checked; the links found make components. Then every pair of classes
-    of different components that shares a prefix n-gram, and whose sizes and places allow the similarity, is checked. So
-    no link that could join two components is lost, and a large group of near copies costs no more than its size.
+    Links are a < b (keys of sets) and shared, the n-grams in both. Members are doc_id, n_shingles, key and n_links of each
+    row of docs: the set's links, so 0 for an empty set (whose key is null), and null for a null id.
 
-    A null, empty or wordless text has an empty set and is linked with nothing. With fewer than n words the whole
-    sequence is one n-gram. Rows with a null id get a null component and take no part. Repeated rows stay. Rows of one
-    id but different texts are rows of their own. An empty table gives an empty result; other columns are not read.
+    Rows whose sets are equal form a class; classes are compared, never their copies. Candidates share an n-gram of
+    their prefixes in the global order (rare n-grams first), and their sizes and places allow the similarity; each is
+    checked by its overlaps in the fragments of that order. No pair is left out because others link its ends already.
     """
     sets, held = ngram_sets(docs, n, percent, id_col, text_col)
     known = sets.where("doc_id IS NOT NULL AND key IS NOT NULL")
     entries = saved(_entries(known.dropDuplicates(["key"])), "ngram-entries")
     shared = entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     entries = saved(entries.join(shared, "gram", "left_semi"), "ngram-shared")
-
-    near = F.least("n", "o_n") * 100 >= percent * F.greatest("n", "o_n")
-    by_size = Window.partitionBy("gram").orderBy("n", "key")
-    chain = entries.select("key", "n", F.lag("key").over(by_size).alias("o_key"), F.lag("n").over(by_size).alias("o_n"))
-    hubs = entries.select("key", "n", F.first("key").over(Window.partitionBy("gram").orderBy(F.xxhash64("key"), "key")).alias("o_key"), F.first("n").over(Window.partitionBy("gram").orderBy(F.xxhash64("key"), "key")).alias("o_n"))
-    met = chain.union(hubs).where((F.col("key") != F.col("o_key")) & near)
-    counted = met.groupBy(F.col("key").alias("a"), F.col("o_key").alias("b")).agg(F.count("*").alias("c"))
-    best = counted.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    links = saved(verified(saved(best, "ngram-first"), docs, known, n, percent, id_col, text_col), "ngram-links")
-    joined = connected_components(links, "a", "b")
-
-    placed = entries.join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = saved(placed, "ngram-placed")
-    split = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    open_ = placed.join(split, "gram", "left_semi")
-    x = open_.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
-    y = open_.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("c_b"))
+    x = entries.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    y = entries.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
-    rest = (
+    pairs = (
         x.join(y, "gram")
-        .where((F.col("c_a") < F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")))
+        .where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")))
         .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= needed)
         .select("a", "b")
         .distinct()
     )
-    rest = verified(saved(rest, "ngram-rest"), docs, known, n, percent, id_col, text_col)
-    every = links.select("a", "b").union(rest.select("a", "b"))
-    merged = saved(connected_components(every, "a", "b"), "ngram-merged")
+    links = saved(verified(saved(pairs, "ngram-pairs"), docs, known, held, n, percent, id_col, text_col), "ngram-links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    return links, sets.select("doc_id", "n_shingles", "key").join(ends, "key", "left").select("doc_id", "n_shingles", "key", n_links.alias("n_links"))
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles (size of its set) and component_id (least doc_id that links reach) for each row of docs.
+
+    The links are those of ngram_links, all of them.
+
+    A null, empty or wordless text has an empty set and is linked with nothing. With fewer than n words the whole
+    sequence is one n-gram. Rows with a null id get a null component and take no part. Repeated rows stay. Rows of one
+    id but different texts are rows of their own. An empty table gives an empty result; other columns are not read.
+    """
+    links, members = ngram_links(docs, n, percent, id_col, text_col)
+    merged = saved(connected_components(links, "a", "b"), "ngram-merged")
+    known = members.where("doc_id IS NOT NULL AND key IS NOT NULL")
     least = known.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(merged.withColumnRenamed("id", "key"), "key", "left")
     least = least.withColumn("component", F.coalesce("component", "key"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = least.join(names, "component").select("key", "component_id")
-    out = sets.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    out = members.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
 

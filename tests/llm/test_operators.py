@@ -9,7 +9,7 @@ from papergraph.llm.decontaminate import contaminated
 from papergraph.llm.html_text import extract_text
 from papergraph.llm.langid import fit_languages, identify_languages
 from papergraph.llm.mixing import epochs_at, mix_sources, solve_exponent
-from papergraph.llm.ngram_join import ngram_components
+from papergraph.llm.ngram_join import ngram_components, ngram_links
 from papergraph.llm.quality import score_quality
 from papergraph.llm.repeats import remove_repeats
 from papergraph.llm.sharding import byte_shards
@@ -180,3 +180,23 @@ def test_names_at_sentence_starts_and_equal_numbers(spark):
     texts += [tom.replace("Tom", "Ann").upper(), "Eva sings.", "The dog and the cat of Tom have 3 apples and buy 2 more as they do have many"]
     got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, [*enumerate(texts)]), items).collect()}
     assert got == {(0, 1), (2, 2), (5, 3)}
+
+
+def test_ngram_links_against_all_pairs(spark):
+    rows = [*corpus(), (None, "a b c d e f")]
+    rows += [(200 + i, " ".join(f"v{j}" if j != 20 * i else "z" for j in range(80))) for i in range(4)]  # all linked with each other
+    rows.append((300, rows[-1][1]))
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split() if i not in (103, 104) else t.split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    kinds = {s for i, s in sets.items() if s and i is not None}
+    linked = {s: [o for o in kinds if o != s and 100 * len(s & o) >= 80 * len(s | o)] for s in kinds}
+    links, members = ngram_links(docs_of(spark, rows))
+    got = members.collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: None if i is None else len(linked.get(s, [])) for i, s in sets.items()}
+    of = {r.key: sets[r.doc_id] for r in got if r.doc_id is not None and r.key is not None}
+    found = [(frozenset((of[r.a], of[r.b])), r.shared) for r in links.collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(frozenset((s, o)), len(s & o)) for s in kinds for o in linked[s]}
+    assert max(len(o) for o in linked.values()) >= 3
