@@ -78,6 +78,10 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return outer.join(inner, "community", "left").join(F.broadcast(m)).select("community", F.round(share, 6).alias("modularity"))
 
 
+#: A middle node of more neighbours than this has its wedges made in several parts.
+HOT_DEGREE = 2000
+
+
 def structural_gaps(edges: DataFrame, least: int = 3) -> DataFrame:
     """Pairs without an edge that share at least `least` neighbours: concept_a < concept_b, shared, score.
 
@@ -86,7 +90,11 @@ def structural_gaps(edges: DataFrame, least: int = 3) -> DataFrame:
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
     near = pairs.select(F.col("a").alias("node"), F.col("b").alias("mid")).unionAll(pairs.select("b", "a"))
     degree = near.groupBy("node").agg(F.count("*").alias("degree"))
-    wedges = near.select("mid", F.col("node").alias("a")).join(near.select("mid", F.col("node").alias("b")), "mid").where("a < b")
+    parts = degree.select(F.col("node").alias("mid"), F.ceil(F.col("degree") / HOT_DEGREE).cast("int").alias("parts"))
+    dealt = near.join(parts, "mid")
+    left = dealt.select("mid", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    right = dealt.select("mid", F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wedges = left.join(right, ["mid", "part"]).where("a < b")
     shared = wedges.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).join(pairs, ["a", "b"], "left_anti")
     return (
         shared.join(degree.select(F.col("node").alias("a"), F.col("degree").alias("d_a")), "a")

@@ -23,12 +23,17 @@ def _authors(spark, sf_dir):
     return networks.cooccurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-def _strong(spark, sf_dir):
-    """Edges between suppliers and part names with 15 orders at least."""
+def _supplies(spark, sf_dir):
+    """All edges between suppliers and part names, weighted by orders."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     named = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), lines["l_partkey"] == F.col("p_partkey"))
     edges = named.groupBy(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("p_name")).alias("dst"))
-    return edges.agg(F.countDistinct("l_orderkey").alias("weight")).where("weight >= 15")
+    return edges.agg(F.countDistinct("l_orderkey").alias("weight"))
+
+
+def _strong(spark, sf_dir):
+    """Those with 15 orders at least, as in the SQL."""
+    return _supplies(spark, sf_dir).where("weight >= 15")
 
 
 def _orders(spark, sf_dir):
@@ -83,6 +88,10 @@ QUERIES = {
     "modularity_by_nation": _modularity,
     "components": lambda s, d: connected_components(_strong(s, d)),
     "gaps_structural": lambda s, d: networks.structural_gaps(_strong(s, d)),
+    # Over the whole edge tables; the three of the same names without _whole are cut as their SQL is.
+    "clustering_whole": lambda s, d: networks.clustering(_authors(s, d)),
+    "components_whole": lambda s, d: connected_components(_supplies(s, d)),
+    "gaps_structural_whole": lambda s, d: networks.structural_gaps(_supplies(s, d)),
     "gaps_temporal": _temporal,
     "kg_edges": _kg,
     "publication_trend": lambda s, d: reports.trend(_orders(s, d), "year"),
