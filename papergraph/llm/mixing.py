@@ -55,11 +55,12 @@ def solve_exponent(tokens: dict[str, int], max_epochs: float | None = None, targ
 
 
 def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy: float | None = None, seed: str = "mix", source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as its source's budget says, with mix_epoch (from 0), mix_block and mix_weight.
+    """The rows of docs, each as often as its source's budget says, with mix_epoch (from 0), mix_block, mix_position (from 0) and mix_weight.
 
     A row's tokens are its words. The budget of a source is its weight times the tokens of the whole mix, which is sized
     so that every source is read once at least: no row is lost. A source's rows are dealt by a hash of id and text into
-    BLOCKS blocks; each epoch puts the blocks in an order of its own, and the last, unfinished epoch takes the blocks
+    BLOCKS blocks; each epoch puts the blocks in an order of its own (mix_position: the place of
+    the row's block in it), and the last, unfinished epoch takes the blocks
     whose tokens, in that order, end within the budget (of those that remain, the one that the budget cuts is taken
     if at least half of it fits). Only totals for each source and block are gathered, and joined back by source and block.
 
@@ -67,7 +68,7 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy:
     weighted. Repeated rows stay and go together. An empty table gives an empty result; columns of docs that are named
     like the new ones are replaced. The number of sources must fit on the driver: a row for each, nothing for each document.
     """
-    added = ("mix_epoch", "mix_block", "mix_weight")
+    added = ("mix_epoch", "mix_block", "mix_position", "mix_weight")
     kept = [c for c in docs.columns if c not in added]
     words = F.greatest(F.size(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"\s+"), lambda w: w != "")), F.lit(1)).cast("long")
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(BLOCKS)).cast("int")
@@ -76,7 +77,7 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy:
     totals = saved(totals, "mix-blocks")
     tokens = {r[0]: r[1] for r in totals.groupBy("_source").agg(F.sum("_tokens")).collect()}
     if not tokens:
-        return dealt.withColumns({"mix_epoch": F.lit(0), "mix_weight": F.lit(0.0)}).select(*kept, *added)
+        return dealt.withColumns({"mix_epoch": F.lit(0), "mix_position": F.lit(0), "mix_weight": F.lit(0.0)}).select(*kept, *added)
     exponent = solve_exponent(tokens, max_epochs, target_entropy)
     weights, epochs = weights_at(tokens, exponent), epochs_at(tokens, exponent)
     plan = docs.sparkSession.createDataFrame(
@@ -86,8 +87,10 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy:
     planned = totals.join(plan, totals["_source"].eqNullSafe(plan["_source"])).select(totals["_source"], "_block", "_tokens", "mix_weight", "_whole", "_left")
     planned = planned.withColumn("_upto", F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     planned = planned.select("_source", "_block", "mix_weight", (F.col("_whole") + (F.col("_upto") - F.col("_tokens") / 2 <= F.col("_left")).cast("int")).alias("_times"))
-    # BLOCKS rows for each source: broadcast while that is small, which a look at the number of sources settles.
-    side = F.broadcast(planned) if len(tokens) * BLOCKS <= 500_000 else planned
+    planned = planned.select("_source", "_block", "mix_weight", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("mix_epoch"))
+    inside = Window.partitionBy("_source", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "_source", "mix_epoch", "_block"), "_block")
+    planned = planned.withColumn("mix_position", F.row_number().over(inside) - 1)
+    # BLOCKS rows for each source and epoch: broadcast while that is small, which a look at the number of sources settles.
+    side = F.broadcast(planned) if sum(math.ceil(e) for e in epochs.values()) * BLOCKS <= 500_000 else planned
     met = dealt.join(side, dealt[f"`{source_col}`"].eqNullSafe(side["_source"]) & (dealt["mix_block"] == side["_block"]))
-    read = met.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    return read.select(*kept, *added)
+    return met.select(*kept, *added)

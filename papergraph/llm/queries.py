@@ -23,7 +23,7 @@ def remainder(n: int):
 
 
 def op1_mixing(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_weight")
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_weight")
 
 
 def op2_ngram_join(spark, sf_dir):

@@ -200,3 +200,13 @@ def test_ngram_links_against_all_pairs(spark):
     assert len(found) == len(set(found))
     assert set(found) == {(frozenset((s, o)), len(s & o)) for s in kinds for o in linked[s]}
     assert max(len(o) for o in linked.values()) >= 3
+
+
+def test_mixing_orders_blocks_anew_in_each_epoch(spark):
+    rows = spark.createDataFrame([(i, f"w {i}", "en", "big" if i % 9 else "small", 1) for i in range(3000)], SCHEMA)
+    orders = {}
+    for r in mix_sources(rows).select("source", "mix_epoch", "mix_block", "mix_position").distinct().collect():
+        assert orders.setdefault((r.source, r.mix_epoch), {}).setdefault(r.mix_position, r.mix_block) == r.mix_block
+    assert all(sorted(o) == list(range(len(o))) and len(set(o.values())) == len(o) for o in orders.values())
+    first, second = ([b for _, b in sorted(orders["small", e].items())] for e in (0, 1))
+    assert sorted(first) != first and first[: len(second)] != second
