@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from papergraph.llm.common import saved, table
 from papergraph.llm.decontaminate import contaminated
 from papergraph.llm.langid import fit_languages, identify_languages
@@ -19,16 +21,25 @@ def language(spark, docs, sf_dir):
     return identify_languages(docs, model, keep=COLUMNS).where("NOT rejected").select(*COLUMNS)
 
 
+def keyed(docs, name):
+    """The rows with a key of their own, as ids may be null or repeated; written, so that the keys stay."""
+    return saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), name)
+
+
 def near_copies(spark, docs, sf_dir):
-    """Keeps the document with the smallest id of each component; documents with a null id stay."""
-    named = ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").select(*COLUMNS).union(docs.join(named, "doc_id", "left_semi").select(*COLUMNS))
+    """Keeps one row of each component: the one with the smallest id; rows with a null id come last. Rows without words stay."""
+    rows = keyed(docs, "pipeline-copies-keyed")
+    named = ngram_components(rows, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    each = named.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id")
+    kept = each.agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("x")).select("x.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def benchmark_leaks(spark, docs, sf_dir):
-    """Drops documents that hold a benchmark item."""
-    held = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops rows that hold a benchmark item, with or without an id."""
+    rows = keyed(docs, "pipeline-leaks-keyed")
+    held = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(held, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark, docs, sf_dir):

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from corpus_pipeline import benchmark_leaks, near_copies
 from papergraph.llm.chat import format_turns, parse, read_back, render
 from papergraph.llm.decontaminate import contaminated
 from papergraph.llm.html_text import extract_text
@@ -210,3 +211,12 @@ def test_mixing_orders_blocks_anew_in_each_epoch(spark):
     assert all(sorted(o) == list(range(len(o))) and len(set(o.values())) == len(o) for o in orders.values())
     first, second = ([b for _, b in sorted(orders["small", e].items())] for e in (0, 1))
     assert sorted(first) != first and first[: len(second)] != second
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    a, b, leak = (" ".join(f"{c}{i}" for i in range(30)) for c in "abx")
+    rows = docs_of(spark, [(2, a), (5, a), (5, b), (5, b), (None, b), (None, leak), (None, leak), (None, "")])
+    kept = near_copies(spark, rows, None)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, a), (5, b), (None, leak), (None, "")], key=str)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(((r.doc_id, r.text) for r in benchmark_leaks(spark, kept, str(tmp_path)).collect()), key=str) == sorted([(2, a), (5, b), (None, "")], key=str)
