@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Only for sessions that name no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/papergraph"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder that the cluster shares, and reads it again."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from papergraph.operators.storage import forget, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
@@ -40,8 +28,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        current = written(small, "components")
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+        before, current = current, written(small, "components")
+        forget(before)
+        now = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:
             break
         seen = now
