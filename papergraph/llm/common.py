@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only for sessions that name no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/papergraph"
+from papergraph.operators.storage import forget, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the folder that the cluster shares, and reads it again: lineage ends here, and sizes are known."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing will read any more."""
+    for df in tables:
+        forget(df)
 
 
 def partitions(df: DataFrame) -> int:
@@ -54,6 +54,23 @@ def runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int, space: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+    """Ranges of rows of at most limit bytes as (first, last, [start, end]); a longer text alone, with cuts before blanks."""
+    for first, last in runs(offsets, limit):
+        cuts = [int(offsets[first])]
+        end = int(offsets[last])
+        while last == first + 1 and end - cuts[-1] > limit:
+            at = cuts[-1] + limit
+            blank = np.flatnonzero(space[data[cuts[-1] + 1 : at]])
+            while not len(blank) and at < end:  # a word longer than the limit
+                at = min(end, at + limit)
+                blank = at - limit - cuts[-1] - 1 + np.flatnonzero(space[data[at - limit : at]])
+            if not len(blank):
+                break
+            cuts.append(cuts[-1] + 1 + int(blank[-1]))
+        yield first, last, [*cuts, end]
+
+
 def longs(column: pa.Array, null: int = -(2**63)) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
 

@@ -3,224 +3,307 @@
 from __future__ import annotations
 
 import hashlib
-import math
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papergraph.llm.common import mixed, partitions, saved
+from papergraph.llm.common import discard, mixed, pieces, saved, utf8
 from papergraph.operators.components import connected_components
 
-#: Fixed size of the table of n-gram counts that sets the global order, whatever the corpus.
-SKETCH = 1 << 18
-FRAGMENTS = 8
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: N-grams that one task counts at a time, and bytes of text that are hashed at a time.
+FRAGMENT_GRAMS = 2_000_000
+RUN_BYTES = 1 << 20
+#: Ranges of the global order in which overlaps are counted apart.
+RANGES = 4
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)])
+_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))[_LOWER]
 
-def _word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
+class _Powers:
+    up = down = np.ones(1, np.uint64)
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's n-grams of words; words' hashes are kept for the batch's other texts."""
+    @classmethod
+    def to(cls, n: int):
+        if len(cls.up) < n:
+            cls.up = np.cumprod(np.full(n, _BASE, np.uint64))
+            cls.down = np.cumprod(np.full(n, _INVERSE, np.uint64))
+        return cls.up[:n], cls.down[:n]
 
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > 200_000:
-            self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = _word_hash(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        width = min(self.n, len(h))
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for i in range(width):
-            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
-        return np.unique(out)
-
-
-def _order(sketch: bytes) -> np.ndarray:
-    """For each slot of the sketch its class in the global order: rare ones first, by powers of two."""
-    return np.log2(np.frombuffer(sketch, np.int64) + 1).astype(np.uint64)
-
-
-def _fragments(sketch: bytes) -> np.ndarray:
-    """For each slot of the sketch its range of the global order; the ranges hold about equally many n-grams."""
-    counts = np.frombuffer(sketch, np.int64)
-    order = np.lexsort((np.arange(SKETCH), _order(sketch)))
-    upto = np.cumsum(counts[order])
-    out = np.empty(SKETCH, np.int64)
-    out[order] = np.minimum((upto - counts[order]) * FRAGMENTS // max(int(upto[-1]), 1), FRAGMENTS - 1)
-    return out
-
-
-def _prefix(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams of which one at least is in the prefix of every set that is similar enough, in the global order."""
-    n = len(shingles)
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, lower-cased, and the number of words of each."""
+    n = len(data)
     if not n:
-        return shingles
-    order = np.lexsort((shingles, classes[shingles & np.uint64(SKETCH - 1)]))
-    return shingles[order[: n - math.ceil(percent * n / 100) + 1]]
-
-
-def ngram_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, bytes]:
-    """doc_id, n_shingles, key (of the set; null if empty) and prefix (bytes) for each row, and the sketch of counts."""
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-
-    def counted(batches):
-        total, shingler, held, size = np.zeros(SKETCH, np.int64), Shingler(n), [], 0
-        for batch in batches:
-            for t in batch.column("text"):
-                held.append((shingler(t.as_py()) & np.uint64(SKETCH - 1)).astype(np.int64))
-                size += len(held[-1])
-                if size >= SKETCH:  # a pass over the whole sketch for that many n-grams, not for each text
-                    total += np.bincount(np.concatenate(held), minlength=SKETCH)
-                    held, size = [], 0
-        if size:
-            total += np.bincount(np.concatenate(held), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int64()), "c": pa.array(total[at], pa.int64())})
-
-    sketch = np.zeros(SKETCH, np.int64)
-    for row in source.select("text").mapInArrow(counted, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toLocalIterator():
-        sketch[row.slot] = row.c
-    held = sketch.tobytes()
-
-    def measured(batches):
-        classes, shingler = _order(held), Shingler(n)
-        for batch in batches:
-            sizes, keys, prefixes = [], [], []
-            for t in batch.column("text"):
-                s = shingler(t.as_py())
-                sizes.append(len(s))
-                keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                prefixes.append(_prefix(s, classes, percent).tobytes())
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.int64()), "prefix": pa.array(prefixes, pa.binary())}
-            )
-
-    return saved(source.mapInArrow(measured, "doc_id long, n_shingles long, key long, prefix binary"), "ngram-sets"), held
-
-
-def _entries(classes: DataFrame) -> DataFrame:
-    """A row for each n-gram of a class's prefix: gram, key, n, at (place in the prefix)."""
-
-    def spread(batches):
-        for batch in batches:
-            for key, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("key", "n_shingles", "prefix")), strict=True):
-                grams = np.frombuffer(prefix, np.int64)
-                yield pa.RecordBatch.from_pydict(
-                    {"gram": pa.array(grams), "key": pa.array(np.full(len(grams), key, np.int64)), "n": pa.array(np.full(len(grams), n, np.int32)), "at": pa.array(np.arange(len(grams), dtype=np.int32))}
-                )
-
-    return classes.select("key", "n_shingles", "prefix").mapInArrow(spread, "gram long, key long, n int, at int")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, held: bytes, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are similar enough, with their overlap.
-
-    The sets of the classes named are cut into FRAGMENTS ranges of the global order of n-grams (rare ones first); each
-    range's overlaps are counted apart and summed up for each pair.
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+    inside = ~_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _Powers.to(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up, out=sums[1:])
+    at = np.searchsorted(start, offsets)
+    return mixed((sums[end] - sums[start]) * down[start]), np.diff(at)
+
+
+def _grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's runs of n words (of all its words, if fewer), and how many."""
+    start = np.concatenate([[0], np.cumsum(counts)])
+    padded = np.concatenate([words, np.zeros(n, np.uint64)])
+    base, grams = np.uint64(_BASE), np.full(len(words), n, np.uint64)
+    for i in range(n):
+        grams = mixed(grams * base + padded[i : i + len(words)])
+    for width in range(1, n):
+        at = start[:-1][counts == width]
+        short = np.full(len(at), width, np.uint64)
+        for i in range(width):
+            short = mixed(short * base + words[at + i])
+        grams[at] = short
+    size = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    keep = np.ones(len(grams), bool)
+    for i in range(len(counts)):
+        a = start[i]
+        part = grams[a : a + size[i]]
+        part.sort()
+        keep[a + 1 : a + size[i]] = part[1:] != part[:-1]
+        keep[a + size[i] : start[i + 1]] = False
+    return grams[keep], np.diff(np.concatenate([[0], np.cumsum(keep)])[start])
+
+
+def shingles(texts: pa.Array, n: int):
+    """(first, last, distinct n-grams in order of the text and hash, number of each text), for runs of texts."""
+    data, offsets = utf8(texts)
+    for first, last, cuts in pieces(data, offsets, RUN_BYTES, _SPACE):
+        if len(cuts) == 2:  # one piece of whole texts
+            words, counts = word_hashes(data[cuts[0] : cuts[1]], offsets[first : last + 1] - cuts[0])
+        else:  # one long text, cut at blanks
+            parts = [word_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:], strict=False)]
+            words = np.concatenate(parts)
+            counts = np.array([len(words)])
+        yield first, last, *_grams(words, counts, n)
+
+
+def _keys(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two integers; zeros for an empty set."""
+    start = np.concatenate([[0], np.cumsum(counts)])
+    digests = [hashlib.md5(grams[a:b].tobytes()).digest() if b > a else bytes(16) for a, b in zip(start, start[1:], strict=False)]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
+def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+
+
+def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """What all counting needs, from one look at the texts.
+
+    kind 0: doc_id, n (size of its set), hi and lo (the set's key) of each row. kind 1: hi, lo, n, and in df how many
+    of the set's n-grams in one fragment of all n-grams other sets hold too. kind 2: hi, lo, gram and df of these, df
+    being the number of sets that hold it. Equal sets count once.
     """
-    named = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    one = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(named, "key", "left_semi")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(one.select("doc_id").distinct(), "doc_id", "left_semi")
+    source = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(8, -(-size // (6 * FRAGMENT_GRAMS)))
 
-    def cut(batches):
-        shingler, ranges = Shingler(n), _fragments(held)
+    def dealt(batches):
         for batch in batches:
-            for t in batch.column("text"):
-                s = shingler(t.as_py())
-                if not len(s):
-                    continue
-                key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                at = ranges[s & np.uint64(SKETCH - 1)]
-                parts = [s[at == i] for i in range(FRAGMENTS)]
+            for first, last, grams, counts in shingles(batch.column("text"), n):
+                keys = _keys(grams, counts)
+                ids = batch.column("doc_id").slice(first, last - first)
                 yield pa.RecordBatch.from_pydict(
-                    {"key": pa.array([key] * FRAGMENTS, pa.int64()), "fragment": pa.array(range(FRAGMENTS), pa.int32()), "size": pa.array([len(s)] * FRAGMENTS, pa.int64()), "grams": pa.array([p.tobytes() for p in parts], pa.binary())}
+                    {
+                        "fragment": pa.array((np.arange(first, last) % fragments).astype(np.int32)), "doc_id": ids, "n": pa.array(counts), "hi": pa.array(keys[:, 0]), "lo": pa.array(keys[:, 1]),
+                        "sets": pa.nulls(last - first, pa.binary()), "counts": pa.nulls(last - first, pa.binary()), "grams": pa.nulls(last - first, pa.binary()),
+                    }
                 )
+                once = np.zeros(len(counts), bool)  # copies within the run need not travel
+                named = np.flatnonzero(np.asarray(ids.is_valid()))
+                once[named[np.unique(keys[named], axis=0, return_index=True)[1]]] = True
+                owner = np.repeat(np.arange(len(counts)), counts)
+                grams, owner = grams[once[owner]], owner[once[owner]]
+                part = _fragment(grams, fragments)
+                order = np.argsort(part.astype(np.uint16) if fragments <= 1 << 16 else part, kind="stable")
+                grams, owner, part = grams[order], owner[order], part[order]
+                at = np.searchsorted(part, np.arange(fragments + 1)) if len(part) > fragments else np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
+                out = {"fragment": [], "sets": [], "counts": [], "grams": []}
+                for a, b in zip(at, at[1:], strict=False):
+                    if b > a:
+                        held, many = np.unique(owner[a:b], return_counts=True)
+                        g = grams[a:b]
+                        out["fragment"].append(int(part[a]))
+                        out["sets"].append(np.column_stack([keys[held], counts[held]]).astype(np.int64).tobytes())
+                        out["counts"].append(many.astype(np.uint32).tobytes())
+                        out["grams"].append(g.astype(np.uint32).tobytes() + (g >> np.uint64(32)).astype(np.uint16).tobytes())
+                if out["fragment"]:
+                    null = pa.nulls(len(out["fragment"]), pa.int64())
+                    binary = {k: pa.array(out[k], pa.binary()) for k in ("sets", "counts", "grams")}
+                    yield pa.RecordBatch.from_pydict({"fragment": pa.array(out["fragment"], pa.int32()), "doc_id": null, "n": null, "hi": null, "lo": null, **binary})
 
-    pieces = texts.mapInArrow(cut, "key long, fragment int, size long, grams binary").dropDuplicates(["key", "fragment"])
-    left = pieces.select(F.col("key").alias("a"), "fragment", F.col("size").alias("n_a"), F.col("grams").alias("grams_a"))
-    right = pieces.select(F.col("key").alias("b"), "fragment", F.col("size").alias("n_b"), F.col("grams").alias("grams_b"))
-
-    def overlaps(batches):
+    def counted(batches):
+        held = []
         for batch in batches:
-            got = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(got, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
+            whole = batch.filter(batch.column("sets").is_null())
+            if len(whole):
+                null = pa.nulls(len(whole), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(whole), np.int32)), *(whole.column(c) for c in ("doc_id", "n", "hi", "lo")), null, null], names)
+            rest = batch.filter(batch.column("sets").is_valid())
+            held += zip(*(rest.column(c).to_pylist() for c in ("sets", "counts", "grams")), strict=True)
+        if not held:
+            return
+        sets = np.concatenate([np.frombuffer(h[0], np.int64).reshape(-1, 3) for h in held])
+        counts = np.concatenate([np.frombuffer(h[1], np.uint32) for h in held]).astype(np.int64)
+        low = np.concatenate([np.frombuffer(h[2], np.uint32, len(h[2]) // 6) for h in held])
+        high = np.concatenate([np.frombuffer(h[2], np.uint16, len(h[2]) // 6, len(h[2]) // 6 * 4) for h in held])
+        held.clear()
+        order = np.lexsort((sets[:, 1], sets[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(sets[order, 0]) != 0) | (np.diff(sets[order, 1]) != 0)
+        once = np.zeros(len(order), bool)
+        once[order[new]] = True
+        owner = np.repeat(np.arange(len(sets)), counts)
+        good = once[owner]
+        grams = low[good] + (high[good].astype(np.int64) << 32)
+        owner = owner[good]
+        order = np.argsort(grams)
+        grams, owner = grams[order], owner[order]
+        start = np.flatnonzero(np.diff(grams, prepend=-1))
+        many = np.diff(np.concatenate([start, [len(grams)]]))
+        df = np.repeat(many, many)
+        shared = df > 1
+        grams, owner, df = grams[shared], owner[shared], df[shared]
+        order = np.argsort(owner, kind="stable")  # set by set, so that the file holds each key once
+        grams, owner, df = grams[order], owner[order], df[order]
+        some, each = np.unique(owner, return_counts=True)
+        yield batch_of(1, sets[some], pa.nulls(len(some), pa.int64()), each)
+        for a in range(0, len(grams), 100_000):
+            part = slice(a, a + 100_000)
+            yield batch_of(2, sets[owner[part]], pa.array(grams[part]), df[part])
+
+    names = ["kind", "doc_id", "n", "hi", "lo", "gram", "df"]
+
+    def batch_of(kind, sets, grams, df):
+        columns = [pa.array(np.full(len(sets), kind, np.int32)), pa.nulls(len(sets), pa.int64()), *(pa.array(np.ascontiguousarray(sets[:, i])) for i in (2, 0, 1)), grams, pa.array(df.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    blobs = source.mapInArrow(dealt, "fragment int, doc_id long, n long, hi long, lo long, sets binary, counts binary, grams binary")
+    return saved(blobs.repartitionById(fragments, "fragment").mapInArrow(counted, "kind int, doc_id long, n long, hi long, lo long, gram long, df long"), "ngram-parts")
+
+
+class _Join:
+    """The open sets (which may have a link), their n-grams in the global order, and checks of pairs of them.
+
+    The order is by df, then by hash. A set whose own n-grams fill its prefix in that order can have no link.
+    """
 
-    # A row for each pair and fragment: the pieces stay where the removal of repeats has dealt them, for either join.
-    asked = pairs.select("a", "b", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment"))
-    met = asked.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-    partial = met.mapInArrow(overlaps, "a long, b long, n_a long, n_b long, shared long")
-    summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return summed.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "shared")
+    def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
+        self.percent, self.parts = percent, ngram_parts(docs, n, id_col, text_col)
+        self.members = self.parts.where("kind = 0").select("doc_id", "n", "hi", "lo")
+        sets = self.parts.where("kind = 1").groupBy("hi", "lo").agg(F.max("n").alias("n"), (F.max("n") - F.sum("df")).alias("own"))
+        prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+        self.open = saved(sets.where(F.col("own") < prefix).select("hi", "lo", "n", "own", prefix.alias("prefix"), F.monotonically_increasing_id().alias("set")), "ngram-open")
+        held = self.parts.where("kind = 2").select("hi", "lo", "gram", "df").join(self.open, ["hi", "lo"]).select("set", "n", "own", "prefix", "gram", "df")
+        held = saved(held, "ngram-held")
+        by_order = Window.partitionBy("set").orderBy("df", "gram")  # no more rows than a text has words
+        ranked = held.withColumn("at", F.col("own") + F.row_number().over(by_order) - 1).where("at < prefix").select("gram", "set", "n", "at")
+        ranked = saved(ranked, "ngram-prefixes")
+        several = ranked.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+        self.entries = saved(ranked.join(several, "gram", "left_semi"), "ngram-entries")
+        place = F.least("df", F.lit(32767)) * (1 << 48) + F.col("gram")
+        cuts = held.agg(F.percentile_approx(place, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
+        range_of = sum(((place > c).cast("int") for c in cuts), F.lit(0))
+        self.pieces = saved(held.groupBy("set", "n", range_of.alias("range")).agg(F.collect_list("gram").alias("grams")), "ngram-pieces")
+        discard(held, ranked)
+
+    def may(self, n_a, at_a, n_b, at_b):
+        """Whether sizes, and places of a common n-gram, allow the similarity."""
+        needed = F.ceil((n_a + n_b) * self.percent / (100 + self.percent) - 1e-9)
+        return (F.least(n_a, n_b) * 100 >= self.percent * F.greatest(n_a, n_b)) & (F.least(n_a - at_a, n_b - at_b) + F.least(at_a, at_b) >= needed)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar enough, with `shared`: overlaps counted in each range, summed for each pair."""
+        left = self.pieces.select(F.col("set").alias("a"), "range", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
+        right = self.pieces.select(F.col("set").alias("b"), "range", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
+        partial = pairs.join(left, "a").join(right, ["b", "range"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+        summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
+        return summed.where(100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "shared")
 
 
 def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The join: every link between different sets, and the rows' membership of the sets.
 
-    Links are a < b (keys of sets) and shared, the n-grams in both. Members are doc_id, n_shingles, key and n_links of each
-    row of docs: the set's links, so 0 for an empty set (whose key is null), and null for a null id.
+    Links are a < b (numbers of sets) and shared, the n-grams in both. Members are doc_id, n_shingles, key (its set's number)
+    and n_links of each row of docs: the set's links, so 0 for a set that cannot have any (whose number is null), and null
+    for a null id.
 
     Rows whose sets are equal form a class; classes are compared, never their copies. Candidates share an n-gram of
     their prefixes in the global order (rare n-grams first), and their sizes and places allow the similarity; each is
-    checked by its overlaps in the fragments of that order. No pair is left out because others link its ends already.
+    checked by its overlaps in the ranges of that order. No pair is left out because others link its ends already, so
+    a group of near copies makes as many rows as it has links; ngram_components does not.
     """
-    sets, held = ngram_sets(docs, n, percent, id_col, text_col)
-    known = sets.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    entries = saved(_entries(known.dropDuplicates(["key"])), "ngram-entries")
-    shared = entries.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    entries = saved(entries.join(shared, "gram", "left_semi"), "ngram-shared")
-    x = entries.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    y = entries.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
-    pairs = (
-        x.join(y, "gram")
-        .where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")))
-        .where(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b") >= needed)
-        .select("a", "b")
-        .distinct()
-    )
-    links = saved(verified(saved(pairs, "ngram-pairs"), docs, known, held, n, percent, id_col, text_col), "ngram-links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    join = _Join(docs, n, percent, id_col, text_col)
+    x = join.entries.select("gram", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    y = join.entries.select("gram", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    pairs = x.join(y, "gram").where((F.col("a") < F.col("b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))).select("a", "b").distinct()
+    links = saved(join.verified(saved(pairs, "ngram-pairs")), "ngram-links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
+    known = join.open.join(ends, "set", "left").select("hi", "lo", "set", "n_links")
     n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
-    return links, sets.select("doc_id", "n_shingles", "key").join(ends, "key", "left").select("doc_id", "n_shingles", "key", n_links.alias("n_links"))
+    return links, join.members.join(known, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("set").alias("key"), n_links.alias("n_links"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles (size of its set) and component_id (least doc_id that links reach) for each row of docs.
 
-    The links are those of ngram_links, all of them.
+    The components are those of all links of ngram_links. First each set is checked against its neighbour by size, and
+    against the first set of its size class, at each n-gram of its prefix; then all candidates of different components,
+    so that a large group of near copies is not compared pair by pair.
 
     A null, empty or wordless text has an empty set and is linked with nothing. With fewer than n words the whole
-    sequence is one n-gram. Rows with a null id get a null component and take no part. Repeated rows stay. Rows of one
-    id but different texts are rows of their own. An empty table gives an empty result; other columns are not read.
+    sequence is one n-gram. Rows with a null id get a null component and take no part; an id that is no number counts
+    as null. Repeated rows stay. Rows of one id but different texts are rows of their own. An empty table gives an
+    empty result; other columns are not read.
     """
-    links, members = ngram_links(docs, n, percent, id_col, text_col)
+    join = _Join(docs, n, percent, id_col, text_col)
+    by_size = Window.partitionBy("gram").orderBy("n", "set")
+    by_class = Window.partitionBy("gram", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)).orderBy("n", "set")
+    me = F.struct("set", "n", "at")
+    near = join.entries.select("gram", "set", "n", "at", F.lag(me).over(by_size).alias("before"), F.first(me).over(by_class).alias("first"))
+    met = near.select("set", "n", "at", F.explode(F.array("before", "first")).alias("o")).where("o IS NOT NULL AND o.set <> set")
+    met = met.where(join.may(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"))).select(F.least("set", "o.set").alias("a"), F.greatest("set", "o.set").alias("b")).distinct()
+    links = saved(join.verified(met).select("a", "b"), "ngram-links")
     merged = saved(connected_components(links, "a", "b"), "ngram-merged")
-    known = members.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    least = known.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(merged.withColumnRenamed("id", "key"), "key", "left")
-    least = least.withColumn("component", F.coalesce("component", "key"))
-    names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(names, "component").select("key", "component_id")
-    out = members.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
+
+    entries = join.entries.join(merged, join.entries["set"] == merged["id"], "left").select("gram", "set", "n", "at", F.coalesce("component", "set").alias("component"))
+    counts = entries.groupBy("gram", "component").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
+    entries = saved(entries.join(largest, "gram"), "ngram-across")
+    # The largest component of an n-gram meets the others, never itself.
+    x = entries.where("component <> largest").select("gram", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
+    y = entries.select("gram", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("c_b"))
+    across = x.join(y, "gram").where((F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = saved(join.verified(across).select("a", "b"), "ngram-more")
+    joined = more.join(merged.toDF("a", "c_a"), "a", "left").join(merged.toDF("b", "c_b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    again = connected_components(joined, "a", "b").toDF("component", "whole")
+    named = join.open.join(merged, join.open["set"] == merged["id"], "left").select("hi", "lo", F.coalesce("component", "set").alias("component"))
+    named = saved(named.join(again, "component", "left").select("hi", "lo", F.coalesce("whole", "component").alias("component")), "ngram-named")
+    discard(join.entries, join.pieces, entries, links, more)
+
+    known = join.members.where("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
+    known = known.join(named, ["hi", "lo"], "left")
+    least = known.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "component", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return join.members.join(known, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 NGRAM_COMPONENTS_SQL = r"""
