@@ -17,6 +17,8 @@ FRAGMENT_GRAMS = 2_000_000
 RUN_BYTES = 1 << 20
 #: Ranges of the global order in which overlaps are counted apart.
 RANGES = 4
+#: Rounds in which sets outside the largest component of an n-gram are checked against a few others, before all the rest.
+TRIES = 3
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -208,31 +210,54 @@ class _Join:
         self.percent, self.parts = percent, ngram_parts(docs, n, id_col, text_col)
         self.members = self.parts.where("kind = 0").select("doc_id", "n", "hi", "lo")
         sets = self.parts.where("kind = 1").groupBy("hi", "lo").agg(F.max("n").alias("n"), (F.max("n") - F.sum("df")).alias("own"))
-        prefix = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-        self.open = saved(sets.where(F.col("own") < prefix).select("hi", "lo", "n", "own", prefix.alias("prefix"), F.monotonically_increasing_id().alias("set")), "ngram-open")
-        held = self.parts.where("kind = 2").select("hi", "lo", "gram", "df").join(self.open, ["hi", "lo"]).select("set", "n", "own", "prefix", "gram", "df")
-        held = saved(held, "ngram-held")
+        sets = sets.where(F.col("own") < self.prefix(F.col("n")))
+        self.open = saved(sets.select("hi", "lo", "n", "own", F.monotonically_increasing_id().alias("set")), "ngram-open")
+        held = self.parts.where("kind = 2").select("hi", "lo", "gram", "df").join(self.open, ["hi", "lo"]).select("set", "n", "own", "gram", "df")
         by_order = Window.partitionBy("set").orderBy("df", "gram")  # no more rows than a text has words
-        ranked = held.withColumn("at", F.col("own") + F.row_number().over(by_order) - 1).where("at < prefix").select("gram", "set", "n", "at")
-        ranked = saved(ranked, "ngram-prefixes")
+        held = saved(held.select("set", "n", "gram", "df", (F.col("own") + F.row_number().over(by_order) - 1).alias("at")), "ngram-held")
+        ranked = held.where(F.col("at") < self.prefix(F.col("n")))
         several = ranked.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-        self.entries = saved(ranked.join(several, "gram", "left_semi"), "ngram-entries")
+        self.entries = saved(ranked.join(several, "gram", "left_semi").select("gram", "set", "n", "at"), "ngram-entries")
+        # Fragments cut the global order into ranges of about as many entries; the prefixes stand apart, as fragment -1.
         place = F.least("df", F.lit(32767)) * (1 << 48) + F.col("gram")
         cuts = held.agg(F.percentile_approx(place, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-        range_of = sum(((place > c).cast("int") for c in cuts), F.lit(0))
-        self.pieces = saved(held.groupBy("set", "n", range_of.alias("range")).agg(F.collect_list("gram").alias("grams")), "ngram-pieces")
-        discard(held, ranked)
+        fragment = sum(((place > c).cast("int") for c in cuts), F.lit(0))
+        whole = held.select("set", "n", "gram", fragment.alias("fragment")).unionByName(ranked.select("set", "n", "gram", F.lit(-1).alias("fragment")))
+        self.pieces = saved(whole.groupBy("set", "n", "fragment").agg(F.collect_list("gram").alias("grams")), "ngram-pieces")
+        discard(held)
+
+    def prefix(self, n):
+        """Similar sets share an n-gram of their first so many ones."""
+        return n - F.ceil(n * self.percent / 100 - 1e-9) + 1
+
+    def index_prefix(self, n):
+        """The same, where the other set is at least as large."""
+        return n - F.ceil(n * 2 * self.percent / (100 + self.percent) - 1e-9) + 1
+
+    def needed(self, n_a, n_b):
+        return F.ceil((n_a + n_b) * self.percent / (100 + self.percent) - 1e-9)
 
     def may(self, n_a, at_a, n_b, at_b):
-        """Whether sizes, and places of a common n-gram, allow the similarity."""
-        needed = F.ceil((n_a + n_b) * self.percent / (100 + self.percent) - 1e-9)
-        return (F.least(n_a, n_b) * 100 >= self.percent * F.greatest(n_a, n_b)) & (F.least(n_a - at_a, n_b - at_b) + F.least(at_a, at_b) >= needed)
+        """Whether sizes, and places of a common n-gram, allow the similarity; the smaller set has it in its index prefix."""
+        short = F.when(n_a < n_b, at_a < self.index_prefix(n_a)).when(n_b < n_a, at_b < self.index_prefix(n_b)).otherwise((at_a < self.index_prefix(n_a)) | (at_b < self.index_prefix(n_b)))
+        return short & (F.least(n_a, n_b) * 100 >= self.percent * F.greatest(n_a, n_b)) & (F.least(n_a - at_a, n_b - at_b) + F.least(at_a, at_b) >= self.needed(n_a, n_b))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough, with `shared`: overlaps counted in each range, summed for each pair."""
-        left = self.pieces.select(F.col("set").alias("a"), "range", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-        right = self.pieces.select(F.col("set").alias("b"), "range", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-        partial = pairs.join(left, "a").join(right, ["b", "range"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+        """The pairs (a, b) that are similar enough, with `shared`: overlaps counted in each fragment, summed for each pair.
+
+        The overlap of the prefixes first rules out pairs that could not be similar whatever lies beyond.
+        """
+        def sides(fragments):
+            some = self.pieces.where(fragments)
+            return some.select(F.col("set").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("grams_a")), some.select(F.col("set").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
+
+        part = F.size(F.array_intersect("grams_a", "grams_b")).alias("part")
+        left, right = sides("fragment = -1")
+        first = pairs.join(left.drop("fragment"), "a").join(right.drop("fragment"), "b").select("a", "b", "n_a", "n_b", part)
+        rest = F.greatest(F.col("n_a") - self.prefix(F.col("n_a")), F.col("n_b") - self.prefix(F.col("n_b")))
+        first = first.where(F.col("part") >= self.needed(F.col("n_a"), F.col("n_b")) - rest).select("a", "b")
+        left, right = sides("fragment >= 0")
+        partial = first.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", part)
         summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
         return summed.where(100 * F.col("shared") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "shared")
 
@@ -263,9 +288,10 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles (size of its set) and component_id (least doc_id that links reach) for each row of docs.
 
-    The components are those of all links of ngram_links. First each set is checked against its neighbour by size, and
-    against the first set of its size class, at each n-gram of its prefix; then all candidates of different components,
-    so that a large group of near copies is not compared pair by pair.
+    The components are those of all links of ngram_links. First each set is checked against neighbours by size, and
+    against the first set of its size class, at each n-gram of its prefix; sets that stay outside the largest component
+    of an n-gram try a few more; then all candidates of different components are checked. So a large group of near
+    copies is not compared pair by pair, and no link between components is left out.
 
     A null, empty or wordless text has an empty set and is linked with nothing. With fewer than n words the whole
     sequence is one n-gram. Rows with a null id get a null component and take no part; an id that is no number counts
@@ -276,27 +302,55 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     by_size = Window.partitionBy("gram").orderBy("n", "set")
     by_class = Window.partitionBy("gram", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)).orderBy("n", "set")
     me = F.struct("set", "n", "at")
-    near = join.entries.select("gram", "set", "n", "at", F.lag(me).over(by_size).alias("before"), F.first(me).over(by_class).alias("first"))
-    met = near.select("set", "n", "at", F.explode(F.array("before", "first")).alias("o")).where("o IS NOT NULL AND o.set <> set")
-    met = met.where(join.may(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"))).select(F.least("set", "o.set").alias("a"), F.greatest("set", "o.set").alias("b")).distinct()
+    # A try needs no index prefix: any pair may be checked.
+    near = join.entries.select("gram", "set", "n", F.array(F.lag(me).over(by_size), F.lag(me, 2).over(by_size), F.first(me).over(by_class)).alias("others"))
+    met = near.select("set", "n", F.explode("others").alias("o")).where((F.col("o.set") != F.col("set")) & (F.col("o.n") * 100 >= F.col("n") * percent))
+    met = met.select(F.least("set", "o.set").alias("a"), F.greatest("set", "o.set").alias("b")).distinct()
     links = saved(join.verified(met).select("a", "b"), "ngram-links")
-    merged = saved(connected_components(links, "a", "b"), "ngram-merged")
-
-    entries = join.entries.join(merged, join.entries["set"] == merged["id"], "left").select("gram", "set", "n", "at", F.coalesce("component", "set").alias("component"))
-    counts = entries.groupBy("gram", "component").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
-    entries = saved(entries.join(largest, "gram"), "ngram-across")
-    # The largest component of an n-gram meets the others, never itself.
-    x = entries.where("component <> largest").select("gram", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
-    y = entries.select("gram", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("c_b"))
-    across = x.join(y, "gram").where((F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = saved(join.verified(across).select("a", "b"), "ngram-more")
-    joined = more.join(merged.toDF("a", "c_a"), "a", "left").join(merged.toDF("b", "c_b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    again = connected_components(joined, "a", "b").toDF("component", "whole")
-    named = join.open.join(merged, join.open["set"] == merged["id"], "left").select("hi", "lo", F.coalesce("component", "set").alias("component"))
-    named = saved(named.join(again, "component", "left").select("hi", "lo", F.coalesce("whole", "component").alias("component")), "ngram-named")
-    discard(join.entries, join.pieces, entries, links, more)
+    parts = connected_components(links, "a", "b").toDF("set", "component")
+    merged = saved(join.entries.select("set").distinct().join(parts, "set", "left").select("set", F.coalesce("component", "set").alias("component")), "ngram-merged")
+
+    def relabelled(links):
+        ends = links.join(merged.toDF("a", "c_a"), "a").join(merged.toDF("b", "c_b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        again = connected_components(ends, "a", "b").toDF("component", "whole")
+        return saved(merged.join(again, "component", "left").select("set", F.coalesce("whole", "component").alias("component")), "ngram-merged")
+
+    def across():
+        """Entries of n-grams that several components hold, with the largest of these, which the others meet, never itself."""
+        entries = join.entries.join(merged, "set")
+        counts = entries.groupBy("gram", "component").agg(F.count("*").alias("c"))
+        largest = counts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
+        return saved(entries.join(largest, "gram").select("gram", "set", "n", "at", "component", "largest", F.row_number().over(by_size).alias("place")), "ngram-across")
+
+    def sides(entries):
+        names = {"set": "set", "n": "n", "at": "at", "component": "c"}
+        left = entries.where("component <> largest").select("gram", "place", *[F.col(k).alias(f"{v}_a") for k, v in names.items()])
+        return left, entries.select("gram", "place", *[F.col(k).alias(f"{v}_b") for k, v in names.items()])
+
+    def distinct_pairs(rows):
+        return rows.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+    for turn in range(TRIES):
+        entries = across()
+        if entries.isEmpty():
+            break
+        left, right = sides(entries)
+        steps = [sign * (i * 2**turn + turn) for i in range(1, 7) for sign in (1, -1)]
+        tried = left.withColumn("place", F.explode(F.transform(F.array(*map(F.lit, steps)), lambda i: F.col("place") + i))).join(right, ["gram", "place"])
+        tried = tried.where((F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")))
+        found = saved(join.verified(distinct_pairs(tried)).select("a", "b"), "ngram-tried")
+        discard(entries)
+        if found.isEmpty():
+            break
+        merged = relabelled(found)
+
+    entries = across()
+    left, right = sides(entries)
+    left, right = left.drop("place"), right.drop("place")
+    pairs = left.join(right, (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    merged = relabelled(saved(join.verified(distinct_pairs(pairs)).select("a", "b"), "ngram-more"))
+    named = saved(join.open.join(merged, "set", "left").select("hi", "lo", F.coalesce("component", "set").alias("component")), "ngram-named")
+    discard(join.entries, join.pieces, entries, links)
 
     known = join.members.where("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
     known = known.join(named, ["hi", "lo"], "left")
