@@ -15,40 +15,55 @@ _NUMBER = r"^[^\p{L}\p{N}]*\p{N}[\p{N}.,:/]*[^\p{L}\p{N}]*$"
 _MEASURE = rf"^[^\p{{L}}\p{{N}}]*\p{{N}}[\p{{N}}.,:/]*({'|'.join(UNITS)})[^\p{{L}}\p{{N}}]*$"
 
 
+#: Words for numbers.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+
+
 def _tokens(text):
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
 def _bare(word):
-    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    """The word without punctuation around it, in lower case; most words are so already."""
+    return F.when(word.rlike("^[a-z]+$"), word).otherwise(F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
-def _template(tokens, bare):
-    """Tokens with typed placeholders: numbers, units after numbers, and capitalised words.
+def _template(tokens):
+    """Tokens with typed placeholders: numbers, units after numbers, and capitalised words; other words are bare.
 
     A name inside a sentence keeps its word behind <name>, a capitalised word at the start of one behind <first>.
+    Words of small letters alone, which are most, are told by one pattern.
     """
 
+    def lowered(plain, before):
+        after_number = F.coalesce(before.rlike(_NUMBER) | before.isin(NUMBER_WORDS), F.lit(False))
+        return F.when(plain.isin(NUMBER_WORDS), F.lit("<number>")).when(plain.isin(UNITS) & after_number, F.lit("<unit>"))
+
+    def other(word, before):
+        def by_bare(plain):
+            inside = F.coalesce(~before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(False))
+            return F.coalesce(
+                lowered(plain, before),
+                F.when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), F.concat(F.when(inside, F.lit("<name>")).otherwise(F.lit("<first>")), plain)).otherwise(plain),
+            )
+
+        bare = F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        return F.when(word.rlike(_NUMBER), F.lit("<number>")).when(word.rlike(_MEASURE), F.lit("<measure>")).otherwise(F.get(F.transform(F.array(bare), by_bare), F.lit(0)))
+
     def canonical(word, i):
-        before = F.when(i > 0, F.get(tokens, i - 1))
-        plain = F.get(bare, i)
-        inside = F.coalesce(~before.rlike(r"[.!?:][^\p{L}\p{N}]*$"), F.lit(False))
-        return (
-            F.when(word.rlike(_NUMBER), F.lit("<number>"))
-            .when(word.rlike(_MEASURE), F.lit("<measure>"))
-            .when(plain.isin(UNITS) & F.coalesce(before.rlike(_NUMBER), F.lit(False)), F.lit("<unit>"))
-            .when(word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), F.concat(F.when(inside, F.lit("<name>")).otherwise(F.lit("<first>")), plain))
-            .otherwise(plain)
-        )
+        before = F.get(tokens, i - 1)
+        return F.when(word.rlike("^[a-z]+$"), F.coalesce(lowered(word, before), word)).otherwise(other(word, before))
 
     return F.transform(tokens, canonical)
 
 
 def _word(code, *marks):
-    """The word behind any of the marks, else the code itself."""
+    """The word behind any of the marks (none begins another), else the code itself."""
+    cases = F
     for mark in marks:
-        code = F.when(code.startswith(mark), F.substr(code, F.lit(len(mark) + 1))).otherwise(code)
-    return code
+        cases = cases.when(code.startswith(mark), F.substr(code, F.lit(len(mark) + 1)))
+    return cases.otherwise(code)
 
 
 def _typed(template):
@@ -98,7 +113,7 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def templated(df):
-        coded = df.withColumn("tokens", _tokens(F.col("text"))).withColumn("bare", F.transform("tokens", _bare)).withColumn("template", _template(F.col("tokens"), F.col("bare")))
+        coded = df.withColumn("tokens", _tokens(F.col("text"))).withColumn("template", _template(F.col("tokens")))
         coded = coded.withColumns({"typed": _typed(F.col("template")), "plain": _plain(F.col("template")), "every": _every(F.col("template"))})
         n = F.size("template")
         coded = coded.withColumns(
@@ -115,7 +130,7 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
         zipped = [F.arrays_zip(F.col(f"at_{c}").alias("at"), F.col(f"by_{c}").alias("h")) for c in ("typed", "plain", "every")]
         return df.select(*kept, F.explode_outer(F.concat(*zipped)).alias("x")).select(*[k for k in kept], "x.at", "x.h").where("h IS NOT NULL")
 
-    asked = templated(items)
+    asked = templated(items).withColumn("bare", F.transform("tokens", _bare))
     both = spots(asked, "item_id", "by_typed").select("item_id", F.get("by_typed", F.col("at")).alias("w"), "h")
     wanted = saved(both.distinct(), "template-windows")
     totals = wanted.groupBy("item_id").agg(F.count_distinct("w").alias("n_windows"))
@@ -139,7 +154,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, least: float
     roles = F.transform("template", lambda c, i: F.when(c.startswith("<number>") | c.startswith("<measure>"), F.coalesce(F.get("bare", i + 1), F.lit(""))).otherwise(F.lit("")))
     slots = asked.where(F.exists("template", lambda c: c.startswith("<"))).withColumn("names", names).withColumn("kinds", kinds).withColumn("roles", roles)
     slots = spots(slots, "item_id", "bare", "kinds", "roles").select("item_id", "h", F.col("at").alias("i"), *[F.slice(c, F.col("at") + 1, words).alias(a) for c, a in (("kinds", "kinds"), ("roles", "roles"), ("bare", "item_words"))])
-    found = spots(templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id", "bare").select("doc_id", "h", F.col("at").alias("j"), F.slice("bare", F.col("at") + 1, words).alias("doc_words"))
+    found = templated(source.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")).withColumn("bare", F.transform("tokens", _bare))
+    found = spots(found, "doc_id", "bare").select("doc_id", "h", F.col("at").alias("j"), F.slice("bare", F.col("at") + 1, words).alias("doc_words"))
     slot = F.col("kinds").startswith("<")
     filled = (
         found.join(sized(slots), "h")
