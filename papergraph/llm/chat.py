@@ -94,8 +94,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """A row per conversation, from the formatted turns alone: counts and digests of turns and of the loss mask.
 
-    Turns are dealt into ranges of (conv_id, turn), so that a long conversation is spread, and parsed there into chunks
-    of about CHUNK_BYTES; only the digests, which go on from one byte to the next, run over a conversation's chunks in order.
+    Turns are dealt into ranges of (conv_id, turn), so that a long conversation is spread. There the formatted turns are
+    joined into chunks of about CHUNK_BYTES, which end between turns, and each chunk is parsed as one string; the loss
+    is what the mask's code points hold in it. Only the digests, which go on from one byte to the next, run over a
+    conversation's chunks in order. Repeated rows count as often as they stand; an empty table gives an empty result.
     """
     order = ["conv_id", "turn", "role", "text"]
     n = partitions(formatted)
@@ -103,35 +105,39 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def chunks(batches):
         def row():
+            whole = "".join(t[0] for t in held)
+            turns = parse(whole)
+            if turns is None:
+                raise ValueError(f"conversation {now} cannot be read back")
+            said = b"".join(b"%s\n%s\n" % (role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")) for role, text, _, _ in turns)
+            loss, at = [], 0
+            for out, first, last in held:  # the mask's code points of the chunk, whatever its turns are
+                if first is not None:
+                    loss.append(_unescape(whole[at + first : at + last]))
+                at += len(out)
+            loss = "".join(loss)
             return pa.RecordBatch.from_pydict(
                 {
-                    "conv_id": pa.array([now], pa.int64()), "part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int64()), "n_turns": pa.array([count], pa.int64()),
-                    "turns": pa.array([b"".join(said)], pa.binary()), "loss": pa.array([b"".join(loss)], pa.binary()), "loss_chars": pa.array([chars], pa.int64()), "formatted_chars": pa.array([size], pa.int64()),
+                    "conv_id": pa.array([now], pa.int64()), "part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int64()), "n_turns": pa.array([len(turns)], pa.int64()),
+                    "turns": pa.array([said], pa.binary()), "loss": pa.array([loss.encode("utf-8", "surrogatepass")], pa.binary()), "loss_chars": pa.array([len(loss)], pa.int64()), "formatted_chars": pa.array([len(whole)], pa.int64()),
                 }
             )
 
         now = part = None
-        nth, count, chars, size, held, said, loss, any_row = 0, 0, 0, 0, 0, [], [], False
+        nth, size, held = 0, 0, []
         for batch in batches:
-            for key, p, out, masked in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "formatted", "loss_start")), strict=True):
-                if any_row and (key != now or held >= CHUNK_BYTES):
+            for key, p, *turn in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "formatted", "loss_start", "loss_end")), strict=True):
+                if held and (key != now or size >= CHUNK_BYTES):
                     yield row()
                     nth = nth + 1 if key == now else 0
-                    count, chars, size, held, said, loss = 0, 0, 0, 0, [], []
-                now, part, any_row = key, p, True
-                for role, text, _, _ in parse(out):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    said.append(role.encode("utf-8", "surrogatepass") + b"\n" + raw + b"\n")
-                    held += len(said[-1])
-                    count += 1
-                    if masked is not None:
-                        loss.append(raw)
-                        chars += len(text)
-                size += len(out)
-        if any_row:
+                    size, held = 0, []
+                now, part = key, p
+                held.append(turn)
+                size += len(turn[0])
+        if held:
             yield row()
 
-    pieces = ranged.select("conv_id", "part", "formatted", "loss_start").mapInArrow(
+    pieces = ranged.select("conv_id", "part", "formatted", "loss_start", "loss_end").mapInArrow(
         chunks, "conv_id long, part int, nth long, n_turns long, turns binary, loss binary, loss_chars long, formatted_chars long"
     )
     dealt = pieces.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part", "nth")
