@@ -26,6 +26,14 @@ def discard(*tables: DataFrame) -> None:
         forget(df)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

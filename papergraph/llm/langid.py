@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papergraph.llm.common import runs, utf8
+from papergraph.llm.common import fresh, runs, utf8
 
 UNKNOWN = "und"
 BUCKETS = 4096
-RUN_BYTES = 1 << 20
+#: Bytes of text that are scored at a time; a longer text is scored in parts, whose sums add up.
+RUN_BYTES = 1 << 17
 
 #: ASCII letters in lower case, bytes of longer code points as they are, all else a blank.
 _FOLD = np.full(256, 32, np.uint8)
@@ -42,13 +43,13 @@ def subwords(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     some = letters[1 : n + 1] & (letters[:n] | letters[2 : n + 2])
     i3 = np.where(some, ((three ^ (three >> np.uint32(15))) * np.uint32(0x2545F491)) >> shift, BUCKETS)
     i4 = np.where(some & letters[2 : n + 2], ((four ^ (four >> np.uint32(15))) * np.uint32(0x2545F491)) >> shift, BUCKETS)
-    return i3.astype(np.intp), i4.astype(np.intp)
+    return i3.astype(np.int32), i4.astype(np.int32)
 
 
-def has_letter(data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """Whether each text has a letter: a look at its bytes, and at its characters where no ASCII letter is found."""
-    ascii_letter = (_FOLD[data] != 32) & (data < 128)
-    found = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[offsets]) > 0
+def has_letter(folded: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.ndarray:
+    """Whether each text has a letter: a look at its folded bytes, and at its characters where no ASCII letter is found."""
+    ascii_letter = (folded != 32) & (folded < 128)
+    found = np.diff(np.concatenate([[0], np.cumsum(ascii_letter, dtype=np.int64)])[offsets]) > 0
     for i in np.flatnonzero(~found & (np.diff(offsets) > 0)):
         found[i] = any(c.isalpha() for c in texts[int(i)].as_py() or "")
     return found
@@ -64,33 +65,48 @@ class LanguageModel:
     sharpness: float
     least: float
 
+    def _sums(self, part: np.ndarray, start: np.ndarray, size: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the logits of each text's subwords among the first `own` bytes of the folded run, and their number."""
+        total, count = np.zeros((len(size), len(self.languages))), np.zeros(len(size), np.int64)
+        full = np.flatnonzero(size)
+        if not len(full):
+            return total, count
+        ends = (start + size)[full]
+        for index, reach in zip(subwords(part), (2, 3), strict=True):
+            for back in range(1, reach + 1):  # subwords that would run into the next text
+                at = ends - back
+                index[at[at >= start[full]]] = BUCKETS
+            index = index[:own]
+            total[full] += np.add.reduceat(self.logits[index], start[full], axis=0)
+            count[full] += np.add.reduceat((index != BUCKETS).astype(np.int64), start[full])
+        return total, count
+
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its probability, and whether that is too low, for each text."""
         data, offsets = utf8(texts)
-        k = len(self.languages)
-        best, probability = np.zeros(len(texts), np.intp), np.zeros(len(texts))
+        best, probability, known = np.zeros(len(texts), np.intp), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for first, last in runs(offsets, RUN_BYTES):
-            start = offsets[first:last] - offsets[first]
-            size = np.diff(offsets[first : last + 1])
-            part = _folded(data[offsets[first] : offsets[last]])
-            total, count = np.zeros((last - first, k)), np.zeros(last - first)
-            full = np.flatnonzero(size)
-            if len(full):
-                # A blank before each text's last bytes keeps subwords from running into the next text.
-                ends = (start + size)[full]
-                for index, reach in zip(subwords(part), (2, 3), strict=True):
-                    for back in range(1, reach + 1):
-                        at = ends - back
-                        index[at[at >= start[full]]] = BUCKETS
-                    values = self.logits[index]
-                    total[full] += np.add.reduceat(values, start[full], axis=0)
-                    count[full] += np.add.reduceat((index != BUCKETS).astype(np.int64), start[full])
+            a, b = int(offsets[first]), int(offsets[last])
+            if b - a <= RUN_BYTES:
+                part, inner = _folded(data[a:b]), offsets[first : last + 1] - a
+                total, count = self._sums(part, inner[:-1], np.diff(inner), b - a)
+                known[first:last] = has_letter(part, inner, texts.slice(first, last - first))
+            else:
+                total, count = np.zeros((1, len(self.languages))), np.zeros(1, np.int64)
+                for at in range(a, b, RUN_BYTES):
+                    own = min(RUN_BYTES, b - at)
+                    part = _folded(data[at : min(at + own + 3, b)])
+                    # The three bytes beyond belong to subwords that begin before; the text's own end is that of its last part.
+                    sums = self._sums(np.concatenate([part, np.full(3, 32, np.uint8)]) if at + own < b else part, np.zeros(1, np.int64), np.array([len(part) + 3 if at + own < b else len(part)]), own)
+                    total, count = total + sums[0], count + sums[1]
+                    known[first] |= bool(((part != 32) & (part < 128)).any())
+                if not known[first]:
+                    known[first] = any(c.isalpha() for c in texts[first].as_py())
             z = self.sharpness * (total / np.maximum(count, 1)[:, None] + self.bias)
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             best[first:last], probability[first:last] = p.argmax(axis=1), p.max(axis=1)
-        known = has_letter(data, offsets, texts)
         names = [self.languages[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
         probability = np.where(known, probability, 0.0)
         return names, probability, ~known | (probability < self.least)
@@ -165,10 +181,10 @@ def fit_languages(labelled: DataFrame, text_col: str, lang_col: str, key_col: st
     if not languages:
         return None
     each = max(1, max_rows // len(languages))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(key_col)), F.lit(1_000_000))
+    draw = F.xxhash64(F.lit("langid"), F.col(key_col)).bitwiseAND(F.lit(2**62 - 1))
     chosen = F.lit(False)
     for name in languages:
-        chosen = chosen | ((F.col(lang_col) == name) & (draw < int(min(1.0, 0.9 * each / found[name]) * 1_000_000)))
+        chosen = chosen | ((F.col(lang_col) == name) & (draw < int(min(1.0, 0.9 * each / found[name]) * 2**62)))
     drawn = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("text"))
 
     def counted(batches):
@@ -195,18 +211,17 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, text_col: s
     """
     added = {"lang_pred", "score", "rejected"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep), "lang_pred string, score double, rejected boolean"])
-    names = [*keep, "lang_pred", "score", "rejected"]
-
-    def scored(batches):
-        for batch in batches:
-            texts = batch.column(text_col)
-            if model is None:
-                got = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            else:
-                got = model.score(texts)
-            columns = [batch.column(c) for c in keep] + [pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(scored, schema)
+    # A function of the text alone: the other columns never leave the JVM.
+    @F.arrow_udf("struct<lang_pred string, score double, rejected boolean>")
+    def scored(texts: pa.Array) -> pa.Array:
+        if model is None:
+            got = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        else:
+            got = model.score(texts)
+        columns = pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.bool_())
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "rejected"])
+
+    x = fresh("x", keep)
+    columns = [F.col(f"`{c}`") for c in keep]
+    return docs.select(*columns, scored(F.col(f"`{text_col}`")).alias(x)).select(*columns, f"{x}.lang_pred", f"{x}.score", f"{x}.rejected")

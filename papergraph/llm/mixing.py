@@ -92,5 +92,5 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy:
     planned = planned.withColumn("mix_position", F.row_number().over(inside) - 1)
     # BLOCKS rows for each source and epoch: broadcast while that is small, which a look at the number of sources settles.
     side = F.broadcast(planned) if sum(math.ceil(e) for e in epochs.values()) * BLOCKS <= 500_000 else planned
-    met = dealt.join(side, dealt[f"`{source_col}`"].eqNullSafe(side["_source"]) & (dealt["mix_block"] == side["_block"]))
-    return met.select(*kept, *added)
+    met = dealt.alias("d").join(side.alias("s"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("s._source")) & (F.col("d.mix_block") == F.col("s._block")))
+    return met.select(*[F.col(f"d.`{c}`") for c in kept], "s.mix_epoch", "d.mix_block", "s.mix_position", "s.mix_weight")

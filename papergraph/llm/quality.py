@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papergraph.llm.common import fresh
+
 FEATURES = 13
 #: The score of a text that stands just at the threshold.
 AT_THRESHOLD = 0.7
@@ -80,36 +82,30 @@ def train(x: np.ndarray, y: np.ndarray, pairs: int = 20_000, rounds: int = 400,
     return QualityModel(mean, spread, weights, float((raw[cut - 1] + raw[cut]) / 2))
 
 
-def with_features(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep), "_x array<double>"])
-
-    def measured(batches):
-        for batch in batches:
-            x = [features(t.as_py()) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "_x"])
-
-    return source.mapInArrow(measured, schema)
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> QualityModel | None:
     """Learns from at most max_rows of the rows of docs (doc_id, text) that labels (doc_id, quality) marks 0 or 1.
 
-    Rows are chosen by a hash of doc_id. Null ids, labels and texts teach nothing; None if no row is left.
+    Rows are chosen by a hash of doc_id. Null ids, labels and texts, and ids with both labels, teach nothing; None if no row is left.
     """
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("_label"))
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
+    marks = marks.where("label = other").select("doc_id", "label")
     n = marks.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000))
-    drawn = marks.where(draw < int(min(1.0, 0.9 * max_rows / max(n, 1)) * 1_000_000)).limit(max_rows)
+    draw = F.xxhash64(F.lit("quality"), "doc_id").bitwiseAND(F.lit(2**62 - 1))
+    drawn = marks.where(draw < int(min(1.0, 0.9 * max_rows / max(n, 1)) * 2**62)).limit(max_rows)
     wanted = {r[0]: r[1] for r in drawn.collect()}
     if not wanted:
         return None
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isin(list(wanted))) if len(wanted) <= 100 else docs.where("text IS NOT NULL").join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in wanted], "doc_id long")), "doc_id", "left_semi")
-    got = with_features(texts, ["doc_id"], "text").limit(max_rows).collect()
-    got.sort(key=lambda r: (r.doc_id, r._x))
+
+    @F.arrow_udf("array<double>")
+    def measured(values: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in values], pa.list_(pa.float64()))
+
+    got = texts.select("doc_id", measured("text").alias("x")).limit(max_rows).collect()
+    got.sort(key=lambda r: (r.doc_id, r.x))
     if not got:
         return None
-    return train(np.array([r._x for r in got]), np.array([wanted[r.doc_id] for r in got]))
+    return train(np.array([r.x for r in got]), np.array([wanted[r.doc_id] for r in got]))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -120,17 +116,14 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "
     like the new ones are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep), "score double, predicted int"])
-
-    def scored(batches):
-        for batch in batches:
-            texts = batch.column("_text")
-            if model is None or not len(texts):
-                score = np.full(len(texts), 0.5)
-            else:
-                score = model.score(np.stack([features(t.as_py()) for t in texts]))
-            columns = [*(batch.column(c) for c in keep), pa.array(score, pa.float64()), pa.array((score >= AT_THRESHOLD).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "score", "predicted"])
-
-    return source.mapInArrow(scored, schema)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        if model is None or not len(texts):
+            return pa.array(np.full(len(texts), 0.5))
+        return pa.array(model.score(np.stack([features(t.as_py()) for t in texts])))
+
+    x = fresh("x", keep)
+    columns = [F.col(f"`{c}`") for c in keep]
+    scores = docs.select(*columns, scored(F.col(f"`{text_col}`")).alias(x))
+    return scores.select(*columns, F.col(x).alias("score"), (F.col(x) >= AT_THRESHOLD).cast("int").alias("predicted"))
