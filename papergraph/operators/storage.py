@@ -19,11 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+#: Spark deletes the shuffle files of a step when it has ended: what follows reads the table that it wrote.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the folder that the cluster shares, and reads it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
