@@ -13,8 +13,8 @@ from papergraph.llm.common import discard, mixed, pieces, saved, utf8
 from papergraph.operators.components import connected_components
 
 #: N-grams that one task counts at a time, and bytes of text that are hashed at a time.
-FRAGMENT_GRAMS = 2_000_000
-RUN_BYTES = 1 << 20
+FRAGMENT_GRAMS = 1_000_000
+RUN_BYTES = 1 << 18
 #: Ranges of the global order in which overlaps are counted apart.
 RANGES = 4
 #: Rounds in which sets outside the largest component of an n-gram are checked against a few others, before all the rest.

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from papergraph.llm.common import discard, mixed, runs, saved, utf8
 
 #: Bytes of text that are cut at a time, triggers that one task groups, and phrases that are suffix-sorted at a time.
-RUN_BYTES = 1 << 20
-FRAGMENT_TRIGGERS = 1_000_000
-SORTED_PHRASES = 16_384
+RUN_BYTES = 1 << 18
+FRAGMENT_TRIGGERS = 300_000
+SORTED_PHRASES = 8_192
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
