@@ -19,6 +19,8 @@ RUN_BYTES = 1 << 18
 RANGES = 4
 #: Rounds in which sets outside the largest component of an n-gram are checked against a few others, before all the rest.
 TRIES = 3
+#: N-grams at the front of a set's prefix that tell which n-gram is the first that two sets share.
+HEAD = 48
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -319,11 +321,11 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         """Entries of n-grams that several components hold, with the largest of these, which the others meet, never itself."""
         entries = join.entries.join(merged, "set")
         counts = entries.groupBy("gram", "component").agg(F.count("*").alias("c"))
-        largest = counts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
-        return saved(entries.join(largest, "gram").select("gram", "set", "n", "at", "component", "largest", F.row_number().over(by_size).alias("place")), "ngram-across")
+        largest = counts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k"), F.sum("c").alias("holders")).where("k > 1").select("gram", "largest", "holders")
+        return saved(entries.join(largest, "gram").select("gram", "set", "n", "at", "component", "largest", "holders", F.row_number().over(by_size).alias("place")), "ngram-across")
 
     def sides(entries):
-        names = {"set": "set", "n": "n", "at": "at", "component": "c"}
+        names = {"set": "set", "n": "n", "at": "at", "component": "c"} | ({"head": "head"} if "head" in entries.columns else {})
         left = entries.where("component <> largest").select("gram", "place", *[F.col(k).alias(f"{v}_a") for k, v in names.items()])
         return left, entries.select("gram", "place", *[F.col(k).alias(f"{v}_b") for k, v in names.items()])
 
@@ -345,9 +347,17 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         merged = relabelled(found)
 
     entries = across()
-    left, right = sides(entries)
+    # At an n-gram of many sets a pair counts only if it is the first that both have. Heads tell: if they have an n-gram
+    # in common, the first of these is the pair's first; if not, the pair counts at each.
+    heads = join.entries.groupBy("set").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "gram"))), lambda x: x["gram"]), 1, HEAD).alias("head"))
+    headed = entries.join(heads, "set").withColumn("head", F.when(F.col("holders") >= HEAD, F.col("head")))
+    left, right = sides(headed)
     left, right = left.drop("place"), right.drop("place")
-    pairs = left.join(right, (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    first = F.get(F.array_intersect("head_a", "head_b"), F.lit(0))
+    pairs = left.join(
+        right,
+        (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & F.coalesce(first == left["gram"], F.lit(True)),
+    )
     merged = relabelled(saved(join.verified(distinct_pairs(pairs)).select("a", "b"), "ngram-more"))
     named = saved(join.open.join(merged, "set", "left").select("hi", "lo", F.coalesce("component", "set").alias("component")), "ngram-named")
     discard(join.entries, join.pieces, entries, links)
