@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def item_frequency(links: DataFrame, doc: str, item: str, least: int = 1) -> DataFrame:
-    """item and n_docs for items in at least that many documents; null documents and items are left out."""
+def item_frequency(links: DataFrame, doc: str, item: str, least: int = 1, per_document: bool = False) -> DataFrame:
+    """item and n, how often it occurs (or in how many documents), for items with at least that many; nulls are left out."""
     rows = links.where(F.col(doc).isNotNull() & F.col(item).isNotNull()).select(F.col(doc).alias("doc"), F.col(item).alias("item"))
-    return rows.groupBy("item").agg(F.countDistinct("doc").alias("n_docs")).where(F.col("n_docs") >= least)
+    return rows.groupBy("item").agg((F.countDistinct("doc") if per_document else F.count("*")).alias("n")).where(F.col("n") >= least)
+
+
+def typed_frequency(sources: list[tuple[str, DataFrame]], least: int = 1) -> DataFrame:
+    """item, n and source_type of the items (doc, item) of several sources: occurrences, and where it is first seen.
+
+    Items are trimmed and in lower case; empty ones are left out. Documents come in ascending order, and in a document
+    the sources in the order given.
+    """
+    rows = None
+    for i, (name, df) in enumerate(sources):
+        one = df.select("doc", F.lower(F.trim("item")).alias("item"), F.lit(i).alias("at"), F.lit(name).alias("source_type")).where("item <> ''")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("item").agg(F.count("*").alias("n"), F.min_by("source_type", F.struct("doc", "at")).alias("source_type")).where(F.col("n") >= least)
 
 
 def cooccurrence(links: DataFrame, doc: str, item: str, least: int = 1) -> DataFrame:
-    """src < dst and weight: in how many documents both items are, for items in at least `least` documents.
+    """src < dst and weight: in how many documents both items are, for items that occur at least `least` times.
 
     Pairs are made inside a document, from its distinct items.
     """
@@ -25,21 +38,36 @@ def cooccurrence(links: DataFrame, doc: str, item: str, least: int = 1) -> DataF
     return pairs.groupBy(F.col("item").alias("src"), "dst").agg(F.count("*").alias("weight"))
 
 
+def cooccurrence_network(links: DataFrame, doc: str, item: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, weight: occurrences), those without a neighbour too, and edges between them."""
+    return item_frequency(links, doc, item, least).select(F.col("item").alias("node"), F.col("n").alias("weight")), cooccurrence(links, doc, item, least)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").unionAll(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """node, degree and strength (summed weight) of each end of an undirected edge table."""
-    return both_ways(edges).groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
-
+def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, degree, strength (summed weight) and centrality (degree / (n - 1)) in an undirected edge table.
 
-def graph_statistics(edges: DataFrame) -> DataFrame:
-    """One row: n_nodes, n_edges, density 2m / (n (n - 1)) (0 with fewer than two nodes) and average degree."""
-    table = degrees(edges).agg(F.count("*").alias("n_nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("n_edges"))
+    The nodes are those given (node), isolated ones too, else the ends of the edges.
+    """
+    ends = both_ways(edges).groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
+    if nodes is not None:
+        zero = F.lit(0).cast("long")
+        ends = nodes.select("node").distinct().join(ends, "node", "left").select("node", F.coalesce("degree", zero).alias("degree"), F.coalesce("strength", zero).alias("strength"))
+    n = ends.agg(F.count("*").alias("n_nodes"))
+    return ends.join(F.broadcast(n)).select("node", "degree", "strength", F.when(F.col("n_nodes") > 1, F.round(F.col("degree") / (F.col("n_nodes") - 1), 6)).otherwise(0.0).alias("centrality"))
+
+
+def graph_statistics(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = False) -> DataFrame:
+    """One row: n_nodes, n_edges, density (2m / (n (n - 1)), half of it if directed; 0 with fewer than two nodes), average degree."""
+    m = edges.agg(F.count("*").alias("n_edges"))
+    ends = nodes.select("node") if nodes is not None else both_ways(edges).select("node")
+    table = ends.distinct().agg(F.count("*").alias("n_nodes")).join(F.broadcast(m))
     n, m = F.col("n_nodes"), F.col("n_edges")
     return table.select(
-        "n_nodes", "n_edges", F.when(n > 1, F.round(2 * m / (n * (n - 1)), 6)).otherwise(0.0).alias("density"), F.when(n > 0, F.round(2 * m / n, 6)).otherwise(0.0).alias("avg_degree")
+        "n_nodes", "n_edges", F.when(n > 1, F.round((1 if directed else 2) * m / (n * (n - 1)), 6)).otherwise(0.0).alias("density"), F.when(n > 0, F.round(2 * m / n, 6)).otherwise(0.0).alias("avg_degree")
     )
 
 
@@ -49,22 +77,25 @@ def top_neighbours(edges: DataFrame, k: int = 5) -> DataFrame:
     return both_ways(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def induced(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
-    """Edges whose ends are both among the nodes."""
-    ids = nodes.select(F.col(node).alias("_node")).distinct()
-    return edges.join(ids, edges["src"] == ids["_node"], "left_semi").join(ids, F.col("dst") == ids["_node"], "left_semi")
+def clustering(edges: DataFrame, weighted: bool = False) -> DataFrame:
+    """node and its clustering coefficient: triangles / possible ones; 0 for nodes of degree below two.
 
-
-def clustering(edges: DataFrame) -> DataFrame:
-    """node and its plain clustering coefficient: triangles / possible ones; 0 for nodes of degree below two."""
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
-    closing = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    second = pairs.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    triangles = pairs.join(second, "b").join(closing, (F.col("a") == F.col("x")) & (F.col("c") == F.col("y")))
-    corners = triangles.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
+    Weighted, a triangle counts by the cubic root of the product of its weights, each against the largest of all.
+    Edges lead from the end of smaller degree to the other, so that no hub has many pairs of neighbours to look at.
+    """
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w") if weighted else F.lit(1.0).alias("w")).where("a < b").groupBy("a", "b").agg(F.max("w").alias("w"))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    value = F.when(F.col("d") > 1, F.round(2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(0.0)
-    return degree.join(corners, "node", "left").select("node", value.alias("clustering"))
+    told = pairs.join(degree.toDF("a", "d_a"), "a").join(degree.toDF("b", "d_b"), "b")
+    turn = (F.col("d_a") > F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("a") > F.col("b")))
+    arcs = told.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("y"), "w")
+    fork = arcs.toDF("x", "y", "w1").join(arcs.toDF("x", "z", "w2"), "x").where("y < z").select("x", "y", "z", "w1", "w2")
+    closing = pairs.toDF("y", "z", "w3")
+    triangles = fork.join(closing, ["y", "z"])
+    top = pairs.agg(F.max("w").alias("top"))
+    value = F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")) / F.col("top")
+    corners = triangles.join(F.broadcast(top)).select(F.explode(F.array("x", "y", "z")).alias("node"), value.alias("v")).groupBy("node").agg(F.sum("v").alias("t"))
+    share = F.when(F.col("d") > 1, F.round(2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(0.0)
+    return degree.join(corners, "node", "left").select("node", share.alias("clustering"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -78,31 +109,6 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return outer.join(inner, "community", "left").join(F.broadcast(m)).select("community", F.round(share, 6).alias("modularity"))
 
 
-#: A middle node of more neighbours than this has its wedges made in several parts.
-HOT_DEGREE = 2000
-
-
-def structural_gaps(edges: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs without an edge that share at least `least` neighbours: concept_a < concept_b, shared, score.
-
-    score is shared * sqrt(degree of a * degree of b).
-    """
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
-    near = pairs.select(F.col("a").alias("node"), F.col("b").alias("mid")).unionAll(pairs.select("b", "a"))
-    degree = near.groupBy("node").agg(F.count("*").alias("degree"))
-    parts = degree.select(F.col("node").alias("mid"), F.ceil(F.col("degree") / HOT_DEGREE).cast("int").alias("parts"))
-    dealt = near.join(parts, "mid")
-    left = dealt.select("mid", F.col("node").alias("a"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
-    right = dealt.select("mid", F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wedges = left.join(right, ["mid", "part"]).where("a < b")
-    shared = wedges.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).join(pairs, ["a", "b"], "left_anti")
-    return (
-        shared.join(degree.select(F.col("node").alias("a"), F.col("degree").alias("d_a")), "a")
-        .join(degree.select(F.col("node").alias("b"), F.col("degree").alias("d_b")), "b")
-        .select(F.col("a").alias("concept_a"), F.col("b").alias("concept_b"), "shared", F.round(F.col("shared") * F.sqrt(F.col("d_a") * F.col("d_b")), 4).alias("score"))
-    )
-
-
 def temporal_gaps(mentions: DataFrame, early: int = 10, recent: int = 3, least: int = 3) -> DataFrame:
     """entity, early_count and score of entities with at least `least` documents in the early window and none in the recent one.
 
@@ -115,11 +121,3 @@ def temporal_gaps(mentions: DataFrame, early: int = 10, recent: int = 3, least:
     old = (F.col("year") >= F.col("last") - early) & (F.col("year") < F.col("last") - recent)
     counted = both.groupBy("entity").agg(F.count_if(old).alias("early_count"), F.count_if(F.col("year") >= F.col("last") - recent).alias("n_recent"))
     return counted.where((F.col("early_count") >= least) & (F.col("n_recent") == 0)).select("entity", "early_count", (2.0 * F.col("early_count")).alias("score"))
-
-
-def relation_edges(mentions: DataFrame) -> DataFrame:
-    """Consolidated edges of (src, relation, dst, doc, confidence): n_evidence, the ten least evidence ids, highest confidence."""
-    rows = mentions.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    return rows.groupBy("src", "relation", "dst").agg(
-        F.countDistinct("doc").alias("n_evidence"), F.array_join(F.slice(F.sort_array(F.collect_set("doc")), 1, 10), ",").alias("evidence"), F.max("confidence").alias("confidence")
-    )

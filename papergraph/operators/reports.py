@@ -52,9 +52,12 @@ def author_productivity(links: DataFrame, author: str, position: str, k: int = 1
 
 
 def last_turns(turns: DataFrame, k: int = 4, chars: int = 400) -> DataFrame:
-    """conv_id and history: the last k turns, oldest first, as `role: text` lines of that many characters at most."""
+    """conv_id and history: the last k turns, oldest first, as `ROLE: text` lines of that many characters at most.
+
+    A null role counts as user, a null text as empty.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
-    last = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.select("conv_id", "turn", F.upper(F.coalesce("role", F.lit("user"))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     last = last.withColumn("back", F.row_number().over(order)).where(F.col("back") <= k)
     line = F.concat("role", F.lit(": "), F.substring("text", 1, chars))
     rows = last.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), line.alias("line")))).alias("rows"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papergraph.operators import networks, reports, vectors
+from papergraph import queries_graph, queries_records
+from papergraph.operators import gaps, networks, reports, vectors
 from papergraph.operators.components import connected_components
 
 
@@ -31,9 +32,9 @@ def _supplies(spark, sf_dir):
     return edges.agg(F.countDistinct("l_orderkey").alias("weight"))
 
 
-def _strong(spark, sf_dir):
-    """Those with 15 orders at least, as in the SQL."""
-    return _supplies(spark, sf_dir).where("weight >= 15")
+def _suppliers(spark, sf_dir):
+    """Every author, those without a co-author too."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
 
 
 def _orders(spark, sf_dir):
@@ -60,13 +61,6 @@ def _evolution(spark, sf_dir):
     return reports.topic_evolution(rows, "p_type", "year")
 
 
-def _kg(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.lit("SUPPLIES").alias("relation"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"), F.col("l_orderkey").alias("doc"), F.col("l_discount").alias("confidence")
-    )
-    return networks.relation_edges(rows)
-
-
 def _modularity(spark, sf_dir):
     nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("community"))
     return networks.modularity(_authors(spark, sf_dir), nations)
@@ -81,19 +75,15 @@ QUERIES = {
     "keyword_cooccurrence": lambda s, d: networks.cooccurrence(_keywords(s, d), "doc", "item", 3),
     "keyword_frequency": lambda s, d: networks.item_frequency(_keywords(s, d), "doc", "item", 3),
     "coauthor_network": _authors,
-    "author_degrees": lambda s, d: networks.degrees(_authors(s, d)),
-    "network_statistics": lambda s, d: networks.graph_statistics(_authors(s, d)),
+    "author_degrees": lambda s, d: networks.degrees(_authors(s, d), _suppliers(s, d)),
+    "network_statistics": lambda s, d: networks.graph_statistics(_authors(s, d), _suppliers(s, d)),
     "top_neighbours": lambda s, d: networks.top_neighbours(_authors(s, d)),
-    "clustering_plain": lambda s, d: networks.clustering(_authors(s, d).where("weight >= 4")),
+    "clustering_plain": lambda s, d: networks.clustering(_authors(s, d)),
+    "clustering_weighted": lambda s, d: networks.clustering(_authors(s, d), weighted=True),
     "modularity_by_nation": _modularity,
-    "components": lambda s, d: connected_components(_strong(s, d)),
-    "gaps_structural": lambda s, d: networks.structural_gaps(_strong(s, d)),
-    # Over the whole edge tables; the three of the same names without _whole are cut as their SQL is.
-    "clustering_whole": lambda s, d: networks.clustering(_authors(s, d)),
-    "components_whole": lambda s, d: connected_components(_supplies(s, d)),
-    "gaps_structural_whole": lambda s, d: networks.structural_gaps(_supplies(s, d)),
+    "components": lambda s, d: connected_components(_supplies(s, d)),
+    "gaps_structural": lambda s, d: gaps.structural_gaps(_supplies(s, d)),
     "gaps_temporal": _temporal,
-    "kg_edges": _kg,
     "publication_trend": lambda s, d: reports.trend(_orders(s, d), "year"),
     "momentum": lambda s, d: reports.momentum(_orders(s, d), "year"),
     "topic_evolution": _evolution,
@@ -104,28 +94,32 @@ QUERIES = {
     "text_search": lambda s, d: reports.text_search(table(s, d, "documents"), "the", ["text"]).select("doc_id"),
     "vector_topk": _top_k,
     "group_means": lambda s, d: vectors.group_means(table(s, d, "embeddings"), "label", "embedding"),
-}
+} | queries_records.QUERIES | queries_graph.QUERIES
 
-_KEYWORDS = "k AS (SELECT DISTINCT l_orderkey AS doc, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name IS NOT NULL)"
+_KEYWORDS = "k AS (SELECT l_orderkey AS doc, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name IS NOT NULL)"
 _AUTHORS = """a AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS item FROM lineitem WHERE l_suppkey IS NOT NULL),
 e AS (SELECT x.item AS src, y.item AS dst, count(*) AS weight FROM a x JOIN a y ON x.doc = y.doc AND x.item < y.item GROUP BY ALL),
 bw AS (SELECT src AS node, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e)"""
-_STRONG = """e AS (SELECT 's' || l_suppkey AS src, 'p' || p_name AS dst FROM lineitem JOIN part ON l_partkey = p_partkey
-  GROUP BY ALL HAVING count(DISTINCT l_orderkey) >= 15),
+_SUPPLIES = """e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || p_name AS dst FROM lineitem JOIN part ON l_partkey = p_partkey),
 near AS (SELECT src AS node, dst AS mid FROM e UNION SELECT dst, src FROM e)"""
 
 ORACLES = {
-    "keyword_cooccurrence": f"""WITH {_KEYWORDS}, f AS (SELECT item FROM k GROUP BY item HAVING count(*) >= 3), g AS (SELECT k.* FROM k SEMI JOIN f USING (item))
+    "keyword_cooccurrence": f"""WITH {_KEYWORDS}, f AS (SELECT item FROM k GROUP BY item HAVING count(*) >= 3), g AS (SELECT DISTINCT k.* FROM k SEMI JOIN f USING (item))
 SELECT x.item AS src, y.item AS dst, count(*) AS weight FROM g x JOIN g y ON x.doc = y.doc AND x.item < y.item GROUP BY ALL""",
-    "keyword_frequency": f"WITH {_KEYWORDS} SELECT item, count(*) AS n_docs FROM k GROUP BY item HAVING count(*) >= 3",
+    "keyword_frequency": f"WITH {_KEYWORDS} SELECT item, count(*) AS n FROM k GROUP BY item HAVING count(*) >= 3",
     "coauthor_network": f"WITH {_AUTHORS} SELECT src, dst, weight FROM e",
-    "author_degrees": f"WITH {_AUTHORS} SELECT node, count(*) AS degree, sum(weight)::BIGINT AS strength FROM bw GROUP BY node",
-    "network_statistics": f"""WITH {_AUTHORS}, n AS (SELECT count(DISTINCT node) AS n_nodes, count(*) // 2 AS n_edges FROM bw)
+    "author_degrees": f"""WITH {_AUTHORS}, d AS (SELECT node, count(*) AS d, sum(weight)::BIGINT AS s FROM bw GROUP BY node), n AS (SELECT count(*) AS n FROM supplier)
+SELECT s_suppkey AS node, coalesce(d, 0) AS degree, coalesce(s, 0) AS strength, CASE WHEN n > 1 THEN round(coalesce(d, 0) / (n - 1), 6) ELSE 0.0 END AS centrality FROM supplier LEFT JOIN d ON node = s_suppkey, n""",
+    "network_statistics": f"""WITH {_AUTHORS}, n AS (SELECT (SELECT count(*) FROM supplier) AS n_nodes, count(*) AS n_edges FROM e)
 SELECT n_nodes, n_edges, CASE WHEN n_nodes > 1 THEN round(2 * n_edges / (n_nodes * (n_nodes - 1)), 6) ELSE 0.0 END AS density,
   CASE WHEN n_nodes > 0 THEN round(2 * n_edges / n_nodes, 6) ELSE 0.0 END AS avg_degree FROM n""",
     "top_neighbours": f"""WITH {_AUTHORS}, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other)::INT AS rank FROM bw)
 SELECT node, other, weight, rank FROM r WHERE rank <= 5""",
-    "clustering_plain": f"""WITH {_AUTHORS}, c AS (SELECT src, dst FROM e WHERE weight >= 4), d AS (SELECT node, count(*) AS d FROM bw WHERE weight >= 4 GROUP BY node),
+    "clustering_weighted": f"""WITH {_AUTHORS}, m AS (SELECT max(weight) AS m FROM e), d AS (SELECT node, count(*) AS d FROM bw GROUP BY node),
+t AS (SELECT unnest([x.src, x.dst, y.dst]) AS node, cbrt(x.weight * y.weight * z.weight) / m AS v FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst, m),
+n AS (SELECT node, sum(v) AS t FROM t GROUP BY node)
+SELECT d.node, CASE WHEN d > 1 THEN round(2 * coalesce(t, 0) / (d * (d - 1)), 6) ELSE 0.0 END AS clustering FROM d LEFT JOIN n ON n.node = d.node""",
+    "clustering_plain": f"""WITH {_AUTHORS}, c AS (SELECT src, dst FROM e), d AS (SELECT node, count(*) AS d FROM bw GROUP BY node),
 t AS (SELECT unnest([x.src, x.dst, y.dst]) AS node FROM c x JOIN c y ON x.dst = y.src JOIN c z ON z.src = x.src AND z.dst = y.dst),
 n AS (SELECT node, count(*) AS t FROM t GROUP BY node)
 SELECT d.node, CASE WHEN d > 1 THEN round(2 * coalesce(t, 0) / (d * (d - 1)), 6) ELSE 0.0 END AS clustering FROM d LEFT JOIN n ON n.node = d.node""",
@@ -133,17 +127,15 @@ SELECT d.node, CASE WHEN d > 1 THEN round(2 * coalesce(t, 0) / (d * (d - 1)), 6)
 i AS (SELECT x.community, sum(weight) AS i FROM e JOIN c x ON x.node = src JOIN c y ON y.node = dst WHERE x.community = y.community GROUP BY ALL),
 k AS (SELECT community, sum(weight) AS k FROM bw JOIN c USING (node) GROUP BY ALL)
 SELECT k.community, round(coalesce(i, 0) / m - pow(k / (2 * m), 2), 6) AS modularity FROM k LEFT JOIN i ON i.community = k.community, m""",
-    "components": f"""WITH RECURSIVE {_STRONG}, r AS (SELECT DISTINCT node AS id, node AS reached FROM near UNION SELECT r.id, near.mid FROM r JOIN near ON near.node = r.reached)
+    "components": f"""WITH RECURSIVE {_SUPPLIES}, r AS (SELECT DISTINCT node AS id, node AS reached FROM near UNION SELECT r.id, near.mid FROM r JOIN near ON near.node = r.reached)
 SELECT id, min(reached) AS component FROM r GROUP BY id""",
-    "gaps_structural": f"""WITH {_STRONG}, d AS (SELECT node, count(*) AS d FROM near GROUP BY node),
+    "gaps_structural": f"""WITH {_SUPPLIES}, d AS (SELECT node, count(*) AS d FROM near GROUP BY node),
 w AS (SELECT x.node AS a, y.node AS b, count(*) AS shared FROM near x JOIN near y ON x.mid = y.mid AND x.node < y.node GROUP BY ALL HAVING count(*) >= 3)
-SELECT a AS concept_a, b AS concept_b, shared, round(shared * sqrt(x.d * y.d), 4) AS score FROM w JOIN d x ON x.node = a JOIN d y ON y.node = b
+SELECT a AS concept_a, b AS concept_b, shared, x.d AS degree_a, y.d AS degree_b, round(shared * sqrt(x.d * y.d), 4) AS score FROM w JOIN d x ON x.node = a JOIN d y ON y.node = b
 WHERE NOT EXISTS (SELECT 1 FROM near z WHERE z.node = a AND z.mid = b)""",
     "gaps_temporal": """WITH r AS (SELECT o_custkey AS entity, year(o_orderdate) AS year FROM orders), l AS (SELECT max(year) AS last FROM r)
 SELECT entity, count(*) FILTER (year >= last - 6 AND year < last - 1) AS early_count, 2.0::DOUBLE * count(*) FILTER (year >= last - 6 AND year < last - 1) AS score
 FROM r, l GROUP BY entity HAVING count(*) FILTER (year >= last - 6 AND year < last - 1) >= 3 AND count(*) FILTER (year >= last - 1) = 0""",
-    "kg_edges": """SELECT 's' || l_suppkey AS src, 'SUPPLIES' AS relation, 'p' || l_partkey AS dst, count(DISTINCT l_orderkey) AS n_evidence,
-  array_to_string(list_sort(list(DISTINCT l_orderkey))[1:10], ',') AS evidence, max(l_discount) AS confidence FROM lineitem GROUP BY ALL""",
     "publication_trend": """WITH c AS (SELECT year(o_orderdate)::INT AS period, count(*) AS n FROM orders GROUP BY ALL), b AS (SELECT *, lag(n) OVER (ORDER BY period) AS p FROM c)
 SELECT period, n, sum(n) OVER (ORDER BY period)::BIGINT AS cumulative, round(avg(n) OVER (), 6) AS mean, CASE WHEN n > p THEN 'up' WHEN n < p THEN 'down' ELSE 'neutral' END AS direction FROM b""",
     "momentum": """WITH c AS (SELECT count(*) AS n, row_number() OVER (ORDER BY year(o_orderdate) DESC) AS back FROM orders GROUP BY year(o_orderdate)),
@@ -156,11 +148,11 @@ FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, author LIMIT 15""",
     "corpus_statistics": """SELECT count(*) AS n_docs, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs,
   round(100 * avg((length(trim(coalesce(text, ''))) > 0)::INT), 6) AS pct_with_text FROM documents""",
     "dedup_exact": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
-    "chat_history": """WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(role, '') DESC, coalesce(text, '') DESC) AS back FROM conversations)
+    "chat_history": """WITH r AS (SELECT conv_id, upper(coalesce(role, 'user')) AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, upper(coalesce(role, 'user')) DESC, coalesce(text, '') DESC) AS back FROM conversations)
 SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 400), chr(10) ORDER BY back DESC) AS history FROM r WHERE back <= 4 GROUP BY conv_id""",
     "text_search": "SELECT doc_id FROM documents WHERE text ILIKE '%the%'",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "group_means": """WITH p AS (SELECT label AS g, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS "at" FROM embeddings WHERE label IS NOT NULL)
 SELECT g AS "group", "at", round(avg(x), 6) AS mean FROM p GROUP BY ALL""",
-}
+} | queries_records.ORACLES | queries_graph.ORACLES

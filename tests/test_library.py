@@ -2,20 +2,20 @@ import duckdb
 import pytest
 
 from papergraph import queries as library
-from papergraph.operators import networks, reports
+from papergraph.operators import gaps, networks, reports
 from papergraph.operators.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 
 
 def plain(v):
-    return round(v, 6) if isinstance(v, float) else v
+    return float(f"{v:.9g}") if isinstance(v, float) else v
 
 
 @pytest.mark.parametrize("name", sorted(library.ORACLES))
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = db.execute(library.ORACLES[name])
     names = [c[0] for c in got.description]
@@ -37,19 +37,18 @@ def test_empty_tables(spark):
     edges = networks.cooccurrence(links, "doc", "item")
     assert edges.count() == 0
     assert networks.graph_statistics(edges).first().n_nodes == 0
-    assert networks.structural_gaps(edges).count() == 0
+    assert gaps.structural_gaps(edges).count() == 0
     assert reports.trend(links, "doc").count() == 0
 
 
 def test_whole_edge_tables_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(networks, "HOT_DEGREE", 5)  # most middle nodes in several parts
+    monkeypatch.setattr(gaps, "HOT_DEGREE", 5)  # most middle nodes in several parts
     near = {}
     for r in library._supplies(spark, SF).collect():
         near.setdefault(r.src, set()).add(r.dst)
         near.setdefault(r.dst, set()).add(r.src)
     shared = {(a, b): len(near[a] & near[b]) for a in near for b in near if a < b and b not in near[a]}
-    got = library.QUERIES["gaps_structural_whole"](spark, SF).collect()
-    assert len(got) > library.QUERIES["gaps_structural"](spark, SF).count()
+    got = library.QUERIES["gaps_structural"](spark, SF).collect()
     assert {(r.concept_a, r.concept_b): r.shared for r in got} == {p: n for p, n in shared.items() if n >= 3} and len(got) == len({(r.concept_a, r.concept_b) for r in got})
     reach = {}
     for start in sorted(near):
@@ -59,10 +58,10 @@ def test_whole_edge_tables_against_brute_force(spark, monkeypatch):
             if at not in reach:
                 reach[at] = start
                 todo.extend(near[at])
-    assert {r.id: r.component for r in library.QUERIES["components_whole"](spark, SF).collect()} == reach
+    assert {r.id: r.component for r in library.QUERIES["components"](spark, SF).collect()} == reach
     with_ = {}
     for r in library.QUERIES["coauthor_network"](spark, SF).collect():
         with_.setdefault(r.src, set()).add(r.dst)
         with_.setdefault(r.dst, set()).add(r.src)
     want = {v: round(sum(len(n & with_[u]) for u in n) / (len(n) * (len(n) - 1)), 6) if len(n) > 1 else 0.0 for v, n in with_.items()}
-    assert {r.node: r.clustering for r in library.QUERIES["clustering_whole"](spark, SF).collect()} == want
+    assert {r.node: r.clustering for r in library.QUERIES["clustering_plain"](spark, SF).collect()} == want
