@@ -51,7 +51,12 @@ def collapsed(text: Column | str) -> Column:
 def word_case(text: Column | str) -> Column:
     """Each word with a capital first and small letters after it, words joined by single blanks."""
     words = F.filter(F.split(collapsed(text), " "), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
+
+    def cased(w):
+        initial = F.upper(F.substring(w, 1, 1))  # some letters have two capitals
+        return F.concat(F.substring(initial, 1, 1), F.lower(F.substr(initial, F.lit(2))), F.lower(F.substr(w, F.lit(2))))
+
+    return F.array_join(F.transform(words, cased), " ")
 
 
 def author_name(name: Column | str) -> Column:

@@ -229,7 +229,7 @@ QUERIES = {
 
 _W = "w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), n3 AS (SELECT * FROM w WHERE len(w) >= 3)"
 _RAW = f"{_W}, raw AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN w[1] || ' ' || w[2] || ' ' || w[3] WHEN 1 THEN w[1] || ', ' || w[2] || ' ' || w[3] ELSE w[3] || ',' || w[1] END AS raw FROM n3)"
-_CASE = "array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+_CASE = "array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), ' ')"
 
 ORACLES = {
     "author_names": f"""WITH {_RAW}, p AS (SELECT doc_id, raw, trim(regexp_replace(strip_accents(raw), '\\s+', ' ', 'g')) AS s FROM raw),
@@ -237,7 +237,7 @@ q AS (SELECT *, CASE WHEN contains(s, ',') THEN split_part(s, ',', 1) ELSE regex
   CASE WHEN contains(s, ',') THEN substr(s, instr(s, ',') + 1) ELSE regexp_replace(s, '\\s*\\S+$', '') END AS fore FROM p),
 r AS (SELECT doc_id, raw, {_CASE.format('last')} AS last, {_CASE.format('fore')} AS fore FROM q)
 SELECT doc_id, CASE WHEN fore = '' THEN last ELSE trim(last || ', ' || fore, ', ') END AS name,
-  'Last ' || array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(translate(raw, ',', ' '), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: upper(x[1])), '') AS short FROM r""",
+  'Last ' || array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(translate(raw, ',', ' '), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: CASE WHEN x[1] = 'ß' THEN 'SS' ELSE upper(x[1]) END), '') AS short FROM r""",
     "keywords_clean": """WITH k AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS "at" FROM documents)
 SELECT doc_id, "at"::INT AS "at", regexp_replace(regexp_replace(lower(nfc_normalize(word)), '^[^\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+$', '', 'g'), '\\s+', ' ', 'g') AS keyword FROM k""",
     "partial_dates": """WITH r AS (SELECT *, CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d')
