@@ -16,13 +16,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark, docs, sf_dir):
-    """Keeps documents whose language the model knows; it learns from documents of crc32(doc_id) mod 3 other than 1."""
+    """Keeps documents whose language the model knows; it learns from documents of crc32(doc_id) mod 3 other than 1.
+
+    Null, empty and letterless texts have no language and go; repeated rows are judged alike and stay.
+    """
     model = fit_languages(docs.where(remainder(3) != 1), "text", "lang", "doc_id")
     return identify_languages(docs, model, keep=COLUMNS).where("NOT rejected").select(*COLUMNS)
 
 
 def keyed(docs, name):
-    """The rows with a key of their own, as ids may be null or repeated; written, so that the keys stay."""
+    """The rows with a key of their own: the id, if all have one and none is repeated, else a number.
+
+    Numbered rows are written, so that the numbers stay.
+    """
+    n, k = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == k:
+        return docs.select(*COLUMNS, F.col("doc_id").alias("row_key"))
     return saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), name)
 
 
@@ -36,19 +45,19 @@ def near_copies(spark, docs, sf_dir):
 
 
 def benchmark_leaks(spark, docs, sf_dir):
-    """Drops rows that hold a benchmark item, with or without an id."""
+    """Drops rows that hold a benchmark item, with or without an id. Null and empty texts stay."""
     rows = keyed(docs, "pipeline-leaks-keyed")
     held = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").select(F.col("doc_id").alias("row_key")).distinct()
     return rows.join(held, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark, docs, sf_dir):
-    """Repeats documents of small sources, twice at most; every document stays once at least."""
+    """Repeats documents of small sources, twice at most; every row stays once at least, a null source is one of its own."""
     return mix_sources(docs).select(*COLUMNS)
 
 
 def shards(spark, docs, sf_dir):
-    """Contiguous shards of equal bytes."""
+    """Contiguous shards of equal bytes; rows with null ids come first."""
     return byte_shards(docs)
 
 
