@@ -121,3 +121,21 @@ def temporal_gaps(mentions: DataFrame, early: int = 10, recent: int = 3, least:
     old = (F.col("year") >= F.col("last") - early) & (F.col("year") < F.col("last") - recent)
     counted = both.groupBy("entity").agg(F.count_if(old).alias("early_count"), F.count_if(F.col("year") >= F.col("last") - recent).alias("n_recent"))
     return counted.where((F.col("early_count") >= least) & (F.col("n_recent") == 0)).select("entity", "early_count", (2.0 * F.col("early_count")).alias("score"))
+
+
+def isolated_communities(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """community of those without an edge to another one; communities has node and community."""
+    ends = edges.join(communities.toDF("src", "c_src"), "src").join(communities.toDF("dst", "c_dst"), "dst").where("c_src <> c_dst")
+    joined = ends.select(F.explode(F.array("c_src", "c_dst")).alias("community")).distinct()
+    return communities.select("community").distinct().join(joined, "community", "left_anti")
+
+
+def citations(references: DataFrame, records: DataFrame) -> DataFrame:
+    """src, dst and weight 1 of references (doc, ref) to another record (doc) of the corpus, once each."""
+    known = records.select(F.col("doc").alias("ref")).distinct()
+    return references.join(known, "ref", "left_semi").where("doc <> ref").select(F.col("doc").alias("src"), F.col("ref").alias("dst")).distinct().withColumn("weight", F.lit(1).cast("long"))
+
+
+def shared_references(references: DataFrame, least: int = 1) -> DataFrame:
+    """src < dst and weight: how many references two records share."""
+    return cooccurrence(references, "ref", "doc").where(F.col("weight") >= least)

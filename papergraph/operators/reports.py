@@ -70,3 +70,46 @@ def text_search(df: DataFrame, term: str, columns: list[str]) -> DataFrame:
     for c in columns:
         found = found | F.coalesce(F.col(c).ilike(f"%{term}%"), F.lit(False))
     return df.where(found)
+
+
+def auto_trend(df: DataFrame, date: str, years: int = 3, share: float = 0.5) -> DataFrame:
+    """period and n, by month if the years span fewer than `years` and that share of all rows has a month, else by year.
+
+    date is a partial ISO date. Missing periods are not filled; rows without a year, or in months without one, count nowhere.
+    """
+    rows = df.select(F.when(F.col(date).rlike(r"^\d{4}"), F.col(date)).alias("date"))
+    year = F.substring("date", 1, 4)
+    figures = rows.agg((F.max(year.cast("int")) - F.min(year.cast("int"))).alias("span"), F.avg((F.coalesce(F.length("date"), F.lit(0)) >= 7).cast("int")).alias("dated"))
+    monthly = (F.col("span") < years) & (F.col("dated") >= share)
+    period = F.when(monthly, F.when(F.length("date") >= 7, F.substring("date", 1, 7))).otherwise(year)
+    return rows.join(F.broadcast(figures)).select(period.alias("period")).where("period IS NOT NULL").groupBy("period").agg(F.count("*").alias("n"))
+
+
+def topic_pivot(df: DataFrame, topic: str, period: str, label: str, chars: int = 30) -> DataFrame:
+    """period and topic (its label's first characters) with n, 0 where a period has none; the topic -1 is left out.
+
+    Long form: a row for each period and topic, so that the number of topics may grow.
+    """
+    rows = df.where(F.col(topic) != -1).select(F.col(period).alias("period"), F.substring(F.col(label), 1, chars).alias("topic"))
+    counts = rows.groupBy("period", "topic").agg(F.count("*").alias("n"))
+    grid = rows.select("period").distinct().join(rows.select("topic").distinct())  # periods times topics, a report's size
+    return grid.join(counts, ["period", "topic"], "left").select("period", "topic", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def most_common(df: DataFrame, item: str, order: str, k: int = 20) -> DataFrame:
+    """item and n of the k most frequent items, ties to the one seen first by order."""
+    counts = df.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("item")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    return counts.orderBy(F.desc("n"), "first", "item").limit(k).select("item", "n")
+
+
+def records_by_topic(df: DataFrame, topic: str, year: str, title: str, doc: str, k: int = 5) -> DataFrame:
+    """topic, rank, doc and title: each topic's k latest records with a title; ties by doc, null years last."""
+    order = Window.partitionBy("topic").orderBy(F.desc_nulls_last("year"), "doc")
+    rows = df.where(F.trim(title) != "").select(F.col(topic).alias("topic"), F.col(year).alias("year"), F.col(title).alias("title"), F.col(doc).alias("doc"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("topic", "rank", "doc", "title")
+
+
+def cluster_panel(nodes: DataFrame, community: str = "community") -> DataFrame:
+    """One row: number of communities, and name and size of the largest (the least of equal ones)."""
+    sizes = nodes.where(F.col(community).isNotNull()).groupBy(F.col(community).alias("c")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("n_communities"), F.max("n").alias("largest_size"), F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("largest"))

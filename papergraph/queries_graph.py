@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from papergraph.operators import context, gaps, knowledge, networks, reports, topics
+from papergraph.operators import context, gaps, knowledge, networks, reports, topics, vectors
 from papergraph.operators.storage import written
 
 
@@ -190,11 +190,69 @@ def _topic_network(spark, sf_dir):
     return topics.topic_network(lines, lines.select("topic_id", F.lit("w").alias("word")))
 
 
+def _trend(spark, sf_dir):
+    """Events are of one month, orders of years: the one by month, the other by year."""
+    events = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("d"))
+    orders = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("d"))
+    return reports.auto_trend(events, "d").unionByName(reports.auto_trend(orders, "d"))
+
+
+def _pivot(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 6 - 1).alias("topic"), F.year("o_orderdate").alias("year"), F.concat(F.lit("topic of customers, number "), (F.col("o_custkey") % 6).cast("string"), F.lit(" of six")).alias("label"))
+    return reports.topic_pivot(rows, "topic", "year", "label", 28)
+
+
+def _common(spark, sf_dir):
+    return reports.most_common(table(spark, sf_dir, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "l_partkey", "at")
+
+
+def _by_topic(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 6).alias("topic"), F.year("o_orderdate").alias("year"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("title"), "o_orderkey")
+    return reports.records_by_topic(rows, "topic", "year", "title", "o_orderkey")
+
+
+def _panel(spark, sf_dir):
+    return reports.cluster_panel(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("community")))
+
+
+def _isolated(spark, sf_dir):
+    """Suppliers meet in orders; a nation is a community."""
+    edges = networks.cooccurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
+    return networks.isolated_communities(edges, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("community")))
+
+
+def _citations(spark, sf_dir):
+    """Orders refer to the order of the number of each of their parts."""
+    references = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("ref"))
+    return networks.citations(references, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc")))
+
+
+def _coupling(spark, sf_dir):
+    return networks.shared_references(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("ref")), 2)
+
+
+def _gap_filter(spark, sf_dir):
+    return gaps.two_concepts(gaps.gaps_with(_report(spark, sf_dir), ["structural", "cross_domain"], "RING")).select("kind", "concept_a", "concept_b")
+
+
+def _gap_nodes(spark, sf_dir):
+    return gaps.gap_nodes(_report(spark, sf_dir))
+
+
+def _search(spark, sf_dir):
+    """Rows of the hits, gated: a query whose best score is below 0.3 gets nothing."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    hits = vectors.cosine_top_k(rows.select("vec_id", "embedding"), rows.where("vec_id % 100 = 0").select((F.col("vec_id") + 0).alias("query_id"), F.transform("embedding", lambda x, i: F.when(i < 8, x).otherwise(0.0)).alias("embedding")), 5, 0.3)
+    return hits.join(rows.select("vec_id", "label"), "vec_id").select("query_id", "rank", "vec_id", "score", "label")
+
+
 QUERIES = {
     "kg_nodes": lambda s, d: _kg(s, d)[0], "kg_edges": lambda s, d: _kg(s, d)[1], "kg_evidence": lambda s, d: _kg(s, d)[2], "kg_statistics": _statistics, "neighbourhood": _near, "subgraph_filter": _subgraph, "relation_table": _relation_table,
     "top_relations": lambda s, d: knowledge.top_relations(_kg(s, d)[1]), "top_connected": lambda s, d: knowledge.top_connected(_kg(s, d)[1]), "communities": _communities, "closeness": _closeness, "semantic_edges": _semantic,
     "typed_keywords": _typed_keywords, "gaps_cross_domain": _cross_domain, "gap_report": _report, "gap_evidence": _gap_evidence, "keyword_retrieval": _retrieval, "grounded_prompts": _prompts, "parsed_responses": _parsed, "hypotheses": _hypotheses,
     "topics": _topics, "topic_class_words": _class_words, "topics_over_time": _over_time, "topic_network": _topic_network,
+    "trend_auto": _trend, "topic_pivot": _pivot, "most_common": _common, "records_by_topic": _by_topic, "cluster_panel": _panel, "isolated_communities": _isolated, "citations": _citations, "shared_references": _coupling,
+    "gap_filter": _gap_filter, "gap_nodes": _gap_nodes, "semantic_search": _search,
 }
 
 _MENTIONS = """l AS (SELECT *, l_orderkey * 100 + l_linenumber * 10 AS at0 FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -252,4 +310,21 @@ t AS (SELECT word, sum(tf) AS f FROM c GROUP BY word), m AS (SELECT sum(tf) / co
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word)::INT AS rank FROM s) SELECT topic, rank, word, score FROM r WHERE rank <= 10""",
     "topics_over_time": "SELECT (o_custkey % 6)::INT AS topic_id, year(o_orderdate)::INT AS period, count(*) AS n FROM orders GROUP BY ALL",
     "topic_network": "WITH t AS (SELECT DISTINCT l_orderkey AS doc, (l_partkey % 12)::INT AS topic FROM lineitem) SELECT x.topic AS src, y.topic AS dst, count(*) AS weight FROM t x JOIN t y ON x.doc = y.doc AND x.topic < y.topic GROUP BY ALL",
+    "trend_auto": "SELECT strftime(ts, '%Y-%m') AS period, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT strftime(o_orderdate, '%Y'), count(*) FROM orders GROUP BY 1",
+    "topic_pivot": """WITH r AS (SELECT year(o_orderdate)::INT AS period, substr('topic of customers, number ' || (o_custkey % 6) || ' of six', 1, 28) AS topic FROM orders WHERE o_custkey % 6 <> 0),
+g AS (SELECT * FROM (SELECT DISTINCT period FROM r), (SELECT DISTINCT topic FROM r)), c AS (SELECT period, topic, count(*) AS n FROM r GROUP BY ALL) SELECT g.period, g.topic, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.period = g.period AND c.topic = g.topic""",
+    "most_common": "SELECT l_partkey AS item, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, min(l_orderkey * 10 + l_linenumber), item LIMIT 20",
+    "records_by_topic": """WITH r AS (SELECT o_custkey % 6 AS topic, o_orderkey AS doc, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey % 6 ORDER BY year(o_orderdate) DESC, o_orderkey)::INT AS rank FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT topic, rank, doc, title FROM r WHERE rank <= 5""",
+    "cluster_panel": "WITH s AS (SELECT s_nationkey AS c, count(*) AS n FROM supplier GROUP BY 1) SELECT count(*) AS n_communities, max(n) AS largest_size, (SELECT c FROM s ORDER BY n DESC, c LIMIT 1) AS largest FROM s",
+    "isolated_communities": """WITH a AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS item, s_nationkey AS c FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+j AS (SELECT unnest([x.c, y.c]) AS c FROM a x JOIN a y ON x.doc = y.doc AND x.item < y.item WHERE x.c <> y.c) SELECT DISTINCT s_nationkey AS community FROM supplier WHERE s_nationkey NOT IN (SELECT c FROM j)""",
+    "citations": "SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, 1::BIGINT AS weight FROM lineitem WHERE l_orderkey <> l_partkey AND l_partkey IN (SELECT o_orderkey FROM orders)",
+    "shared_references": "WITH a AS (SELECT DISTINCT l_suppkey AS doc, l_partkey AS ref FROM lineitem) SELECT x.doc AS src, y.doc AS dst, count(*) AS weight FROM a x JOIN a y ON x.ref = y.ref AND x.doc < y.doc GROUP BY ALL HAVING count(*) >= 2",
+    "gap_filter": f"""WITH {_GAPS}, u AS (SELECT 'structural' AS kind, a, b FROM g UNION ALL SELECT 'cross_domain', a, b FROM x) SELECT kind, a AS concept_a, b AS concept_b FROM u WHERE contains(lower(a || ' ' || b), 'ring')""",
+    "gap_nodes": f"""WITH {_GAPS}, r AS (SELECT 'S' || l_suppkey AS entity, l_orderkey AS doc, year(o_orderdate) AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), q AS (SELECT max(year) AS last FROM r),
+t AS (SELECT entity FROM r, q GROUP BY entity HAVING count(*) FILTER (year >= last - 6 AND year < last - 1) >= 3 AND count(*) FILTER (year >= last - 1) = 0) SELECT DISTINCT node FROM (SELECT unnest([a, b]) AS node FROM w UNION ALL SELECT entity FROM t)""",
+    "semantic_search": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings), q AS (SELECT vec_id AS query_id, list_concat(x[1:8], list_transform(x[9:], lambda y: 0.0::DOUBLE)) AS y FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(x, y), 6) AS score, label FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM s)
+SELECT query_id, rank, vec_id, score, label FROM r WHERE rank <= 5 AND best >= 0.3""",
 }

@@ -144,3 +144,14 @@ def test_responses_and_context(spark):
 @pytest.mark.parametrize("n, k", [(3, 2), (25, 5), (1000, 10)])
 def test_topic_rules(n, k):
     assert topics.topic_count(n) == k and topics.least_topic_size(n) in (3, 5)
+
+
+def test_isolated_communities_and_auto_trend(spark):
+    from papergraph.operators import networks, reports
+
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "src string, dst string, weight long")
+    parts = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3)], "node string, community int")
+    assert [r.community for r in networks.isolated_communities(edges, parts).collect()] == [3]
+    dates = spark.createDataFrame([(d,) for d in ("2001-02", "2001", "2002-03-04", None)], "d string")
+    assert {r.period: r.n for r in reports.auto_trend(dates, "d").collect()} == {"2001-02": 1, "2002-03": 1}
+    assert {r.period: r.n for r in reports.auto_trend(dates.union(spark.createDataFrame([("2003",)], "d string")), "d").collect()} == {"2001": 2, "2002": 1, "2003": 1}
