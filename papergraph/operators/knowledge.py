@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,3 +194,57 @@ def closeness(edges: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame
     sums = distances(edges, most).groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("hops").alias("d"))
     value = F.when(F.col("d") > 0, F.round((F.col("r") - 1) / F.col("d") * (F.col("r") - 1) / max(n - 1, 1), 6)).otherwise(0.0)
     return nodes.select("node").distinct().join(sums, "node", "left").select("node", value.alias("closeness"))
+
+
+def _passed(near: list[list[tuple[int, float]]], source: int) -> list[float]:
+    """For each node the share of the shortest paths from the source that pass through it, summed over their ends."""
+    far, paths, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
+    heap, done = [(0.0, source)], set()
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v in done:
+            continue
+        done.add(v)
+        order.append(v)
+        for w, length in near[v]:
+            new = d + length
+            if w not in far or new < far[w]:
+                far[w], paths[w], before[w] = new, paths[v], [v]
+                heapq.heappush(heap, (new, w))
+            elif new == far[w] and w not in done:
+                paths[w] += paths[v]
+                before[w].append(v)
+    share = [0.0] * len(near)
+    for w in reversed(order):
+        for v in before[w]:
+            share[v] += paths[v] / paths[w] * (1 + share[w])
+    share[source] = 0.0
+    return share
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame:
+    """node and betweenness: the share of shortest paths between others that pass it, weights (positive) being distances.
+
+    Each task takes some of the nodes as sources; the graph, of `most` nodes at most, goes to all of them. A larger graph
+    gives an empty table. Values are normalised by the number of pairs of other nodes.
+    """
+    ids = [r[0] for r in nodes.select("node").distinct().orderBy("node").limit(most + 1).collect()]
+    n = len(ids)
+    near: list[list[tuple[int, float]]] = [[] for _ in ids]
+    place = {v: i for i, v in enumerate(ids)}
+    if n <= most:
+        for r in edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double")).toLocalIterator():
+            near[place[r[0]]].append((place[r[1]], r[2]))
+            near[place[r[1]]].append((place[r[0]], r[2]))
+
+    def shares(batches):
+        for batch in batches:
+            for source in batch.column("at").to_pylist():
+                share = _passed(near, source)
+                yield pa.RecordBatch.from_pydict({"at": pa.array(range(n), pa.int64()), "share": pa.array(share, pa.float64())})
+
+    spark = nodes.sparkSession
+    sources = spark.range(0, n if n <= most else 0, 1, max(1, min(n, 64))).withColumnRenamed("id", "at")
+    sums = sources.mapInArrow(shares, "at long, share double").groupBy("at").agg(F.sum("share").alias("share"))
+    names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)] if n <= most else [], f"at long, node {nodes.schema['node'].dataType.simpleString()}")
+    return names.join(sums, "at").select("node", F.round(F.col("share") / max((n - 1) * (n - 2), 1), 6).alias("betweenness"))

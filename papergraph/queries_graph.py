@@ -83,6 +83,11 @@ def _closeness(spark, sf_dir):
     return knowledge.closeness(_simple_edges(spark, sf_dir), nodes)
 
 
+def _betweenness(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part").select(F.col("p_name").alias("node")).distinct()
+    return knowledge.betweenness(_simple_edges(spark, sf_dir), nodes)
+
+
 def _semantic(spark, sf_dir):
     """Nodes are vectors of the embeddings table; every tenth pair of neighbours has an edge already."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("node"), F.col("embedding").alias("vector"))
@@ -248,7 +253,7 @@ def _search(spark, sf_dir):
 
 QUERIES = {
     "kg_nodes": lambda s, d: _kg(s, d)[0], "kg_edges": lambda s, d: _kg(s, d)[1], "kg_evidence": lambda s, d: _kg(s, d)[2], "kg_statistics": _statistics, "neighbourhood": _near, "subgraph_filter": _subgraph, "relation_table": _relation_table,
-    "top_relations": lambda s, d: knowledge.top_relations(_kg(s, d)[1]), "top_connected": lambda s, d: knowledge.top_connected(_kg(s, d)[1]), "communities": _communities, "closeness": _closeness, "semantic_edges": _semantic,
+    "top_relations": lambda s, d: knowledge.top_relations(_kg(s, d)[1]), "top_connected": lambda s, d: knowledge.top_connected(_kg(s, d)[1]), "communities": _communities, "closeness": _closeness, "betweenness": _betweenness, "semantic_edges": _semantic,
     "typed_keywords": _typed_keywords, "gaps_cross_domain": _cross_domain, "gap_report": _report, "gap_evidence": _gap_evidence, "keyword_retrieval": _retrieval, "grounded_prompts": _prompts, "parsed_responses": _parsed, "hypotheses": _hypotheses,
     "topics": _topics, "topic_class_words": _class_words, "topics_over_time": _over_time, "topic_network": _topic_network,
     "trend_auto": _trend, "topic_pivot": _pivot, "most_common": _common, "records_by_topic": _by_topic, "cluster_panel": _panel, "isolated_communities": _isolated, "citations": _citations, "shared_references": _coupling,

@@ -227,6 +227,12 @@ QUERIES = {
     "percentiles": _percentiles, "any_field_filter": _any_field, "layout_table": _layout, "highlight": _highlight, "community_palette": _palette,
 }
 
+def _boilerplate(column: str) -> str:
+    for pattern in T.BOILERPLATE:
+        column = f"regexp_replace({column}, '{pattern}', '', 'gi')"
+    return column
+
+
 _W = "w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), n3 AS (SELECT * FROM w WHERE len(w) >= 3)"
 _RAW = f"{_W}, raw AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN w[1] || ' ' || w[2] || ' ' || w[3] WHEN 1 THEN w[1] || ', ' || w[2] || ' ' || w[3] ELSE w[3] || ',' || w[1] END AS raw FROM n3)"
 _CASE = "array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), ' ')"
@@ -240,6 +246,11 @@ SELECT doc_id, CASE WHEN fore = '' THEN last ELSE trim(last || ', ' || fore, ',
   'Last ' || array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(translate(raw, ',', ' '), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: CASE WHEN x[1] = 'ß' THEN 'SS' ELSE upper(x[1]) END), '') AS short FROM r""",
     "keywords_clean": """WITH k AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS "at" FROM documents)
 SELECT doc_id, "at"::INT AS "at", regexp_replace(regexp_replace(lower(nfc_normalize(word)), '^[^\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_]+$', '', 'g'), '\\s+', ' ', 'g') AS keyword FROM k""",
+    "abstracts_clean": f"""WITH r AS (SELECT doc_id, '<p>' || text || '</p>  p&lt;0.05 &amp; more' || chr(13) || chr(10) || '  © 2020 The Authors. tail' || chr(10) || 'All rights reserved. x' || chr(10) || ' last ' AS t FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, nfc_normalize(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' ')) AS t FROM r),
+b AS (SELECT doc_id, {_boilerplate("t")} AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n|\\r', chr(10), 'g'), ' {{2,}}', ' ', 'g'), '[ \\t]*\\n[ \\t]*', chr(10), 'g') AS t FROM b)
+SELECT doc_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS abstract FROM c""",
     "partial_dates": """WITH r AS (SELECT *, CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d')
   WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 4 THEN strftime(o_orderdate, '%Y-%m') WHEN 7 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') END AS pub_date FROM orders)
 SELECT o_orderkey, pub_date, substr(pub_date, 1, 4)::INT AS pub_year, substr(pub_date, 1, 4) || '-06-15' AS mid_year, strftime(o_orderdate, '%b %Y') AS month FROM r""",

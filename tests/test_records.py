@@ -155,3 +155,16 @@ def test_isolated_communities_and_auto_trend(spark):
     dates = spark.createDataFrame([(d,) for d in ("2001-02", "2001", "2002-03-04", None)], "d string")
     assert {r.period: r.n for r in reports.auto_trend(dates, "d").collect()} == {"2001-02": 1, "2002-03": 1}
     assert {r.period: r.n for r in reports.auto_trend(dates.union(spark.createDataFrame([("2003",)], "d string")), "d").collect()} == {"2001": 2, "2002": 1, "2003": 1}
+
+
+def test_betweenness_closed_forms(spark):
+    from papergraph.operators import knowledge
+
+    def of(rows):
+        edges = spark.createDataFrame(rows, "src string, dst string, weight long")
+        nodes = edges.selectExpr("src AS node").union(edges.selectExpr("dst")).distinct()
+        return {r.node: r.betweenness for r in knowledge.betweenness(edges, nodes).collect()}
+
+    assert of([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "e", 1)]) == {"a": 0.0, "b": 0.5, "c": 0.666667, "d": 0.5, "e": 0.0}
+    assert of([("a", "b", 1), ("b", "d", 1), ("a", "c", 1), ("c", "d", 1)]) == {k: round(1 / 6, 6) for k in "abcd"}
+    assert of([("a", "b", 5), ("a", "c", 1), ("c", "b", 1)]) == {"a": 0.0, "b": 0.0, "c": 1.0}
