@@ -9,12 +9,15 @@ from papergraph.llm.common import table
 from papergraph.llm.decontaminate import contaminated
 from papergraph.llm.html_text import extract_text
 from papergraph.llm.langid import fit_languages, identify_languages
+from papergraph.llm.lexical import RANKED_SEARCH_SQL, ranked_search
 from papergraph.llm.mixing import mix_sources
 from papergraph.llm.ngram_join import NGRAM_COMPONENTS_SQL, ngram_components
 from papergraph.llm.quality import fit_quality, score_quality
 from papergraph.llm.repeats import remove_repeats
+from papergraph.llm.rules import RULES_SQL, judge
 from papergraph.llm.sharding import BYTE_SHARDS_SQL, byte_shards
 from papergraph.llm.topk import TOP_K_SQL, exact_top_k
+from papergraph.llm.whitening import whiten
 
 
 def remainder(n: int):
@@ -70,6 +73,18 @@ def op10_language_id(spark, sf_dir):
     return identify_languages(docs, model, keep=["doc_id", "held_out"]).drop("rejected")
 
 
+def op11_quality_rules(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op12_lexical_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_join": op2_ngram_join,
@@ -81,10 +96,15 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
     "op2_ngram_join": NGRAM_COMPONENTS_SQL,
     "op7_exact_top_k": TOP_K_SQL,
     "op9_sharding": BYTE_SHARDS_SQL,
+    "op11_quality_rules": RULES_SQL,
+    "op12_lexical_search": RANKED_SEARCH_SQL,
 }
