@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papergraph.functions.text import topic_label
+from papergraph.functions.text import without_accents, topic_label
+from papergraph.operators.storage import forget, written
 
 # Words of any study that tell nothing of its topic, beside the English stop words.
 STUDY_WORDS = """study studies result results method methods conclusion conclusions background objective objectives
@@ -28,43 +30,54 @@ def least_topic_size(n_docs: int, most: int = 5) -> int:
     return max(3, min(most, n_docs // 10))
 
 
-def tf_idf(docs: DataFrame, doc: str, text: str, least: int = 2, most_terms: int = 10_000) -> tuple[DataFrame, list[str]]:
-    """doc and features (a vector of length 1, or of zeros) of each row, and the terms: one and two words, without stop words.
+#: The settings that are tried until one finds a term: stop words (all, English alone, none), least documents, words per term
+#: (0: single characters), most terms.
+SETTINGS = ((2, 2, 2, 10_000), (2, 1, 2, 10_000), (1, 1, 1, 5_000), (0, 1, 0, 2_000))
 
-    A term needs `least` documents; the most_terms most frequent ones count. idf is ln((1 + n) / (1 + df)) + 1.
-    Null texts have no terms.
+
+def terms(docs: DataFrame, doc: str, text: str, stop: int = 2, words: int = 2) -> DataFrame:
+    """doc and terms (an array, with repeats) of each row: words of two characters at least and runs of as many as `words`.
+
+    stop: 0 for none, 1 for English stop words, 2 for those and the words of any study. With words 0 a term is a character
+    without its accent, each word having a blank on both sides. Null texts have no terms.
     """
     rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(rows)
-    stop = StopWordsRemover.loadDefaultStopWords("english") + STUDY_WORDS
-    words = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=stop).transform(words)
-    pairs = NGram(n=2, inputCol="kept", outputCol="pairs").transform(words)
-    terms = pairs.select("doc", F.concat("kept", "pairs").alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=least, vocabSize=most_terms).fit(terms)
-    counted = model.transform(terms)
-    n = rows.count()
-    at = F.posexplode(vector_to_array("counts")).alias("term", "tf")
-    cells = counted.select("doc", at).where("tf > 0")
-    df = cells.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = cells.join(F.broadcast(df), "term").select("doc", "term", (F.col("tf") * (F.ln(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
-    return weighed.select("doc", "term", (F.col("w") / norm).alias("weight")), model.vocabulary
-
-
-def document_vectors(weights: DataFrame, docs: DataFrame, doc: str, size: int) -> DataFrame:
-    """doc and features: an array of `size` weights; zeros for documents without terms."""
-    listed = weights.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("held"))
-    rows = docs.select(F.col(doc).alias("doc")).join(listed, "doc", "left")
-    value = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("held", i), F.lit(0.0)))
-    return rows.select("doc", F.coalesce(value, F.array_repeat(F.lit(0.0), size)).alias("features"))
-
-
-def fit_topics(vectors: DataFrame, k: int, seeds: int = 3, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+    if not words:
+        plain = F.regexp_replace(F.concat(F.lit(" "), F.regexp_replace(F.trim(without_accents(F.lower("text"))), r"(?U)\s+", "  "), F.lit(" ")), "^ +$", "")
+        return rows.select("doc", F.filter(F.split(plain, ""), lambda c: c != "").alias("terms"))
+    split = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(rows)
+    unwanted = [[], StopWordsRemover.loadDefaultStopWords("english"), StopWordsRemover.loadDefaultStopWords("english") + STUDY_WORDS][stop]
+    kept = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=unwanted).transform(split)
+    if words == 1:
+        return kept.select("doc", F.col("kept").alias("terms"))
+    return NGram(n=2, inputCol="kept", outputCol="pairs").transform(kept).select("doc", F.concat("kept", "pairs").alias("terms"))
+
+
+def tf_idf(docs: DataFrame, doc: str, text: str, settings=SETTINGS) -> tuple[DataFrame, list[str]]:
+    """doc and features (a sparse vector of length 1, or of zeros) of each row, and the terms, by the first settings that find any.
+
+    The most frequent terms count, idf being ln((1 + n) / (1 + df)) + 1. The vectors stay sparse: nothing has the size of
+    the vocabulary for each document. No term under any settings: vectors of one zero, and no terms.
+    """
+    for stop, least, words, most in settings:
+        found = written(terms(docs, doc, text, stop, words), "topic-terms")
+        counter = CountVectorizer(inputCol="terms", outputCol="counts", minDF=least, vocabSize=most).fit(found)
+        if not counter.vocabulary:
+            forget(found)
+            continue
+        counted = counter.transform(found).select("doc", "counts")
+        idf = IDF(inputCol="counts", outputCol="w").fit(counted).idf
+        weighed = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol="counts", outputCol="weighed").transform(counted)
+        return Normalizer(inputCol="weighed", outputCol="features").transform(weighed).select("doc", "features"), counter.vocabulary
+    return docs.select(F.col(doc).alias("doc"), array_to_vector(F.array(F.lit(0.0))).alias("features")), []
+
+
+def fit_topics(vectors: DataFrame, k: int, seeds: int = 10, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
     """doc, topic_id and probability (1, as clusters are hard), and the centres: the best of several starts of k-means.
 
     vectors: doc and features (an ML vector).
     """
-    vectors = vectors.persist()
+    vectors = written(vectors, "topic-vectors")
     best = None
     for i in range(seeds):
         model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="topic_id").fit(vectors)
@@ -73,6 +86,35 @@ def fit_topics(vectors: DataFrame, k: int, seeds: int = 3, seed: int = 42) -> tu
     return best[1].transform(vectors).select("doc", "topic_id", F.lit(1.0).alias("probability")), [list(map(float, c)) for c in best[1].clusterCenters()]
 
 
+def dense_topics(vectors: DataFrame, k: int, least_size: int = 5, dims: int = 5, reach: float = 2.0, seed: int = 42) -> DataFrame:
+    """doc, topic_id, probability and distance of vectors (doc, features): reduced to `dims` components, then split into at most k topics.
+
+    The clusters come from halving the largest ones again and again. Outliers have topic -1 and probability 0: documents
+    whose distance from their cluster's centre is more than `reach` times the root mean square distance in it, and those
+    of clusters with fewer than least_size other documents. The topics left are numbered by size, then by the old number.
+    """
+    width = vectors.first()
+    if width is None:
+        return vectors.select("doc", F.lit(0).alias("topic_id"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("distance"))
+    reduced = PCA(k=min(dims, width["features"].size), inputCol="features", outputCol="reduced").fit(vectors).transform(vectors).select("doc", "reduced")
+    reduced = written(reduced, "topic-reduced")
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="reduced", predictionCol="cluster").fit(reduced)
+    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+    square = F.aggregate(F.zip_with(vector_to_array("reduced"), "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, x: s + x)
+    placed = written(model.transform(reduced).join(F.broadcast(centres), "cluster").select("doc", "cluster", F.sqrt(square).alias("distance")), "topic-placed")
+    return cut_outliers(placed, least_size, reach)
+
+
+def cut_outliers(placed: DataFrame, least_size: int, reach: float) -> DataFrame:
+    """doc, topic_id, probability and distance of documents (doc, cluster, distance), by the rule of dense_topics."""
+    spread = placed.groupBy("cluster").agg((reach * F.sqrt(F.avg(F.col("distance") * F.col("distance")))).alias("most"))
+    near = placed.join(F.broadcast(spread), "cluster").withColumn("near", F.col("distance") <= F.col("most"))  # a row for each cluster
+    sizes = near.where("near").groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
+    numbers = sizes.select("cluster", (F.row_number().over(Window.orderBy(F.desc("size"), "cluster")) - 1).alias("number"))
+    topic = F.when(F.col("near"), F.col("number"))
+    return near.join(F.broadcast(numbers), "cluster", "left").select("doc", F.coalesce(topic, F.lit(OUTLIER)).cast("int").alias("topic_id"), F.when(topic.isNotNull(), 1.0).otherwise(0.0).alias("probability"), "distance")
+
+
 def centre_words(spark, centres: list[list[float]], terms: list[str], k: int = 15) -> DataFrame:
     """topic_id, rank, word and score: the k largest weights of each centre, without digits and single letters."""
     rows = [(t, i + 1, terms[j], c[j]) for t, c in enumerate(centres) for i, j in enumerate(sorted(range(len(c)), key=lambda j: -c[j])[:k])]
@@ -105,29 +147,36 @@ def topic_summary(assigned: DataFrame, words: DataFrame) -> DataFrame:
     return counts.join(listed, "topic_id", "left").select("topic_id", label.alias("label"), "paper_count").orderBy(F.desc("paper_count"), "topic_id")
 
 
-def topics_over_time(assigned: DataFrame, years: DataFrame, bins: int | None = None) -> DataFrame:
+def topics_over_time(assigned: DataFrame, years: DataFrame, words: DataFrame | None = None, bins: int | None = None, shown: int = 5) -> DataFrame:
     """topic_id, period and n: a topic's documents by year (doc, year), or by the start of one of so many equal ranges of years.
 
-    Null years are left out.
+    With words (topic_id, rank, word) also the topic's first words, joined by commas. Null years are left out.
     """
     rows = assigned.join(years.where("year IS NOT NULL"), "doc")
     if bins:
         span = years.agg(F.min("year").alias("low"), (F.max("year") - F.min("year") + 1).alias("span"))
         rows = rows.join(F.broadcast(span)).withColumn("year", F.floor(F.col("low") + F.floor((F.col("year") - F.col("low")) * bins / F.col("span")) * F.col("span") / bins).cast("int"))
-    return rows.groupBy("topic_id", F.col("year").alias("period")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("topic_id", F.col("year").alias("period")).agg(F.count("*").alias("n"))
+    if words is None:
+        return counts
+    listed = words.where(F.col("rank") <= shown).groupBy("topic_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"], ", ").alias("words"))
+    return counts.join(listed, "topic_id", "left").select("topic_id", "words", "period", "n")
 
 
 def topic_network(assigned: DataFrame, words: DataFrame) -> DataFrame:
     """src < dst and weight of topics: documents that both have, or, where no two share any, words that both have.
 
-    assigned: doc and topic_id (several rows for a document if it has several topics); words: topic_id, word.
+    assigned: doc and topic_id (several rows for a document if it has several topics); words: topic_id, word. Only topics
+    with words count, outliers never.
     """
     def meet(rows, by):
         rows = rows.distinct()
         other = rows.select(by, F.col("topic_id").alias("dst"))
         return rows.select(by, F.col("topic_id").alias("src")).join(other, by).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
-    shared = meet(assigned.where(F.col("topic_id") >= 0).select("doc", "topic_id"), "doc")
+    words = words.where(F.col("topic_id") >= 0)
+    valid = words.select("topic_id").distinct()
+    shared = meet(assigned.join(valid, "topic_id", "left_semi").select("doc", "topic_id"), "doc")
     if not shared.isEmpty():
         return shared
     return meet(words.where(F.length("word") > 1).select(F.lower("word").alias("word"), "topic_id"), "word")

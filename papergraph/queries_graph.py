@@ -175,12 +175,37 @@ def _hypotheses(spark, sf_dir):
 
 def _topics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights, terms = topics.tf_idf(docs, "doc_id", "text", 2, 300)
-    vectors = topics.document_vectors(weights, docs, "doc_id", len(terms)).select("doc", array_to_vector("features").alias("features"))
+    vectors, terms = topics.tf_idf(docs, "doc_id", "text")
     assigned, centres = topics.fit_topics(vectors, topics.topic_count(docs.count()))
     return topics.topic_summary(assigned, topics.centre_words(spark, centres, terms))
 
 
+def _dense(spark, sf_dir):
+    """Topics of the vectors; a vector stands for the document of its number."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("doc"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    n = rows.count()
+    return topics.dense_topics(rows, topics.topic_count(n), topics.least_topic_size(n))
+
+
+def _dense_topics(spark, sf_dir):
+    return _dense(spark, sf_dir).select("doc", "topic_id", "probability", F.round("distance", 6).alias("distance"))
+
+
+def _dense_summary(spark, sf_dir):
+    """The summary of the dense topics, with words from the documents' texts; outliers are left out."""
+    assigned = written(_dense(spark, sf_dir), "topics-dense")
+    texts = assigned.where("topic_id >= 0").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
+    words = topics.class_words(texts, "topic_id", "text").withColumnRenamed("topic", "topic_id")
+    return topics.topic_summary(assigned, words)
+
+
+def _binned(spark, sf_dir):
+    """Topics by ten ranges of years, with words: the topics are order priorities, their words the priorities' own."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), (F.col("o_custkey") % 6).cast("int").alias("topic_id"), F.year("o_orderdate").alias("year"), "o_orderpriority")
+    words = topics.class_words(rows, "topic_id", "o_orderpriority", 3).withColumnRenamed("topic", "topic_id")
+    return topics.topics_over_time(rows.select("doc", "topic_id"), rows.select("doc", "year"), words, 3, 2)
+
+
 def _class_words(spark, sf_dir):
     return topics.class_words(table(spark, sf_dir, "documents"), "source", "text")
 
@@ -195,6 +220,12 @@ def _topic_network(spark, sf_dir):
     return topics.topic_network(lines, lines.select("topic_id", F.lit("w").alias("word")))
 
 
+def _valid_topic_network(spark, sf_dir):
+    """Topics are parts' numbers mod 14, less one, of which only those below twelve have words; -1 are outliers."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 14 - 1).cast("int").alias("topic_id"))
+    return topics.topic_network(lines, lines.where("topic_id < 12").select("topic_id", F.lit("word").alias("word")).distinct())
+
+
 def _trend(spark, sf_dir):
     """Events are of one month, orders of years: the one by month, the other by year."""
     events = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("d"))
@@ -255,7 +286,7 @@ QUERIES = {
     "kg_nodes": lambda s, d: _kg(s, d)[0], "kg_edges": lambda s, d: _kg(s, d)[1], "kg_evidence": lambda s, d: _kg(s, d)[2], "kg_statistics": _statistics, "neighbourhood": _near, "subgraph_filter": _subgraph, "relation_table": _relation_table,
     "top_relations": lambda s, d: knowledge.top_relations(_kg(s, d)[1]), "top_connected": lambda s, d: knowledge.top_connected(_kg(s, d)[1]), "communities": _communities, "closeness": _closeness, "betweenness": _betweenness, "semantic_edges": _semantic,
     "typed_keywords": _typed_keywords, "gaps_cross_domain": _cross_domain, "gap_report": _report, "gap_evidence": _gap_evidence, "keyword_retrieval": _retrieval, "grounded_prompts": _prompts, "parsed_responses": _parsed, "hypotheses": _hypotheses,
-    "topics": _topics, "topic_class_words": _class_words, "topics_over_time": _over_time, "topic_network": _topic_network,
+    "topics": _topics, "topics_dense": _dense_topics, "topics_dense_summary": _dense_summary, "topics_binned": _binned, "topic_class_words": _class_words, "topics_over_time": _over_time, "topic_network": _topic_network, "topic_network_valid": _valid_topic_network,
     "trend_auto": _trend, "topic_pivot": _pivot, "most_common": _common, "records_by_topic": _by_topic, "cluster_panel": _panel, "isolated_communities": _isolated, "citations": _citations, "shared_references": _coupling,
     "gap_filter": _gap_filter, "gap_nodes": _gap_nodes, "semantic_search": _search,
 }
@@ -314,7 +345,13 @@ FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0 AND regexp_extra
 t AS (SELECT word, sum(tf) AS f FROM c GROUP BY word), m AS (SELECT sum(tf) / count(DISTINCT topic) AS a FROM c), s AS (SELECT topic, word, round(tf * ln(1 + a / f), 6) AS score FROM c JOIN t USING (word), m),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word)::INT AS rank FROM s) SELECT topic, rank, word, score FROM r WHERE rank <= 10""",
     "topics_over_time": "SELECT (o_custkey % 6)::INT AS topic_id, year(o_orderdate)::INT AS period, count(*) AS n FROM orders GROUP BY ALL",
+    "topics_binned": """WITH o AS (SELECT (o_custkey % 6)::INT AS topic_id, year(o_orderdate)::INT AS y, o_orderpriority AS p FROM orders), s AS (SELECT min(y) AS low, max(y) - min(y) + 1 AS span FROM o),
+n AS (SELECT topic_id, floor(low + floor((y - low) * 3 / span) * span / 3)::INT AS period, count(*) AS n FROM o, s GROUP BY ALL),
+t AS (SELECT topic_id, unnest(regexp_extract_all(lower(p), '[\\p{L}\\p{N}]{2,}')) AS word FROM o), c AS (SELECT topic_id, word, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT word, sum(tf) AS f FROM c GROUP BY word),
+a AS (SELECT sum(tf) / count(DISTINCT topic_id) AS a FROM c), r AS (SELECT topic_id, word, row_number() OVER (PARTITION BY topic_id ORDER BY round(tf * ln(1 + a / f), 6) DESC, word) AS rank FROM c JOIN f USING (word), a)
+SELECT topic_id, words, period, n FROM n LEFT JOIN (SELECT topic_id, string_agg(word, ', ' ORDER BY rank) AS words FROM r WHERE rank <= 2 GROUP BY 1) USING (topic_id)""",
     "topic_network": "WITH t AS (SELECT DISTINCT l_orderkey AS doc, (l_partkey % 12)::INT AS topic FROM lineitem) SELECT x.topic AS src, y.topic AS dst, count(*) AS weight FROM t x JOIN t y ON x.doc = y.doc AND x.topic < y.topic GROUP BY ALL",
+    "topic_network_valid": "WITH t AS (SELECT DISTINCT l_orderkey AS doc, (l_partkey % 14 - 1)::INT AS topic FROM lineitem WHERE l_partkey % 14 BETWEEN 1 AND 12) SELECT x.topic AS src, y.topic AS dst, count(*) AS weight FROM t x JOIN t y ON x.doc = y.doc AND x.topic < y.topic GROUP BY ALL",
     "trend_auto": "SELECT strftime(ts, '%Y-%m') AS period, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT strftime(o_orderdate, '%Y'), count(*) FROM orders GROUP BY 1",
     "topic_pivot": """WITH r AS (SELECT year(o_orderdate)::INT AS period, substr('topic of customers, number ' || (o_custkey % 6) || ' of six', 1, 28) AS topic FROM orders WHERE o_custkey % 6 <> 0),
 g AS (SELECT * FROM (SELECT DISTINCT period FROM r), (SELECT DISTINCT topic FROM r)), c AS (SELECT period, topic, count(*) AS n FROM r GROUP BY ALL) SELECT g.period, g.topic, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.period = g.period AND c.topic = g.topic""",
