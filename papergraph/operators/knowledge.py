@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papergraph.operators.storage import written
-from papergraph.operators.vectors import unit
+from papergraph.operators.storage import forget, written
 
 
 def canonical_key(name: Column, kind: Column, concept: Column) -> Column:
@@ -70,6 +69,27 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFr
     return reached
 
 
+def neighbourhood_graph(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
+    """The edges among the nodes within `depth` edges of the starts (node), whatever their direction."""
+    return induced(edges, written(neighbourhood(edges, starts, depth), "neighbourhood").select("node"))
+
+
+def walked(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int = 1_000_000) -> DataFrame:
+    """node and hops as neighbourhood gives them, in one recursive query.
+
+    Each walk of up to `depth` edges is a row on the way, and more than `most` of them are an error: for starts without
+    hubs about them. neighbourhood keeps each node once.
+    """
+    spark = edges.sparkSession
+    near = edges.select("src", "dst").unionAll(edges.select("dst", "src")).toDF("node", "next").distinct()
+    spark.conf.set("spark.sql.cteRecursionRowLimit", most)
+    return spark.sql(
+        f"""WITH RECURSIVE reached(node, hops) AS (
+          SELECT node, 0 FROM {{starts}} UNION ALL SELECT near.next, hops + 1 FROM reached JOIN {{near}} near ON near.node = reached.node WHERE hops < {int(depth)})
+        SELECT node, min(hops) AS hops FROM reached GROUP BY node""", starts=starts.select("node").distinct(), near=near,
+    )
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes (node)."""
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns)
@@ -113,63 +133,6 @@ def relation_table(edges: DataFrame, evidence: DataFrame, nodes: DataFrame, show
     return rows.select("src", "source_type", "relation", "dst", "target_type", F.round("confidence", 3).alias("confidence"), "weight", "evidence")
 
 
-def similarity_edges(means: DataFrame, edges: DataFrame, least: float = 0.85, blocks: int = 16) -> DataFrame:
-    """a < b and score of nodes (node, vector) with a cosine of `least` at least and no edge between them.
-
-    Rows are dealt into blocks, and each pair of blocks meets once, so that no task holds more than two blocks.
-    Null and zero vectors have no edges.
-    """
-    rows = means.where("vector IS NOT NULL").select("node", unit(F.col("vector").cast("array<double>")).alias("v"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"))
-    rows = rows.where(F.exists("v", lambda x: x != 0))
-    left = rows.select(F.col("node").alias("a"), F.col("v").alias("x"), "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    right = rows.select(F.col("node").alias("b"), F.col("v").alias("y"), F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    score = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    pairs = left.join(right, ["block", "other"]).where("a < b").select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least)
-    known = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
-
-
-def communities(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
-    """node and community by rounds of local moves for modularity, and by merging communities into nodes for the next level.
-
-    edges are undirected (src, dst, weight). In each round the nodes of one half, told by a hash, move to the neighbouring
-    community of the largest gain, if there is one; ties go to the smaller. The community's name is its least node.
-    """
-    weights = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
-    links = written(weights.withColumn("inner", F.lit(False)), "community-links")
-    total = links.agg(F.sum("weight")).first()[0]
-    names = written(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("community")), "community-names")
-    if not total:
-        return names
-    for _ in range(levels):
-        both = links.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").unionAll(links.where("src <> dst").select("dst", "src", "weight"))
-        loops = links.where("src = dst").select(F.col("src").alias("node"), F.col("weight").alias("twice"))
-        strength = written(both.groupBy("node").agg(F.sum("weight").alias("k")).join(loops, "node", "left").select("node", (F.col("k") + F.coalesce("twice", F.lit(0.0))).alias("k")), "community-strength")
-        state = written(strength.select("node", F.col("node").alias("community")), "community-state")
-        moved = 0
-        for turn in range(rounds):
-            sums = state.join(strength, "node").groupBy("community").agg(F.sum("k").alias("of"))
-            near = both.where("node <> other").join(state.toDF("other", "to"), "other").groupBy("node", "to").agg(F.sum("weight").alias("w"))
-            mine = state.join(strength, "node").where(F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2)
-            own = mine.join(near.toDF("n", "t", "w_own"), (F.col("node") == F.col("n")) & (F.col("community") == F.col("t")), "left").join(sums.toDF("community", "of_own"), "community").select("node", "community", "k", F.coalesce("w_own", F.lit(0.0)).alias("w_own"), "of_own")
-            gain = (F.col("w") - F.col("w_own")) / total - F.col("k") * (F.col("of") - F.col("of_own") + F.col("k")) / (2 * total * total)
-            best = near.join(own, "node").where("to <> community").join(sums.toDF("to", "of"), "to").select("node", "to", F.round(gain, 12).alias("gain")).where("gain > 0")
-            best = best.groupBy("node").agg(F.max_by("to", F.struct("gain", F.lit(0))).alias("any"), F.max("gain").alias("gain")).join(best.toDF("node", "to", "gain"), ["node", "gain"]).groupBy("node").agg(F.min("to").alias("to"))
-            after = written(state.join(best, "node", "left").select("node", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "community-state")
-            now = after.where("moved").count()
-            state, moved = after.select("node", "community"), moved + now
-            if not now and turn % 2:
-                break
-        if not moved:
-            break
-        least = state.groupBy("community").agg(F.min("node").alias("label"))
-        state = written(state.join(least, "community").select("node", F.col("label").alias("community")), "community-state")
-        names = written(names.join(state.toDF("community", "merged"), "community").select("node", F.col("merged").alias("community")), "community-names")
-        merged = links.join(state.toDF("src", "a"), "src").join(state.toDF("dst", "b"), "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.when((F.col("a") == F.col("b")) & (F.col("src") != F.col("dst")), 2 * F.col("weight")).otherwise(F.col("weight")).alias("weight"))
-        links = written(merged.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "community-links")
-    return names
-
-
 def distances(edges: DataFrame, most: int = 2000) -> DataFrame:
     """source, node and hops between all pairs of reachable nodes; nothing for graphs of more than `most` nodes."""
     near = edges.select("src", "dst").unionAll(edges.select("dst", "src")).toDF("node", "next").where("node <> next").distinct()
@@ -188,6 +151,34 @@ def distances(edges: DataFrame, most: int = 2000) -> DataFrame:
         reached = reached.unionAll(front)
 
 
+def closeness_sketch(edges: DataFrame, nodes: DataFrame, precision: int = 12, rounds: int = 100) -> DataFrame:
+    """node and closeness as closeness gives it, but of graphs of any size and estimated.
+
+    Each node has a sketch of the nodes within so many edges (HyperLogLog of 2^precision registers; relative error
+    of a count about 1.04 / 2^(precision / 2)). In each round it becomes the union of its own and its neighbours'; what it
+    grows by is the number of nodes at that distance. It ends when no estimate changes, or with an error after `rounds`.
+    A node's state has a fixed size whatever its degree, and unions are summed up before they are shuffled.
+    """
+    near = edges.select("src", "dst").unionAll(edges.select("dst", "src")).toDF("node", "next").where("node <> next").distinct()
+    near = written(near, "closeness-near")
+    every = nodes.select("node").distinct()
+    n = every.count()
+    state = written(every.groupBy("node").agg(F.hll_sketch_agg(F.col("node").cast("string"), precision).alias("sketch")).select("node", "sketch", F.lit(1).cast("long").alias("reached"), F.lit(0.0).alias("far"), F.lit(True).alias("grew")), "closeness-state")
+    for hop in range(1, rounds + 1):
+        # a node whose neighbours have not grown cannot grow either
+        told = near.join(state.where("grew").select(F.col("node").alias("next"), F.col("sketch").alias("other")), "next").groupBy("node").agg(F.hll_union_agg("other").alias("other"))
+        grown = state.join(told, "node", "left").select("node", F.when(F.col("other").isNull(), F.col("sketch")).otherwise(F.hll_union("sketch", F.coalesce("other", "sketch"))).alias("sketch"), F.col("reached").alias("before"), "far")
+        size = F.greatest(F.col("before"), F.hll_sketch_estimate("sketch"))
+        before, state = state, written(grown.select("node", "sketch", size.alias("reached"), (F.col("far") + hop * (size - F.col("before"))).alias("far"), (size > F.col("before")).alias("grew")), "closeness-state")
+        forget(before)
+        if state.where("grew").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"reach still grows after {rounds} rounds")
+    value = F.when(F.col("far") > 0, F.round((F.col("reached") - 1) / F.col("far") * (F.col("reached") - 1) / max(n - 1, 1), 6)).otherwise(0.0)
+    return state.select("node", value.alias("closeness"))
+
+
 def closeness(edges: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame:
     """node and closeness ((r - 1) / sum of distances, times (r - 1) / (n - 1), r nodes being reached); 0 for isolated nodes."""
     n = nodes.select("node").distinct().count()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from papergraph.operators import context, gaps, knowledge, networks, reports, topics, vectors
+from papergraph.operators import context, gaps, knowledge, networks, reports, similarity, topics, vectors
+from papergraph.operators.communities import communities
 from papergraph.operators.storage import written
 
 
@@ -75,7 +76,7 @@ def _simple_edges(spark, sf_dir):
 
 
 def _communities(spark, sf_dir):
-    return knowledge.communities(_simple_edges(spark, sf_dir))
+    return communities(_simple_edges(spark, sf_dir))
 
 
 def _closeness(spark, sf_dir):
@@ -92,7 +93,38 @@ def _semantic(spark, sf_dir):
     """Nodes are vectors of the embeddings table; every tenth pair of neighbours has an edge already."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("node"), F.col("embedding").alias("vector"))
     edges = rows.where("node % 10 = 0").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
-    return knowledge.similarity_edges(rows, edges, 0.4)
+    return similarity.similarity_edges(rows, edges, 0.4)
+
+
+def _semantic_buckets(spark, sf_dir):
+    """As semantic_edges, through buckets of random planes."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("node"), F.col("embedding").alias("vector"))
+    return similarity.similar_pairs(rows, 0.4, exact=False)
+
+
+def _semantic_graph(spark, sf_dir):
+    """The knowledge graph with edges between like suppliers: an order has the vector of its number in the embeddings."""
+    _, edges, evidence = _edges(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("doc_id"), F.col("embedding").alias("vector"))
+    return similarity.with_similarity(edges, similarity.similarity_edges(similarity.node_vectors(evidence, rows), edges, 0.25)).select("src", "relation", "dst", F.round("confidence", 5).alias("confidence"), "weight")
+
+
+def _near_graph(spark, sf_dir):
+    _, edges, _ = _edges(spark, sf_dir)
+    return knowledge.neighbourhood_graph(edges, edges.agg(F.min("src").alias("node")), 2).select("src", "relation", "dst", "weight")
+
+
+def _walked(spark, sf_dir):
+    """Nations' customers and orders as a tree: what is within two edges of the largest nation."""
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    edges = customers.select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("src"), F.concat(F.lit("c"), F.col("c_custkey")).alias("dst")).unionAll(orders.select(F.concat(F.lit("c"), F.col("o_custkey")), F.concat(F.lit("o"), F.col("o_orderkey"))))
+    return knowledge.walked(edges, edges.sparkSession.range(1).select(F.lit("n1").alias("node")), 2)
+
+
+def _closeness_sketch(spark, sf_dir):
+    """Suppliers and single parts: more nodes than closeness takes."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    return knowledge.closeness_sketch(lines, lines.select(F.explode(F.array("src", "dst")).alias("node")))
 
 
 def _typed_keywords(spark, sf_dir):
@@ -284,7 +316,7 @@ def _search(spark, sf_dir):
 
 QUERIES = {
     "kg_nodes": lambda s, d: _kg(s, d)[0], "kg_edges": lambda s, d: _kg(s, d)[1], "kg_evidence": lambda s, d: _kg(s, d)[2], "kg_statistics": _statistics, "neighbourhood": _near, "subgraph_filter": _subgraph, "relation_table": _relation_table,
-    "top_relations": lambda s, d: knowledge.top_relations(_kg(s, d)[1]), "top_connected": lambda s, d: knowledge.top_connected(_kg(s, d)[1]), "communities": _communities, "closeness": _closeness, "betweenness": _betweenness, "semantic_edges": _semantic,
+    "top_relations": lambda s, d: knowledge.top_relations(_kg(s, d)[1]), "top_connected": lambda s, d: knowledge.top_connected(_kg(s, d)[1]), "communities": _communities, "closeness": _closeness, "betweenness": _betweenness, "semantic_edges": _semantic, "semantic_edges_buckets": _semantic_buckets, "kg_with_similarity": _semantic_graph, "neighbourhood_graph": _near_graph, "neighbourhood_walked": _walked, "closeness_sketch": _closeness_sketch,
     "typed_keywords": _typed_keywords, "gaps_cross_domain": _cross_domain, "gap_report": _report, "gap_evidence": _gap_evidence, "keyword_retrieval": _retrieval, "grounded_prompts": _prompts, "parsed_responses": _parsed, "hypotheses": _hypotheses,
     "topics": _topics, "topics_dense": _dense_topics, "topics_dense_summary": _dense_summary, "topics_binned": _binned, "topic_class_words": _class_words, "topics_over_time": _over_time, "topic_network": _topic_network, "topic_network_valid": _valid_topic_network,
     "trend_auto": _trend, "topic_pivot": _pivot, "most_common": _common, "records_by_topic": _by_topic, "cluster_panel": _panel, "isolated_communities": _isolated, "citations": _citations, "shared_references": _coupling,
@@ -324,6 +356,14 @@ SELECT src, 'SUPPLIER' AS source_type, relation, dst, 'PART' AS target_type, rou
 q AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other)::INT AS rank FROM n) SELECT * FROM q WHERE rank <= 3""",
     "semantic_edges": """WITH v AS (SELECT vec_id::BIGINT AS id, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS score FROM v a JOIN v b ON a.id < b.id)
 SELECT * FROM s WHERE score >= 0.4 AND NOT (a % 10 = 0 AND b = a + 1)""",
+    "kg_with_similarity": f"""WITH {_EDGES}, v AS (SELECT DISTINCT src AS node, r.doc_id, embedding::DOUBLE[] AS x FROM r JOIN embeddings ON vec_id = r.doc_id),
+u AS (SELECT node, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v), n AS (SELECT node, list(a ORDER BY i) AS x FROM (SELECT node, i, avg(x) AS a FROM u GROUP BY ALL) GROUP BY node),
+s AS (SELECT p.node AS a, q.node AS b, list_cosine_similarity(p.x, q.x) AS score FROM n p JOIN n q ON p.node < q.node)
+SELECT src, relation, dst, round(confidence, 5) AS confidence, weight FROM e UNION ALL SELECT a, 'semantic_similarity', b, round(round(score, 6), 5), 1 FROM s WHERE round(score, 6) >= 0.25 AND NOT EXISTS (SELECT 1 FROM e WHERE src = a AND dst = b)""",
+    "neighbourhood_graph": f"""WITH {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT min(src) AS node FROM e), h1 AS (SELECT y AS node FROM b JOIN h0 ON x = node UNION FROM h0),
+h2 AS (SELECT y AS node FROM b JOIN h1 ON x = node UNION FROM h1) SELECT src, relation, dst, weight FROM e WHERE src IN (FROM h2) AND dst IN (FROM h2)""",
+    "neighbourhood_walked": """SELECT 'n1' AS node, 0 AS hops UNION ALL SELECT DISTINCT 'c' || c_custkey, 1 FROM customer WHERE c_nationkey = 1
+UNION ALL SELECT DISTINCT 'o' || o_orderkey, 2 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 1""",
     "typed_keywords": """WITH l AS (SELECT * FROM lineitem JOIN part ON p_partkey = l_partkey), k AS (SELECT l_orderkey AS doc, lower(trim(p_name)) AS item, 0 AS at0 FROM l UNION ALL SELECT l_orderkey, lower(trim(p_type)), 1 FROM l UNION ALL SELECT l_orderkey, lower(trim(p_brand)), 2 FROM l)
 SELECT item, count(*) AS n, ['keyword', 'heading', 'substance'][arg_min(at0, doc * 10 + at0) + 1] AS source_type FROM k WHERE item <> '' GROUP BY item HAVING count(*) >= 3""",
     "gaps_cross_domain": f"WITH {_GAPS} SELECT a AS concept_a, b AS concept_b, shared, type_a, type_b, shared::DOUBLE AS score FROM x",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papergraph.functions import text as T
 from papergraph.operators import context, gaps, knowledge, linkage, mentions, records, topics
+from papergraph.operators.communities import communities
 from papergraph.sources import sinks
 from papergraph.sources.articles import read_articles
 
@@ -122,7 +123,7 @@ def test_communities_and_closeness(spark):
     rows = [(f"a{i}", f"a{j}", 1) for i in range(5) for j in range(i)] + [(f"b{i}", f"b{j}", 1) for i in range(5) for j in range(i)] + [("a0", "b0", 1)]
     edges = spark.createDataFrame(rows, "src string, dst string, weight long")
     got = {}
-    for r in knowledge.communities(edges).collect():
+    for r in communities(edges).collect():
         got.setdefault(r.community, set()).add(r.node[0])
     assert sorted(map(sorted, got.values())) == [["a"], ["b"]]
     path = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "src string, dst string, weight long")
