@@ -325,7 +325,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         return saved(entries.join(largest, "gram").select("gram", "set", "n", "at", "component", "largest", "holders", F.row_number().over(by_size).alias("place")), "ngram-across")
 
     def sides(entries):
-        names = {"set": "set", "n": "n", "at": "at", "component": "c"} | ({"head": "head"} if "head" in entries.columns else {})
+        names = {"set": "set", "n": "n", "at": "at", "component": "c"} | ({"head": "head", "last": "last"} if "head" in entries.columns else {})
         left = entries.where("component <> largest").select("gram", "place", *[F.col(k).alias(f"{v}_a") for k, v in names.items()])
         return left, entries.select("gram", "place", *[F.col(k).alias(f"{v}_b") for k, v in names.items()])
 
@@ -348,15 +348,19 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     entries = across()
     # At an n-gram of many sets a pair counts only if it is the first that both have. Heads tell: if they have an n-gram
-    # in common, the first of these is the pair's first; if not, the pair counts at each.
-    heads = join.entries.groupBy("set").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "gram"))), lambda x: x["gram"]), 1, HEAD).alias("head"))
-    headed = entries.join(heads, "set").withColumn("head", F.when(F.col("holders") >= HEAD, F.col("head")))
+    # in common, the first of these is the pair's first; if not, the pair counts at each. What two heads do not share up to
+    # the end of one is lost to the overlap: beyond that end it can only be what the one or the other set has left.
+    first_entries = F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, HEAD)  # no more than a text has words
+    heads = join.entries.groupBy("set").agg(first_entries.alias("x")).select("set", F.col("x.gram").alias("head"), F.element_at("x.at", -1).alias("last"))
+    many = F.col("holders") >= HEAD
+    headed = entries.join(heads, "set").withColumn("head", F.when(many, F.col("head"))).withColumn("last", F.when(many, F.col("last")))
     left, right = sides(headed)
     left, right = left.drop("place"), right.drop("place")
-    first = F.get(F.array_intersect("head_a", "head_b"), F.lit(0))
+    common = F.array_intersect("head_a", "head_b")
+    beyond = F.greatest(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
+    counts = F.coalesce(F.get(common, F.lit(0)) == left["gram"], F.lit(True)) & F.coalesce(F.size(common) + beyond >= join.needed(F.col("n_a"), F.col("n_b")), F.lit(True))
     pairs = left.join(
-        right,
-        (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & F.coalesce(first == left["gram"], F.lit(True)),
+        right, (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & (F.col("head_a").isNull() | F.col("head_b").isNull() | counts)
     )
     merged = relabelled(saved(join.verified(distinct_pairs(pairs)).select("a", "b"), "ngram-more"))
     named = saved(join.open.join(merged, "set", "left").select("hi", "lo", F.coalesce("component", "set").alias("component")), "ngram-named")
