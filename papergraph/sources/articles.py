@@ -7,27 +7,56 @@ from pyspark.sql import functions as F
 
 from papergraph.functions.text import MONTHS
 
-_CHARACTERS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+_CHARACTERS = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+_INSIDE = r"""(?:[^>"'/]|"[^"]*+"|'[^']*+'|/(?!>))*+"""  # of a tag, behind its name: values may hold a >
+_REFERENCE = r"&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,10});"
+
+
+def _escaped(text: Column) -> Column:
+    for character, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(character), F.lit(name))
+    return text
+
+
+def _character(number: Column) -> Column:
+    """The character of a numeric reference; those of markup by name, what is no character as it was."""
+    code = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number).cast("long")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    for name, character in _CHARACTERS.items():
+        out = F.when(code == ord(character), F.lit(name)).otherwise(out)
+    return F.coalesce(out, F.concat(F.lit("&#"), number, F.lit(";")))
+
+
+def _normal(xml: Column) -> Column:
+    """The same element without comments, instructions, CDATA sections, empty-element tags and numeric references."""
+    parts = F.split(xml, r"<!\[CDATA\[|\]\]>", -1)
+    outside = F.transform(parts, lambda p, i: F.when(i % 2 == 1, _escaped(p)).otherwise(F.regexp_replace(p, r"(?s)<!--.*?-->|<\?.*?\?>", "")))
+    whole = F.when(F.contains(xml, F.lit("<![CDATA[")) | F.contains(xml, F.lit("<!--")) | F.contains(xml, F.lit("<?")), F.array_join(outside, "")).otherwise(xml)
+    full = F.regexp_replace(whole, rf"<([A-Za-z_][\w.:-]*)((?:\s{_INSIDE})?)/>", "<$1$2></$1>")
+    pieces, numbers = F.split(full, _REFERENCE, -1), F.regexp_extract_all(full, F.lit(_REFERENCE), F.lit(1))
+    decoded = F.array_join(F.zip_with(pieces, numbers, lambda p, n: F.concat(p, F.coalesce(_character(n), F.lit("")))), "")
+    return F.when(F.contains(full, F.lit("&#")), decoded).otherwise(full)
 
 
 def _blocks(xml: Column, tag: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{tag}(?:\s[^>]*)?>.*?</{tag}>)"), F.lit(1))
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{tag}(?:\s{_INSIDE})?>.*?</{tag}\s*>)"), F.lit(1))
 
 
 def _raw(xml: Column, tag: str) -> Column:
-    return F.regexp_extract(xml, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
+    return F.regexp_extract(xml, rf"(?s)<{tag}(?:\s{_INSIDE})?>(.*?)</{tag}\s*>", 1)
 
 
 def _plain(text: Column) -> Column:
-    """Text of mixed content: markup taken out, references decoded."""
-    out = F.regexp_replace(text, r"(?s)<[^>]+>", "")
+    """Text of mixed content: markup taken out, named references decoded."""
+    out = F.regexp_replace(text, rf"(?s)</?[A-Za-z_]{_INSIDE}>", "")
     for name, character in _CHARACTERS.items():
         out = F.replace(out, F.lit(name), F.lit(character))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 
 def _inner(block: Column) -> Column:
-    return _plain(F.regexp_extract(block, r"(?s)^<[^>]*>(.*)</[^>]*>$", 1))
+    return _plain(F.regexp_extract(block, rf"(?s)^<[^\s>]+(?:\s{_INSIDE})?>(.*)</[^>]*>$", 1))
 
 
 def _text(xml: Column, tag: str) -> Column:
@@ -39,7 +68,9 @@ def _or_null(text: Column) -> Column:
 
 
 def _attribute(block: Column, name: str) -> Column:
-    return F.regexp_extract(block, rf'^<[^>]*\s{name}="([^"]*)"', 1)
+    """An attribute's value in the block's first tag, in either kind of quotes; empty if there is none."""
+    quoted = F.regexp_extract(block, rf"""^<[^\s>]+(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*?\s+{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return _plain(F.when(quoted == "", F.lit("")).otherwise(F.substr(quoted, F.lit(2), F.length(quoted) - 2)))
 
 
 def _texts(xml: Column, tag: str) -> Column:
@@ -68,18 +99,21 @@ def _free_date(text: Column) -> Column:
 
 def _named(blocks: Column, attribute: str) -> Column:
     """The first block whose attribute says doi."""
-    return F.get(F.filter(blocks, lambda b: F.lower(_attribute(b, attribute)) == "doi"), F.lit(0))
+    return F.get(F.filter(blocks, lambda b: F.lower(F.trim(_attribute(b, attribute))) == "doi"), F.lit(0))
 
 
 def parse_articles(articles: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row for each article (an XML element as text) that has an id and a closing tag; others are left out.
+    """One row for each article (an XML element as text) that is well formed and has an id; others are left out.
 
-    Sections of an abstract are lines, `LABEL: text` where they have a label. A name is "Last, Fore", or the collective
+    All references and CDATA sections are read as the text they stand for. Sections of an abstract are lines, `LABEL: text` where they have a label. A name is "Last, Fore", or the collective
     name. A heading has one row for each of its qualifiers; it is major if it or its qualifier is. The date is the
-    electronic one, else that of the issue, else the free-form one. Named references and the apostrophe's number are
-    decoded, other numeric references stay. Missing texts are null, missing lists empty.
+    electronic one, else that of the issue, else the free-form one. Missing texts are null, missing lists empty.
     """
-    x = F.col(xml)
+    # names lose their prefixes first: what declares them may stand outside the element
+    bare = F.regexp_replace(F.col(xml), r"(</?)[\w.-]+:(?=[A-Za-z_])", "$1")
+    sound = F.from_xml(bare, "PMID string, _corrupt_record string", {"mode": "PERMISSIVE"})
+    articles = articles.where(sound["_corrupt_record"].isNull()).select(_normal(F.col(xml)).alias("xml"))
+    x = F.col("xml")
     section = F.transform(_blocks(_raw(x, "Abstract"), "AbstractText"), lambda b: F.struct(_attribute(b, "Label").alias("label"), _inner(b).alias("text")))
     said = F.transform(F.filter(section, lambda s: (s["label"] != "") | (s["text"] != "")), lambda s: F.when(s["label"] != "", F.concat(s["label"], F.lit(": "), s["text"])).otherwise(s["text"]))
 
@@ -99,7 +133,7 @@ def parse_articles(articles: DataFrame, xml: str = "xml") -> DataFrame:
     mesh = F.flatten(F.transform(F.filter(_blocks(x, "MeshHeading"), lambda b: F.size(_blocks(b, "DescriptorName")) > 0), headings))
     issue = _raw(x, "JournalIssue")
     issued = _raw(issue, "PubDate")
-    rows = articles.where(F.contains(x, F.lit("</PubmedArticle>"))).select(
+    rows = articles.select(
         _or_null(_text(x, "PMID")).alias("pmid"),
         _or_null(_text(x, "ArticleTitle")).alias("title"),
         _or_null(F.array_join(said, "\n")).alias("abstract"),
