@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papergraph.functions.text import confidence_score
+from papergraph.operators.retrieval import gram_index, keyword_retrieval, lowered_text
 
 # The sections of a response, in order, with the columns that they fill.
 SECTIONS = {"hypothesis": "HYPOTHESIS", "rationale": "BIOLOGICAL RATIONALE", "supporting_evidence": "SUPPORTING EVIDENCE", "suggested_experiment": "SUGGESTED EXPERIMENT", "confidence": "CONFIDENCE", "novelty": "NOVELTY"}
 
 
-def search_tokens(text: Column, least: int, cut: int | None = None) -> Column:
-    """Lower-cased words of so many characters at least; the text itself (its first `cut` characters) if there is none."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    words = F.array_distinct(F.filter(F.split(lowered, r"(?U)\W+"), lambda w: F.length(w) >= least))
-    return F.when(F.size(words) > 0, words).otherwise(F.array(F.substring(lowered, 1, cut) if cut else lowered))
-
-
-def keyword_retrieval(questions: DataFrame, records: DataFrame, k: int = 5, least: int = 4) -> DataFrame:
-    """question_id, rank and doc_id: the first k records (by ord) that hold one of the question's words.
-
-    questions: question_id, question; they are few and go to every partition of records (ord, doc_id, title, abstract),
-    which keeps its first k for each before rows are shuffled.
-    """
-    asked = questions.select("question_id", search_tokens(F.col("question"), least, 20).alias("tokens"))
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))))
-    rows = records.select("ord", "doc_id", text.alias("text")).join(asked, F.exists("tokens", lambda t: F.contains(F.col("text"), t)))
-    first = Window.partitionBy("question_id").orderBy("ord")
-    return rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("question_id", "rank", "doc_id")
-
-
 def record_context(hits: DataFrame, records: DataFrame, chars: int = 400) -> DataFrame:
     """question_id and context: the records of the hits (question_id, rank, doc_id) as text, in their order."""
     line = F.concat(F.lit("PMID:"), F.col("doc_id").cast("string"), F.lit(" | "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring(F.coalesce("abstract", F.lit("")), 1, chars), F.lit("…"))
@@ -55,13 +36,13 @@ def evidence_context(gaps: DataFrame, records: DataFrame, k: int = 5, chars: int
     Records come in three tiers, by ord in each: the gap's evidence (k at most), then k matches of a word of concept A,
     then of concept B. A record that an earlier tier has counts in the k of its own, but is not said again.
     """
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))))
-    rows = records.select("ord", "doc_id", "title", "abstract", text.alias("text"))
+    rows = records.select("ord", "doc_id", "title", "abstract")
+    index = gram_index(records.select("ord", lowered_text().alias("text")))
     known = gaps.select("gap_id", F.explode("evidence").alias("doc_id")).distinct().join(rows.select("doc_id", "ord"), "doc_id").select("gap_id", F.lit(0).alias("tier"), "ord", "doc_id")
     for tier, concept in enumerate(("concept_a", "concept_b"), 1):
-        asked = gaps.where(F.col(concept) != "").select("gap_id", search_tokens(F.col(concept), 3).alias("tokens"))
-        found = rows.select("ord", "doc_id", "text").join(asked, F.exists("tokens", lambda t: F.contains(F.col("text"), t)))
-        known = known.unionByName(found.select("gap_id", F.lit(tier).alias("tier"), "ord", "doc_id"))
+        asked = gaps.where(F.col(concept) != "").select(F.col("gap_id").alias("question_id"), F.col(concept).alias("question"))
+        found = keyword_retrieval(asked, rows, k, 3, None, index).join(rows.select("doc_id", "ord"), "doc_id")
+        known = known.unionByName(found.select(F.col("question_id").alias("gap_id"), F.lit(tier).alias("tier"), "ord", "doc_id"))
     first = Window.partitionBy("gap_id", "tier").orderBy("ord")
     once = Window.partitionBy("gap_id", "doc_id").orderBy("tier")
     picked = known.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).withColumn("again", F.row_number().over(once)).where("again = 1")

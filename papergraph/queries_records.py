@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papergraph.functions import text as T
-from papergraph.operators import linkage, mentions, records
+from papergraph.operators import linkage, mentions, records, retrieval, statistics
 from papergraph.operators.storage import shared_folder
-from papergraph.sources import sinks
+from papergraph.sources import sinks, tables
 from papergraph.sources.articles import read_articles
 
 
@@ -220,7 +220,81 @@ def _palette(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", ranks.cast("int").alias("colour"))
 
 
+def _rough_xml(spark, sf_dir):
+    """Articles are orders, with references by number, CDATA, either kind of quotes, empty elements and comments; every tenth is broken."""
+    number = F.col("o_orderkey").cast("string")
+    end = F.when(F.col("o_orderkey") % 10 == 0, F.lit("</Article></PubmedArticle>")).otherwise(F.lit("</Article></MedlineCitation></PubmedArticle>"))
+    xml = F.concat(
+        F.lit("<PubmedArticle><MedlineCitation><PMID Version='1'>"), number, F.lit("</PMID><Article><ArticleTitle>TNF-&#x3b1; &#8211; <![CDATA[x<y & "), "o_orderstatus", F.lit("]]> <i>"), "o_orderpriority",
+        F.lit("</i> &#60;b&#x3E;</ArticleTitle><!-- <Language>no</Language> --><Abstract><AbstractText NlmCategory=\"A>B\" Label='AIM'>p &lt; <b>1</b></AbstractText><AbstractText/><AbstractText>&#128512; "), number,
+        F.lit("</AbstractText></Abstract><Language>eng</Language>"), end,
+    )
+    path = f"{shared_folder(spark)}/rough-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    table(spark, sf_dir, "orders").select(xml.alias("value")).write.mode("overwrite").text(path)
+    return read_articles(spark, path, "q").select(F.col("pmid").cast("long").alias("pmid"), "title", "abstract", "language")
+
+
+def _upsert_in_place(spark, sf_dir):
+    """A table of orders in buckets; a batch changes and adds some, twice."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    path = f"{shared_folder(spark)}/orders-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    tables.create_table(orders, path, ["o_orderkey"], 16)
+    batch = orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("new").alias("o_orderstatus")).unionByName(orders.where("o_orderkey % 7 = 1").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_orderstatus"))
+    for _ in range(2):
+        tables.upsert_table(batch, path, ["o_orderkey"], 16)
+    return tables.read_table(spark, path)
+
+
+def _label_mentions(spark, sf_dir):
+    """Words of parts' types and of benchmark items in the documents."""
+    items = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{4,})"), F.lit(1))).alias("label"))
+    return retrieval.label_mentions(table(spark, sf_dir, "documents"), items.unionByName(table(spark, sf_dir, "part").select(F.col("p_type").alias("label"))))
+
+
+def _vocabulary_marks(spark, sf_dir):
+    """Each document asks with its first line; only words of the benchmark's items are marked."""
+    words = retrieval.vocabulary(table(spark, sf_dir, "benchmark").select(F.col("text").alias("label")))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("query"), "text")
+    return retrieval.marked_terms(pairs, words).select("doc_id", F.sha2("marked", 256).alias("marked_hash"))
+
+
+def _reload(spark, sf_dir):
+    """Orders stored as records with their suppliers as authors, of which one query's are read again."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    author = F.struct(F.col("s_name").alias("name"), *[F.lit(None).cast("string").alias(c) for c in ("last_name", "fore_name", "initials", "affiliation", "normalized_name")])
+    people = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", author.alias("a"))))["a"].alias("authors"))
+    orders = table(spark, sf_dir, "orders").join(people, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = orders.select(
+        F.col("o_orderkey").cast("string").alias("pmid"), F.lit(None).cast("string").alias("title"), "authors", F.array(F.col("o_orderpriority"), F.col("o_orderpriority")).alias("keywords"),
+        F.date_format("o_orderdate", "yyyy MMM d").alias("pub_date"), F.col("o_orderstatus").alias("query_used"), F.col("o_orderkey").alias("row_ord"),
+    )
+    kept = records.stored(rows)
+    kept = kept.withColumn("keywords", F.when(F.col("row_ord") % 5 == 0, F.lit("{bad")).otherwise(F.col("keywords")))
+    return records.reload_session(kept, "F").select("pmid", "pub_date", "pub_year", "author_count", "keyword_count", F.array_join(F.col("authors")["name"], ";").alias("authors"))
+
+
+def _corpus_counts(spark, sf_dir):
+    """Papers are orders, their query the status; authors are suppliers, entities parts, relations lines, hypotheses customers."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("query"))
+    lines = table(spark, sf_dir, "lineitem")
+    people = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("author"))
+    hypotheses = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("query"))
+    return statistics.corpus_counts(orders, people, table(spark, sf_dir, "part"), lines, hypotheses, "F")
+
+
+def _sketches(spark, sf_dir):
+    """Distinct customers and prices by order status, from sketches of two batches, and of all statuses together."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("query"), "o_orderkey", "o_custkey", "o_totalprice")
+    kept = None
+    for batch in (orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 <> 0")):
+        one = statistics.query_sketches(batch, ["o_custkey"], ["o_totalprice"])
+        kept = one if kept is None else kept.unionByName(one)
+    whole = statistics.merged_sketches(kept).withColumn("query", F.lit("all"))
+    return statistics.estimates(statistics.merged_sketches(kept, ["query"]).unionByName(whole))
+
+
 QUERIES = {
+    "articles_rough_xml": _rough_xml, "upsert_in_place": _upsert_in_place, "label_mentions": _label_mentions, "highlight_vocabulary": _vocabulary_marks, "session_reload": _reload, "corpus_counts": _corpus_counts, "corpus_sketches": _sketches,
     "author_names": _author_names, "keywords_clean": _keywords, "abstracts_clean": _abstracts, "partial_dates": _dates, "text_helpers": _helpers, "sentences": _sentences, "display_authors": _payload,
     "topic_labels": _labels, "title_dedup": _titles, "author_clusters": _clusters, "clean_records": _clean_records, "entities": _entities, "entity_relations": _relations, "articles_from_xml": _xml,
     "upsert_records": _upsert, "merge_batches": _merge, "dimension_insert": _dimension, "link_terms": _links, "json_arrays": _json, "run_log": _run_log, "vector_set": _vector_set, "kpi_row": _kpi, "table_page": _page,
@@ -238,6 +312,15 @@ _RAW = f"{_W}, raw AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN w[1] || ' ' ||
 _CASE = "array_to_string(list_transform(list_filter(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), ' ')"
 
 ORACLES = {
+    "articles_rough_xml": """SELECT o_orderkey AS pmid, 'TNF-α – x<y & ' || o_orderstatus || ' ' || o_orderpriority || ' <b>' AS title, 'AIM: p < 1' || chr(10) || '😀 ' || o_orderkey AS abstract, 'eng' AS language FROM orders WHERE o_orderkey % 10 <> 0""",
+    "upsert_in_place": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 = 1",
+    "session_reload": """WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg(regexp_replace(s_name, '^(.*)$', '\\1'), ';' ORDER BY l_linenumber, s_name) AS a FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS pmid, strftime(o_orderdate, '%Y-%m-%d') AS pub_date, year(o_orderdate)::INT AS pub_year, coalesce(n, 0)::INT AS author_count, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS keyword_count, coalesce(a, '') AS authors
+FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""",
+    "corpus_counts": """SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS paper_count, (SELECT count(DISTINCT l_suppkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F') AS author_count,
+(SELECT count(*) FROM part) AS entity_count, (SELECT count(*) FROM lineitem) AS relationship_count, (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS hypothesis_count""",
+    "label_mentions": """WITH b AS (SELECT DISTINCT label FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS label FROM benchmark UNION ALL SELECT lower(trim(p_type)) FROM part) WHERE label <> '' AND NOT contains(label, ' ')),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS label FROM documents) SELECT doc_id, label, count(*) AS n FROM w JOIN b USING (label) GROUP BY ALL""",
     "author_names": f"""WITH {_RAW}, p AS (SELECT doc_id, raw, trim(regexp_replace(strip_accents(raw), '\\s+', ' ', 'g')) AS s FROM raw),
 q AS (SELECT *, CASE WHEN contains(s, ',') THEN split_part(s, ',', 1) ELSE regexp_extract(s, '\\S+$') END AS last,
   CASE WHEN contains(s, ',') THEN substr(s, instr(s, ',') + 1) ELSE regexp_replace(s, '\\s*\\S+$', '') END AS fore FROM p),
