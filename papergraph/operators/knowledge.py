@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papergraph.operators.networks import modularity
 from papergraph.operators.storage import forget, written
 
 
@@ -187,55 +187,101 @@ def closeness(edges: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame
     return nodes.select("node").distinct().join(sums, "node", "left").select("node", value.alias("closeness"))
 
 
-def _passed(near: list[list[tuple[int, float]]], source: int) -> list[float]:
-    """For each node the share of the shortest paths from the source that pass through it, summed over their ends."""
-    far, paths, before, order = {source: 0.0}, {source: 1.0}, {source: []}, []
-    heap, done = [(0.0, source)], set()
-    while heap:
-        d, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for w, length in near[v]:
-            new = d + length
-            if w not in far or new < far[w]:
-                far[w], paths[w], before[w] = new, paths[v], [v]
-                heapq.heappush(heap, (new, w))
-            elif new == far[w] and w not in done:
-                paths[w] += paths[v]
-                before[w].append(v)
-    share = [0.0] * len(near)
-    for w in reversed(order):
-        for v in before[w]:
-            share[v] += paths[v] / paths[w] * (1 + share[w])
-    share[source] = 0.0
-    return share
-
-
 def betweenness(edges: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame:
     """node and betweenness: the share of shortest paths between others that pass it, weights (positive) being distances.
 
-    Each task takes some of the nodes as sources; the graph, of `most` nodes at most, goes to all of them. A larger graph
-    gives an empty table. Values are normalised by the number of pairs of other nodes.
+    All by joins, for all sources at once: distances by rounds of relaxing, then the edges that shortest paths take, the
+    numbers of paths along them edge by edge, and back along them what each node passes on. With more than `most` nodes that many are
+    sources, told by a hash, and the sums are scaled: an estimate. Values are normalised by the number of pairs of other nodes.
+    """
+    ends = edges.where("src <> dst AND weight > 0").select("src", "dst", F.col("weight").cast("double").alias("length"))
+    near = written(ends.unionAll(ends.select("dst", "src", "length")).toDF("node", "next", "length").groupBy("node", "next").agg(F.min("length").alias("length")), "between-near")
+    every = written(nodes.select("node").distinct(), "between-nodes")
+    n = every.count()
+    sources = every if n <= most else every.orderBy(F.xxhash64("node"), "node").limit(most)
+    far = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("new")), "between-far")
+    while not far.where("new").isEmpty():
+        step = far.where("new").join(near, "node").select("source", F.col("next").alias("node"), (F.col("dist") + F.col("length")).alias("dist"))
+        best = step.groupBy("source", "node").agg(F.min("dist").alias("reached"))
+        after = far.join(best, ["source", "node"], "full_outer")
+        closer = F.col("reached").isNotNull() & (F.col("dist").isNull() | (F.col("reached") < F.col("dist")))
+        before, far = far, written(after.select("source", "node", F.when(closer, F.col("reached")).otherwise(F.col("dist")).alias("dist"), closer.alias("new")), "between-far")
+        forget(before)
+    taken = far.select("source", "node", "dist").join(near, "node").join(far.select("source", F.col("node").alias("next"), F.col("dist").alias("whole")), ["source", "next"])
+    taken = written(taken.where("dist + length = whole").select("source", "node", "next"), "between-taken")
+
+    def summed(first, step, name):
+        """The sum over all rounds of what first (source, node, x) becomes as step leads it on; null if there is none."""
+        found, now = first, written(first, name)
+        parts = [now]
+        while True:
+            now = written(step(now), name)
+            if now.isEmpty():
+                break
+            parts.append(now)
+            if len(parts) > 8:  # sums are taken on the way, so that the plan stays short
+                whole = written(reduce(DataFrame.unionAll, parts).groupBy("source", "node").agg(F.sum("x").alias("x")), name)
+                parts = [whole]
+        found = reduce(DataFrame.unionAll, parts).groupBy("source", "node").agg(F.sum("x").alias("x"))
+        return written(found, name)
+
+    paths = summed(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("x")), lambda now: now.join(taken, ["source", "node"]).groupBy("source", F.col("next").alias("node")).agg(F.sum("x").alias("x")), "between-paths")
+    shares = taken.join(paths.toDF("source", "node", "here"), ["source", "node"]).join(paths.toDF("source", "next", "there"), ["source", "next"]).select("source", "node", "next", (F.col("here") / F.col("there")).alias("share"))
+    shares = written(shares, "between-shares")
+    units = far.where("source <> node").select("source", "node", F.lit(1.0).alias("x"))
+    passed = summed(units, lambda now: now.withColumnRenamed("node", "next").join(shares, ["source", "next"]).groupBy("source", "node").agg(F.sum(F.col("x") * F.col("share")).alias("x")), "between-passed")
+    scale = n / min(n, most) / max((n - 1) * (n - 2), 1) if n else 0.0
+    sums = passed.where("source <> node").groupBy("node").agg(F.sum(F.col("x") - 1).alias("x"))  # less the unit that it began with
+    return every.join(sums, "node", "left").select("node", F.round(F.coalesce(F.col("x"), F.lit(0.0)) * scale, 6).alias("betweenness"))
+
+
+def kg_filter(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, types: list[str] | None = None, name: str = "", relations: list[str] | None = None, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the types whose label holds name, whatever the case, and edges among them of the relations.
+
+    An edge goes if it has fewer than `least` documents of evidence and a weight below `least`. None lets all types or relations pass.
+    """
+    kept = nodes if types is None else nodes.where(F.coalesce("entity_type", F.lit("UNKNOWN")).isin(types))
+    if name:
+        kept = kept.where(F.contains(F.lower("label"), F.lit(name.lower())))
+    inner = induced(edges if relations is None else edges.where(F.col("relation").isin(relations)), kept.select(F.col("label").alias("node")))
+    counts = evidence.groupBy("src", "relation", "dst").agg(F.countDistinct("doc_id").alias("_n"))
+    enough = (F.coalesce("_n", F.lit(0)) >= least) | (F.col("weight") >= least)
+    return kept, inner.join(counts, ["src", "relation", "dst"], "left").where(enough).select(*edges.columns)
+
+
+def relations_with(table: DataFrame, sources: list[str] | None = None, targets: list[str] | None = None, relations: list[str] | None = None) -> DataFrame:
+    """Rows of a relation table of the source types, target types and relations given (None: all)."""
+    for column, wanted in (("source_type", sources), ("target_type", targets), ("relation", relations)):
+        if wanted is not None:
+            table = table.where(F.col(column).isin(wanted))
+    return table
+
+
+def entity_detail(table: DataFrame, node: str) -> DataFrame:
+    """The outgoing relations of a node in a relation table, by falling confidence."""
+    return table.where(F.col("src") == node).select("relation", "dst", "target_type", "confidence", "weight", "evidence").orderBy(F.desc("confidence"), "relation", "dst")
+
+
+def filter_domains(nodes: DataFrame, edges: DataFrame, communities: DataFrame | None = None, years: DataFrame | None = None) -> DataFrame:
+    """domain and value: entity types, relations, communities and the first and last year that a filter may choose from."""
+    out = nodes.select(F.lit("entity_type").alias("domain"), F.coalesce("entity_type", F.lit("UNKNOWN")).alias("value")).distinct()
+    out = out.unionByName(edges.select(F.lit("relation").alias("domain"), F.col("relation").alias("value")).distinct())
+    if communities is not None:
+        out = out.unionByName(communities.select(F.lit("community").alias("domain"), F.col("community").cast("string").alias("value")).distinct())
+    if years is not None:
+        ends = years.agg(F.min("year").alias("low"), F.max("year").alias("high"))
+        out = out.unionByName(ends.select(F.stack(F.lit(2), F.lit("first_year"), F.col("low").cast("string"), F.lit("last_year"), F.col("high").cast("string")).alias("domain", "value")))
+    return out
+
+
+def kg_report(nodes: DataFrame, edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """figure, value and n: node and edge counts, types, relations, the node with most edges, and modularity of the communities (node, community).
+
+    Modularity is that of the undirected graph in which each edge counts once, whatever its weight.
     """
-    ids = [r[0] for r in nodes.select("node").distinct().orderBy("node").limit(most + 1).collect()]
-    n = len(ids)
-    near: list[list[tuple[int, float]]] = [[] for _ in ids]
-    place = {v: i for i, v in enumerate(ids)}
-    if n <= most:
-        for r in edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double")).toLocalIterator():
-            near[place[r[0]]].append((place[r[1]], r[2]))
-            near[place[r[1]]].append((place[r[0]], r[2]))
-
-    def shares(batches):
-        for batch in batches:
-            for source in batch.column("at").to_pylist():
-                share = _passed(near, source)
-                yield pa.RecordBatch.from_pydict({"at": pa.array(range(n), pa.int64()), "share": pa.array(share, pa.float64())})
-
-    spark = nodes.sparkSession
-    sources = spark.range(0, n if n <= most else 0, 1, max(1, min(n, 64))).withColumnRenamed("id", "at")
-    sums = sources.mapInArrow(shares, "at long, share double").groupBy("at").agg(F.sum("share").alias("share"))
-    names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)] if n <= most else [], f"at long, node {nodes.schema['node'].dataType.simpleString()}")
-    return names.join(sums, "at").select("node", F.round(F.col("share") / max((n - 1) * (n - 2), 1), 6).alias("betweenness"))
+    total = lambda df, name: df.agg(F.count("*").cast("double").alias("n")).select(F.lit(name).alias("figure"), F.lit(None).cast("string").alias("value"), "n")
+    out = total(nodes, "node_count").unionByName(total(edges, "edge_count"))
+    for name, df in (("entity_type", histogram(nodes, "entity_type")), ("relation", histogram(edges, "relation")), ("most_connected", most_connected(edges).toDF("value", "n"))):
+        out = out.unionByName(df.select(F.lit(name).alias("figure"), "value", F.col("n").cast("double").alias("n")))
+    ones = edges.select("src", "dst", F.lit(1).alias("weight"))
+    return out.unionByName(modularity(ones, communities).agg(F.round(F.coalesce(F.sum("modularity"), F.lit(0.0)), 5).alias("n")).select(F.lit("modularity").alias("figure"), F.lit(None).cast("string").alias("value"), "n"))

@@ -139,3 +139,54 @@ def citations(references: DataFrame, records: DataFrame) -> DataFrame:
 def shared_references(references: DataFrame, least: int = 1) -> DataFrame:
     """src < dst and weight: how many references two records share."""
     return cooccurrence(references, "ref", "doc").where(F.col("weight") >= least)
+
+
+def top_central(values: DataFrame, column: str, k: int = 10) -> DataFrame:
+    """rank, node and value of the k nodes with the highest value of a column, equal ones by name."""
+    first = values.orderBy(F.desc(column), "node").limit(k)
+    return first.select(F.row_number().over(Window.orderBy(F.desc(column), "node")).alias("rank"), "node", F.col(column).cast("double").alias("value"))  # k rows
+
+
+def network_report(edges: DataFrame, nodes: DataFrame, communities: DataFrame, central: dict[str, DataFrame] | None = None, k: int = 10) -> DataFrame:
+    """figure, rank, node and value: counts, density, mean clustering (weighted), communities, modularity, and the k nodes highest in each centrality.
+
+    nodes: node; communities: node, community. Degree centrality is always there; central holds others by name, as tables of
+    node and a column of that name (betweenness, closeness or its sketch). A figure of the whole has rank 0 and no node.
+    """
+    def one(df, name, value):
+        return df.select(F.lit(name).alias("figure"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("node"), value.cast("double").alias("value"))
+
+    whole = graph_statistics(edges, nodes)
+    out = one(whole, "node_count", F.col("n_nodes")).unionByName(one(whole, "edge_count", F.col("n_edges"))).unionByName(one(whole, "density", F.col("density")))
+    share = nodes.select("node").distinct().join(clustering(edges, weighted=True), "node", "left").agg(F.round(F.avg(F.coalesce("clustering", F.lit(0.0))), 6).alias("x"))
+    out = out.unionByName(one(share, "avg_clustering", F.coalesce("x", F.lit(0.0)))).unionByName(one(communities.agg(F.countDistinct("community").alias("x")), "community_count", F.col("x")))
+    out = out.unionByName(one(modularity(edges, communities).agg(F.round(F.sum("modularity"), 5).alias("x")), "modularity", F.coalesce("x", F.lit(0.0))))
+    for name, df in [("degree", degrees(edges, nodes).select("node", F.col("centrality").alias("degree"))), *(central or {}).items()]:
+        out = out.unionByName(top_central(df, name, k).select(F.lit(f"top_{name}").alias("figure"), "rank", F.col("node").cast("string").alias("node"), "value"))
+    return out
+
+
+def keyword_report(sources: list[tuple[str, DataFrame]], k: int = 20) -> DataFrame:
+    """rank, item, n and source_type: the k items that several sources (doc, at, item) have most often, and where each is first seen.
+
+    Items are trimmed and in lower case. Documents are read in ascending order, in each the sources in the order given, in
+    each of these its items by at; equally frequent items come as they are first seen.
+    """
+    rows = None
+    for i, (name, df) in enumerate(sources):
+        one = df.select(F.struct("doc", F.lit(i).alias("source"), "at").alias("seen"), F.lower(F.trim("item")).alias("item"), F.lit(name).alias("source_type")).where("item <> ''")
+        rows = one if rows is None else rows.unionByName(one)
+    counted = rows.groupBy("item").agg(F.count("*").alias("n"), F.min("seen").alias("seen"), F.min_by("source_type", "seen").alias("source_type"))
+    first = counted.orderBy(F.desc("n"), "seen").limit(k)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("n"), "seen")).alias("rank"), "item", "n", "source_type")  # k rows
+
+
+def network_panel(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """One row of a network's panel: nodes, edges, communities, density, the k heaviest nodes as "name (weight)", and the one with most edges.
+
+    nodes: node, weight, community; equal nodes go by name.
+    """
+    top = nodes.orderBy(F.desc("weight"), "node").limit(k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "node"))), lambda x: F.concat(x["node"].cast("string"), F.lit(" ("), (-x["w"]).cast("string"), F.lit(")"))), ", ").alias("top"))  # k rows
+    most = degrees(edges).orderBy(F.desc("degree"), "node").limit(1).agg(F.max("node").alias("most_connected"))
+    groups = nodes.agg(F.countDistinct("community").alias("n_communities"))
+    return graph_statistics(edges, nodes).select("n_nodes", "n_edges", "density").join(groups).join(top).join(most)  # one row each

@@ -43,3 +43,8 @@ def save_topics(summary: DataFrame, assigned: DataFrame, path: str) -> None:
     """Topics and their documents, outliers left out."""
     append(summary.where("topic_id >= 0"), f"{path}/topics")
     append(assigned.where("topic_id >= 0"), f"{path}/assignments")
+
+
+def vector_index(spark: SparkSession, path: str) -> DataFrame:
+    """query_hash and n of the vector sets that are saved: their size, and whether one is there at all."""
+    return spark.read.parquet(path).groupBy("query_hash").agg(F.count("*").alias("n"))
