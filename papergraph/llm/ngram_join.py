@@ -244,10 +244,11 @@ class _Join:
         short = F.when(n_a < n_b, at_a < self.index_prefix(n_a)).when(n_b < n_a, at_b < self.index_prefix(n_b)).otherwise((at_a < self.index_prefix(n_a)) | (at_b < self.index_prefix(n_b)))
         return short & (F.least(n_a, n_b) * 100 >= self.percent * F.greatest(n_a, n_b)) & (F.least(n_a - at_a, n_b - at_b) + F.least(at_a, at_b) >= self.needed(n_a, n_b))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, bounded: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) that are similar enough, with `shared`: overlaps counted in each fragment, summed for each pair.
 
-        The overlap of the prefixes first rules out pairs that could not be similar whatever lies beyond.
+        The overlap of the prefixes first rules out pairs that could not be similar whatever lies beyond, but for those
+        of bounded (a, b), which have passed as much before.
         """
         def sides(fragments):
             some = self.pieces.where(fragments)
@@ -258,6 +259,7 @@ class _Join:
         first = pairs.join(left.drop("fragment"), "a").join(right.drop("fragment"), "b").select("a", "b", "n_a", "n_b", part)
         rest = F.greatest(F.col("n_a") - self.prefix(F.col("n_a")), F.col("n_b") - self.prefix(F.col("n_b")))
         first = first.where(F.col("part") >= self.needed(F.col("n_a"), F.col("n_b")) - rest).select("a", "b")
+        first = first if bounded is None else first.unionByName(bounded)
         left, right = sides("fragment >= 0")
         partial = first.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", part)
         summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
@@ -317,18 +319,33 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         again = connected_components(ends, "a", "b").toDF("component", "whole")
         return saved(merged.join(again, "component", "left").select("set", F.coalesce("whole", "component").alias("component")), "ngram-merged")
 
+    # Heads tell what two sets share at the front. What they do not share up to the end of one head is lost to the overlap:
+    # beyond that end it can only be what the one or the other set has left.
+    first_entries = F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, HEAD)  # no more than a text has words
+    heads = join.entries.groupBy("set").agg(first_entries.alias("x")).select("set", F.col("x.gram").alias("head"), F.element_at("x.at", -1).alias("last"))
+    heads = saved(heads, "ngram-heads")
+
     def across():
-        """Entries of n-grams that several components hold, with the largest of these, which the others meet, never itself."""
+        """Entries of n-grams that several components hold, with the largest of these, which the others meet, never itself.
+
+        Those of n-grams of many sets have their heads.
+        """
         entries = join.entries.join(merged, "set")
         counts = entries.groupBy("gram", "component").agg(F.count("*").alias("c"))
         largest = counts.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k"), F.sum("c").alias("holders")).where("k > 1").select("gram", "largest", "holders")
-        return saved(entries.join(largest, "gram").select("gram", "set", "n", "at", "component", "largest", "holders", F.row_number().over(by_size).alias("place")), "ngram-across")
+        placed = entries.join(largest, "gram").select("gram", "set", "n", "at", "component", "largest", F.row_number().over(by_size).alias("place"), (F.col("holders") >= HEAD).alias("many"))
+        headed = placed.join(heads, "set").select(*[c for c in placed.columns if c != "many"], *[F.when(F.col("many"), F.col(c)).alias(c) for c in ("head", "last")])
+        return saved(headed, "ngram-across")
 
     def sides(entries):
-        names = {"set": "set", "n": "n", "at": "at", "component": "c"} | ({"head": "head", "last": "last"} if "head" in entries.columns else {})
+        names = {"set": "set", "n": "n", "at": "at", "component": "c", "head": "head", "last": "last"}
         left = entries.where("component <> largest").select("gram", "place", *[F.col(k).alias(f"{v}_a") for k, v in names.items()])
         return left, entries.select("gram", "place", *[F.col(k).alias(f"{v}_b") for k, v in names.items()])
 
+    common = F.array_intersect("head_a", "head_b")
+    beyond = F.greatest(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
+    can = F.coalesce(F.col("head_a").isNull() | F.col("head_b").isNull() | (F.size(common) + beyond >= join.needed(F.col("n_a"), F.col("n_b"))), F.lit(True))
+
     def distinct_pairs(rows):
         return rows.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
@@ -339,7 +356,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         left, right = sides(entries)
         steps = [sign * (i * 2**turn + turn) for i in range(1, 7) for sign in (1, -1)]
         tried = left.withColumn("place", F.explode(F.transform(F.array(*map(F.lit, steps)), lambda i: F.col("place") + i))).join(right, ["gram", "place"])
-        tried = tried.where((F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")))
+        tried = tried.where((F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")) & can)
         found = saved(join.verified(distinct_pairs(tried)).select("a", "b"), "ngram-tried")
         discard(entries)
         if found.isEmpty():
@@ -347,24 +364,22 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         merged = relabelled(found)
 
     entries = across()
-    # At an n-gram of many sets a pair counts only if it is the first that both have. Heads tell: if they have an n-gram
-    # in common, the first of these is the pair's first; if not, the pair counts at each. What two heads do not share up to
-    # the end of one is lost to the overlap: beyond that end it can only be what the one or the other set has left.
-    first_entries = F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, HEAD)  # no more than a text has words
-    heads = join.entries.groupBy("set").agg(first_entries.alias("x")).select("set", F.col("x.gram").alias("head"), F.element_at("x.at", -1).alias("last"))
-    many = F.col("holders") >= HEAD
-    headed = entries.join(heads, "set").withColumn("head", F.when(many, F.col("head"))).withColumn("last", F.when(many, F.col("last")))
-    left, right = sides(headed)
+    # At an n-gram of many sets a pair counts only if it is the first that both have. If their heads have an n-gram in
+    # common, the first of these is the pair's first; if not, the pair counts at each.
+    left, right = sides(entries)
     left, right = left.drop("place"), right.drop("place")
-    common = F.array_intersect("head_a", "head_b")
-    beyond = F.greatest(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
-    counts = F.coalesce(F.get(common, F.lit(0)) == left["gram"], F.lit(True)) & F.coalesce(F.size(common) + beyond >= join.needed(F.col("n_a"), F.col("n_b")), F.lit(True))
+    first = F.coalesce(F.get(common, F.lit(0)) == left["gram"], F.lit(True))
     pairs = left.join(
-        right, (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & (F.col("head_a").isNull() | F.col("head_b").isNull() | counts)
+        right, (left["gram"] == right["gram"]) & (F.col("c_a") != F.col("c_b")) & join.may(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")) & (F.col("head_a").isNull() | F.col("head_b").isNull() | first) & can
     )
-    merged = relabelled(saved(join.verified(distinct_pairs(pairs)).select("a", "b"), "ngram-more"))
+    # Heads that hold whole prefixes have told all that these can tell.
+    whole = F.col("head_a").isNotNull() & F.col("head_b").isNotNull() & (join.prefix(F.greatest("n_a", "n_b")) <= HEAD)
+    pairs = pairs.groupBy(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).agg(F.max(whole).alias("whole"))
+    pairs = saved(pairs, "ngram-pairs")
+    merged = relabelled(saved(join.verified(pairs.where("NOT whole").select("a", "b"), pairs.where("whole").select("a", "b")).select("a", "b"), "ngram-more"))
+    discard(pairs)
     named = saved(join.open.join(merged, "set", "left").select("hi", "lo", F.coalesce("component", "set").alias("component")), "ngram-named")
-    discard(join.entries, join.pieces, entries, links)
+    discard(join.entries, join.pieces, entries, links, heads)
 
     known = join.members.where("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
     known = known.join(named, ["hi", "lo"], "left")
