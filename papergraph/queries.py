@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papergraph import queries_graph, queries_records
+from papergraph import queries_graph, queries_records, queries_reports
 from papergraph.operators import gaps, networks, reports, vectors
 from papergraph.operators.components import connected_components
 
@@ -94,7 +94,7 @@ QUERIES = {
     "text_search": lambda s, d: reports.text_search(table(s, d, "documents"), "the", ["text"]).select("doc_id"),
     "vector_topk": _top_k,
     "group_means": lambda s, d: vectors.group_means(table(s, d, "embeddings"), "label", "embedding"),
-} | queries_records.QUERIES | queries_graph.QUERIES
+} | queries_records.QUERIES | queries_graph.QUERIES | queries_reports.QUERIES
 
 _KEYWORDS = "k AS (SELECT l_orderkey AS doc, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name IS NOT NULL)"
 _AUTHORS = """a AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS item FROM lineitem WHERE l_suppkey IS NOT NULL),
@@ -155,4 +155,4 @@ SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 400), chr(10) ORDER B
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "group_means": """WITH p AS (SELECT label AS g, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS "at" FROM embeddings WHERE label IS NOT NULL)
 SELECT g AS "group", "at", round(avg(x), 6) AS mean FROM p GROUP BY ALL""",
-} | queries_records.ORACLES | queries_graph.ORACLES
+} | queries_records.ORACLES | queries_graph.ORACLES | queries_reports.ORACLES
