@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -27,7 +28,13 @@ NOISE = set(
 MAIN = {"article", "main"}
 P_ENDS = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: In an article these are content: only lists of words may take them out, never that other pages say the same.
+SAID = set("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre td th tr caption figure figcaption details summary".split())
+#: What a compound of a noise word first may end in: it names a part of the page (share-buttons), else a thing (share-price).
+PARTS = set(
+    "area articles bar block body box button buttons card column container content div feed field fields form footer group header icon icons inner item items label line link links list "
+    "message module note outer panel part popup posts row section slot stories text thread title toolbar top unit widget wrap wrapper zone".split()
+)
 #: Compounds such as has-sidebar, no-comments or menu-open tell of a state, not of what the element is.
 STATE_FIRST = set("has no not non with without is".split())
 STATE_LAST = set("open opened closed collapsed expanded enabled disabled".split())
@@ -43,15 +50,26 @@ BROADCAST_TEXTS = 1_000_000
 
 @lru_cache(maxsize=1 << 16)
 def _words(label: str) -> frozenset[str]:
-    """Words of class, id and role, without compounds that tell of a state."""
+    """Words of class, id and role that say what the element is: the last of a compound, and the others if that is a part of a page.
+
+    Compounds that tell of a state say nothing.
+    """
     parts = [re.findall(r"[a-z]+", name) for name in label.split()]
-    return frozenset(w for p in parts if p and p[0] not in STATE_FIRST and p[-1] not in STATE_LAST for w in p)
+    return frozenset(w for p in parts if p and p[0] not in STATE_FIRST and p[-1] not in STATE_LAST for w in (p if p[-1] in PARTS or p[-1] in NOISE else p[-1:]))
 
 
 def _id(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A8C64E2 % ((1 << 61) - 1)
+
+
+@lru_cache(maxsize=1 << 16)
+def hash_of(word: str) -> int:
+    return _id(word) % _PRIME
+
+
 class _Page(HTMLParser):
     """One pass over a page: its pieces of text, which of them are kept, and its style nodes (all block elements)."""
 
@@ -59,9 +77,10 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack, self.said, self.kept, self.nodes = [], [], bytearray(), []
         self.skipped, self.silent, self.inside, self.has_main = 0, 0, 0, False
+        self.open = Counter()
 
     def handle_starttag(self, tag, attrs):
-        if tag in P_ENDS and self.stack and any(e[0] == "p" for e in self.stack[-4:]):
+        if tag in P_ENDS and self.open["p"] and next((e[0] for e in reversed(self.stack) if e[0] not in INLINE), "") == "p":
             self._close("p")
         if tag not in INLINE:
             self._add(" ")
@@ -81,10 +100,11 @@ class _Page(HTMLParser):
         self.silent += silent
         self.inside += main
         self.has_main |= main
-        path = self.stack[-1][3] if self.stack else ""
+        path = self.stack[-1][3] if self.stack else 0
         if tag not in INLINE:
             style = " ".join(f"{k}={re.sub('[0-9]+', '#', v)}" for k, v in sorted(named.items()) if k not in CONTENT and not k.startswith(("data-", "aria-"))) if named else ""
-            path = f"{path}/{tag} {style}" if style else f"{path}/{tag}"
+            path = _id(str(path), tag, style)
+        self.open[tag] += 1
         self.stack.append((tag, noise, main, path, len(self.said), [], silent, self.inside))
 
     def handle_startendtag(self, tag, attrs):
@@ -99,7 +119,7 @@ class _Page(HTMLParser):
         self._close(tag)
 
     def _close(self, tag):
-        if not any(e[0] == tag for e in self.stack):
+        if not self.open[tag]:
             return
         while self.stack:
             if self._pop() == tag:
@@ -107,7 +127,9 @@ class _Page(HTMLParser):
 
     def _pop(self):
         name, noise, main, path, first, tags, silent, inside = self.stack.pop()
-        if name not in INLINE and name not in ("html", "body") and name not in MAIN and not self.silent and not (inside and name in HEADINGS):
+        self.open[name] -= 1
+        said = inside and (name in SAID or any(t not in INLINE for t in tags))  # or it holds blocks
+        if name not in INLINE and name not in ("html", "body") and name not in MAIN and not self.silent and not said:
             self.nodes.append((path, first, len(self.said), tags, inside))
         self.skipped -= noise
         self.silent -= silent
@@ -132,13 +154,26 @@ class _Page(HTMLParser):
         return " ".join("".join([s for s, k in zip(self.said, self.kept, strict=True) if k >= least]).split())
 
     def style(self):
-        """The page's style nodes by path: each element's (text, range of pieces), its presentation, whether in an article."""
+        """The page's style nodes by path: each element's (text's hash, range of pieces), its presentation, whether in an article.
+
+        Blocks begin and end at blanks, so that an element's words are a run of the page's, whose hash follows from those
+        of the words up to its ends.
+        """
+        ends, blank = [0], True  # words that begin up to the end of each piece
+        for piece in self.said:
+            n = len(piece.split())
+            ends.append(ends[-1] + n - (bool(n) and not blank and not piece[0].isspace()))
+            blank = piece[-1].isspace() if piece else blank
+        upto, powers = [0], [1]
+        for word in "".join(self.said).split():
+            upto.append((upto[-1] * _BASE + hash_of(word)) % _PRIME)
+            powers.append(powers[-1] * _BASE % _PRIME)
         found = {}
         for path, first, last, tags, inside in self.nodes:
-            text = " ".join("".join(self.said[first:last]).split())
-            if text:
+            a, b = ends[first], ends[last]
+            if a < b:
                 texts, shown, _ = found.setdefault(path, ([], [], inside))
-                texts.append((text, first, last))
+                texts.append(((upto[b] - upto[a] * powers[b - a]) % _PRIME, first, last))
                 shown.extend(tags)
         return found
 
@@ -152,7 +187,7 @@ def _parsed(html: str | None) -> _Page:
 
 def _ids(path, texts):
     """The id of what all elements of a path hold together, and those of each of them."""
-    return _id("all", path, *(t[0] for t in texts)), [_id("one", path, t[0]) for t in texts]
+    return _id("all", str(path), *(str(t[0]) for t in texts)), [_id("one", str(path), str(t[0])) for t in texts]
 
 
 def read_page(html: str | None, low: set[int]) -> str:
@@ -173,8 +208,8 @@ def low_texts(pages: DataFrame) -> DataFrame:
     Every block element is a style node: its path of tags and attributes, merged over the pages of a host. Pages of one
     main text count once. Outside article and main, a node's importance is the larger of the entropies of the texts and
     of the inner elements that the pages have there; below LEAST_IMPORTANCE its texts go, but those of a single page.
-    Everywhere, an element goes whose text most pages have at that path; headings in an article and the articles
-    themselves stay.
+    Everywhere, an element goes whose text most pages have at that path; but in an article only one that holds its words
+    itself and is no paragraph, heading, item or cell (SAID), and the articles themselves stay.
     """
 
     def trees(batches):
@@ -187,7 +222,7 @@ def low_texts(pages: DataFrame) -> DataFrame:
                     every, each = _ids(path, texts)
                     single.update(each)
                     if not inside:
-                        branches.append((_id(path), every, _id(*shown)))
+                        branches.append((path, every, _id(*shown)))
                 rows.append((_id(page.text()), np.array(sorted(branches), np.int64).tobytes(), np.array(sorted(single), np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("host"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["host", "page", "branches", "single"]
