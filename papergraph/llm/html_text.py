@@ -66,8 +66,8 @@ _PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A8C64E2 % ((1 << 61) - 1)
 
 
 @lru_cache(maxsize=1 << 16)
-def hash_of(word: str) -> int:
-    return _id(word) % _PRIME
+def _step(path: int, tag: str, style: str) -> int:
+    return _id(str(path), tag, style)
 
 
 class _Page(HTMLParser):
@@ -103,7 +103,7 @@ class _Page(HTMLParser):
         path = self.stack[-1][3] if self.stack else 0
         if tag not in INLINE:
             style = " ".join(f"{k}={re.sub('[0-9]+', '#', v)}" for k, v in sorted(named.items()) if k not in CONTENT and not k.startswith(("data-", "aria-"))) if named else ""
-            path = _id(str(path), tag, style)
+            path = _step(path, tag, style)
         self.open[tag] += 1
         self.stack.append((tag, noise, main, path, len(self.said), [], silent, self.inside))
 
@@ -156,18 +156,15 @@ class _Page(HTMLParser):
     def style(self):
         """The page's style nodes by path: each element's (text's hash, range of pieces), its presentation, whether in an article.
 
-        Blocks begin and end at blanks, so that an element's words are a run of the page's, whose hash follows from those
-        of the words up to its ends.
+        An element's text is a run of the page's pieces, whose hash follows from those of the pieces up to its ends.
         """
-        ends, blank = [0], True  # words that begin up to the end of each piece
+        ends, upto, powers = [0], [0], [1]
         for piece in self.said:
-            n = len(piece.split())
-            ends.append(ends[-1] + n - (bool(n) and not blank and not piece[0].isspace()))
-            blank = piece[-1].isspace() if piece else blank
-        upto, powers = [0], [1]
-        for word in "".join(self.said).split():
-            upto.append((upto[-1] * _BASE + hash_of(word)) % _PRIME)
-            powers.append(powers[-1] * _BASE % _PRIME)
+            words = piece.split()
+            if words:
+                upto.append((upto[-1] * _BASE + _id(*words)) % _PRIME)
+                powers.append(powers[-1] * _BASE % _PRIME)
+            ends.append(len(upto) - 1)
         found = {}
         for path, first, last, tags, inside in self.nodes:
             a, b = ends[first], ends[last]
