@@ -106,7 +106,7 @@ def _semantic_graph(spark, sf_dir):
     """The knowledge graph with edges between like suppliers: an order has the vector of its number in the embeddings."""
     _, edges, evidence = _edges(spark, sf_dir)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("doc_id"), F.col("embedding").alias("vector"))
-    return similarity.with_similarity(edges, similarity.similarity_edges(similarity.node_vectors(evidence, rows), edges, 0.25)).select("src", "relation", "dst", F.round("confidence", 5).alias("confidence"), "weight")
+    return similarity.with_similarity(edges, similarity.similarity_edges(similarity.node_vectors(evidence, rows), edges, 0.25)).select("src", "relation", "dst", "confidence", "weight")
 
 
 def _near_graph(spark, sf_dir):
@@ -359,7 +359,7 @@ SELECT * FROM s WHERE score >= 0.4 AND NOT (a % 10 = 0 AND b = a + 1)""",
     "kg_with_similarity": f"""WITH {_EDGES}, v AS (SELECT DISTINCT src AS node, r.doc_id, embedding::DOUBLE[] AS x FROM r JOIN embeddings ON vec_id = r.doc_id),
 u AS (SELECT node, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v), n AS (SELECT node, list(a ORDER BY i) AS x FROM (SELECT node, i, avg(x) AS a FROM u GROUP BY ALL) GROUP BY node),
 s AS (SELECT p.node AS a, q.node AS b, list_cosine_similarity(p.x, q.x) AS score FROM n p JOIN n q ON p.node < q.node)
-SELECT src, relation, dst, round(confidence, 5) AS confidence, weight FROM e UNION ALL SELECT a, 'semantic_similarity', b, round(round(score, 6), 5), 1 FROM s WHERE round(score, 6) >= 0.25 AND NOT EXISTS (SELECT 1 FROM e WHERE src = a AND dst = b)""",
+SELECT src, relation, dst, confidence, weight FROM e UNION ALL SELECT a, 'semantic_similarity', b, round(score, 6), 1 FROM s WHERE round(score, 6) >= 0.25 AND NOT EXISTS (SELECT 1 FROM e WHERE src = a AND dst = b)""",
     "neighbourhood_graph": f"""WITH {_EDGES}, b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), h0 AS (SELECT min(src) AS node FROM e), h1 AS (SELECT y AS node FROM b JOIN h0 ON x = node UNION FROM h0),
 h2 AS (SELECT y AS node FROM b JOIN h1 ON x = node UNION FROM h1) SELECT src, relation, dst, weight FROM e WHERE src IN (FROM h2) AND dst IN (FROM h2)""",
     "neighbourhood_walked": """SELECT 'n1' AS node, 0 AS hops UNION ALL SELECT DISTINCT 'c' || c_custkey, 1 FROM customer WHERE c_nationkey = 1

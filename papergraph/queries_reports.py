@@ -178,9 +178,9 @@ ORACLES = {
     "filter_domains": f"""WITH {_EDGES} SELECT DISTINCT 'entity_type' AS domain, entity_type AS value FROM c UNION ALL SELECT DISTINCT 'relation', relation FROM e UNION ALL SELECT DISTINCT 'community', s_nationkey::VARCHAR FROM supplier
 UNION ALL SELECT 'first_year', min(year(o_orderdate))::VARCHAR FROM orders UNION ALL SELECT 'last_year', max(year(o_orderdate))::VARCHAR FROM orders""",
     "kg_report": f"""WITH {_EDGES}, g AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), kk AS (SELECT length(node) % 3 AS c, sum(n) AS k FROM g GROUP BY 1),
-i AS (SELECT length(src) % 3 AS c, count(*) AS i FROM e WHERE length(src) % 3 = length(dst) % 3 GROUP BY 1), m AS (SELECT count(*) AS m FROM e)
-SELECT 'node_count' AS figure, NULL AS value, count(*)::DOUBLE AS n FROM c UNION ALL SELECT 'edge_count', NULL, m FROM m UNION ALL SELECT 'entity_type', entity_type, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'relation', relation, count(*) FROM e GROUP BY ALL
-UNION ALL (SELECT 'most_connected', node, n FROM g ORDER BY n DESC, node LIMIT 1) UNION ALL SELECT 'modularity', NULL, round(sum(round(coalesce(i, 0) / m - pow(k / (2 * m), 2), 6)), 5) FROM kk LEFT JOIN i USING (c), m""",
+i AS (SELECT length(src) % 3 AS c, count(*) AS i FROM e WHERE length(src) % 3 = length(dst) % 3 GROUP BY 1), mm AS (SELECT count(*) AS m FROM e)
+SELECT 'node_count' AS figure, NULL AS value, count(*)::DOUBLE AS n FROM c UNION ALL SELECT 'edge_count', NULL, m FROM mm UNION ALL SELECT 'entity_type', entity_type, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'relation', relation, count(*) FROM e GROUP BY ALL
+UNION ALL (SELECT 'most_connected', node, n FROM g ORDER BY n DESC, node LIMIT 1) UNION ALL SELECT 'modularity', NULL, round(sum(round(coalesce(i, 0) / m - pow(k / (2 * m), 2), 6)), 5) FROM kk LEFT JOIN i USING (c), mm""",
     "network_report": f"""WITH {_PAIRS}, n AS (SELECT count(*) AS n FROM supplier), m AS (SELECT count(*) AS m, sum(weight) AS w, max(weight) AS top FROM e), d AS (SELECT node, count(*) AS d FROM bw GROUP BY node),
 t AS (SELECT unnest([x.src, x.dst, y.dst]) AS node, cbrt(x.weight * y.weight * z.weight) / top AS v FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst, m), s AS (SELECT node, sum(v) AS t FROM t GROUP BY node),
 cl AS (SELECT s_suppkey, CASE WHEN d > 1 THEN round(2 * coalesce(t, 0) / (d * (d - 1)), 6) ELSE 0.0 END AS x FROM supplier LEFT JOIN d ON d.node = s_suppkey LEFT JOIN s ON s.node = s_suppkey),
