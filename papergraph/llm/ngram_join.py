@@ -112,7 +112,8 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
 
     kind 0: doc_id, n (size of its set), hi and lo (the set's key) of each row. kind 1: hi, lo, n, and in df how many
     of the set's n-grams in one fragment of all n-grams other sets hold too. kind 2: hi, lo, gram and df of these, df
-    being the number of sets that hold it. Equal sets count once.
+    being the number of sets that hold it. Equal sets count once. A gram is 48 bits of its hash below the number of its
+    fragment (mod 2^15), which comes from the other end of the hash: n-grams of different fragments stay apart.
     """
     source = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -161,6 +162,8 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(whole), np.int32)), *(whole.column(c) for c in ("doc_id", "n", "hi", "lo")), null, null], names)
             rest = batch.filter(batch.column("sets").is_valid())
             held += zip(*(rest.column(c).to_pylist() for c in ("sets", "counts", "grams")), strict=True)
+            if len(rest):
+                fragment = rest.column("fragment")[0].as_py() % (1 << 15)  # a task has one fragment
         if not held:
             return
         sets = np.concatenate([np.frombuffer(h[0], np.int64).reshape(-1, 3) for h in held])
@@ -190,7 +193,7 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
         yield batch_of(1, sets[some], pa.nulls(len(some), pa.int64()), each)
         for a in range(0, len(grams), 100_000):
             part = slice(a, a + 100_000)
-            yield batch_of(2, sets[owner[part]], pa.array(grams[part]), df[part])
+            yield batch_of(2, sets[owner[part]], pa.array(grams[part] + (fragment << 48)), df[part])
 
     names = ["kind", "doc_id", "n", "hi", "lo", "gram", "df"]
 
@@ -221,7 +224,7 @@ class _Join:
         several = ranked.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
         self.entries = saved(ranked.join(several, "gram", "left_semi").select("gram", "set", "n", "at"), "ngram-entries")
         # Fragments cut the global order into ranges of about as many entries; the prefixes stand apart, as fragment -1.
-        place = F.least("df", F.lit(32767)) * (1 << 48) + F.col("gram")
+        place = F.least("df", F.lit(32767)) * (1 << 48) + F.col("gram") % (1 << 48)
         cuts = held.agg(F.percentile_approx(place, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
         fragment = sum(((place > c).cast("int") for c in cuts), F.lit(0))
         whole = held.select("set", "n", "gram", fragment.alias("fragment")).unionByName(ranked.select("set", "n", "gram", F.lit(-1).alias("fragment")))
