@@ -32,14 +32,18 @@ def epochs_at(tokens: dict[str, int], exponent: float) -> dict[str, float]:
     return {s: r / least for s, r in rates.items()}
 
 
-def solve_exponent(tokens: dict[str, int], max_epochs: float | None = None, target_entropy: float | None = None) -> float:
+def solve_exponent(tokens: dict[str, int], max_epochs: float | None = None, target_entropy: float | None = None, evenness: float | None = None) -> float:
     """The exponent in [0, 1] by bisection: the smallest that keeps to max_epochs, or the one whose weights have the entropy.
 
-    An entropy out of reach gives the nearer end.
+    An entropy out of reach gives the nearer end. evenness states the entropy between that of the sources as they are (0)
+    and that of equal weights (1).
     """
     low, high = 0.0, 1.0
-    if (max_epochs is None) == (target_entropy is None):
-        raise ValueError("give either max_epochs or target_entropy")
+    if sum(x is not None for x in (max_epochs, target_entropy, evenness)) != 1:
+        raise ValueError("give one of max_epochs, target_entropy and evenness")
+    if evenness is not None:
+        ends = entropy(weights_at(tokens, 1.0)), entropy(weights_at(tokens, 0.0))
+        target_entropy = ends[0] + evenness * (ends[1] - ends[0])
 
     def flat_enough(a):
         if max_epochs is not None:
@@ -54,8 +58,9 @@ def solve_exponent(tokens: dict[str, int], max_epochs: float | None = None, targ
     return high
 
 
-def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy: float | None = None, seed: str = "mix", source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as often as its source's budget says, with mix_epoch (from 0), mix_block, mix_position (from 0) and mix_weight.
+def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy: float | None = None, evenness: float | None = None, seed: str = "mix", source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, each as often as its source's budget says, with mix_epoch (from 0), mix_block, mix_position (from 0),
+    mix_weight, mix_budget and mix_tokens: the weight of the row's source, the tokens that it asks for and those it gets.
 
     A row's tokens are its words. The budget of a source is its weight times the tokens of the whole mix, which is sized
     so that every source is read once at least: no row is lost. A source's rows are dealt by a hash of id and text into
@@ -68,7 +73,7 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy:
     weighted. Repeated rows stay and go together. An empty table gives an empty result; columns of docs that are named
     like the new ones are replaced. The number of sources must fit on the driver: a row for each, nothing for each document.
     """
-    added = ("mix_epoch", "mix_block", "mix_position", "mix_weight")
+    added = ("mix_epoch", "mix_block", "mix_position", "mix_weight", "mix_budget", "mix_tokens")
     kept = [c for c in docs.columns if c not in added]
     words = F.greatest(F.size(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"\s+"), lambda w: w != "")), F.lit(1)).cast("long")
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(BLOCKS)).cast("int")
@@ -77,20 +82,24 @@ def mix_sources(docs: DataFrame, max_epochs: float | None = 2.0, target_entropy:
     totals = saved(totals, "mix-blocks")
     tokens = {r[0]: r[1] for r in totals.groupBy("_source").agg(F.sum("_tokens")).collect()}
     if not tokens:
-        return dealt.withColumns({"mix_epoch": F.lit(0), "mix_position": F.lit(0), "mix_weight": F.lit(0.0)}).select(*kept, *added)
-    exponent = solve_exponent(tokens, max_epochs, target_entropy)
+        nothing = {"mix_epoch": F.lit(0), "mix_position": F.lit(0), "mix_weight": F.lit(0.0), "mix_budget": F.lit(0.0), "mix_tokens": F.lit(0).cast("long")}
+        return dealt.withColumns(nothing).select(*kept, *added)
+    exponent = solve_exponent(tokens, max_epochs, target_entropy, evenness)
     weights, epochs = weights_at(tokens, exponent), epochs_at(tokens, exponent)
     plan = docs.sparkSession.createDataFrame(
-        [(s, float(weights[s]), int(epochs[s] + 1e-9), float((epochs[s] + 1e-9) % 1 * tokens[s])) for s in tokens], "_source string, mix_weight double, _whole int, _left double"
+        [(s, float(weights[s]), float(epochs[s] * tokens[s]), int(epochs[s] + 1e-9), float((epochs[s] + 1e-9) % 1 * tokens[s])) for s in tokens],
+        "_source string, mix_weight double, mix_budget double, _whole int, _left double",
     )
     order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed), "_source", "_whole", "_block"), "_block")
-    planned = totals.join(plan, totals["_source"].eqNullSafe(plan["_source"])).select(totals["_source"], "_block", "_tokens", "mix_weight", "_whole", "_left")
+    planned = totals.join(plan, totals["_source"].eqNullSafe(plan["_source"])).select(totals["_source"], "_block", "_tokens", "mix_weight", "mix_budget", "_whole", "_left")
     planned = planned.withColumn("_upto", F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    planned = planned.select("_source", "_block", "mix_weight", (F.col("_whole") + (F.col("_upto") - F.col("_tokens") / 2 <= F.col("_left")).cast("int")).alias("_times"))
-    planned = planned.select("_source", "_block", "mix_weight", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("mix_epoch"))
+    planned = planned.select("_source", "_block", "_tokens", "mix_weight", "mix_budget", (F.col("_whole") + (F.col("_upto") - F.col("_tokens") / 2 <= F.col("_left")).cast("int")).alias("_times"))
+    read = F.sum(F.col("_tokens") * F.col("_times")).over(Window.partitionBy("_source"))
+    planned = planned.select("_source", "_block", "_times", "mix_weight", "mix_budget", read.alias("mix_tokens"))
+    planned = planned.select("_source", "_block", "mix_weight", "mix_budget", "mix_tokens", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("mix_epoch"))
     inside = Window.partitionBy("_source", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "_source", "mix_epoch", "_block"), "_block")
     planned = planned.withColumn("mix_position", F.row_number().over(inside) - 1)
     # BLOCKS rows for each source and epoch: broadcast while that is small, which a look at the number of sources settles.
     side = F.broadcast(planned) if sum(math.ceil(e) for e in epochs.values()) * BLOCKS <= 500_000 else planned
     met = dealt.alias("d").join(side.alias("s"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("s._source")) & (F.col("d.mix_block") == F.col("s._block")))
-    return met.select(*[F.col(f"d.`{c}`") for c in kept], "s.mix_epoch", "d.mix_block", "s.mix_position", "s.mix_weight")
+    return met.select(*[F.col(f"d.`{c}`") for c in kept], "s.mix_epoch", "d.mix_block", "s.mix_position", "s.mix_weight", "s.mix_budget", "s.mix_tokens")

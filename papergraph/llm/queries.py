@@ -26,7 +26,8 @@ def remainder(n: int):
 
 
 def op1_mixing(spark, sf_dir):
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_weight")
+    mixed = mix_sources(table(spark, sf_dir, "documents"), max_epochs=None, evenness=0.5)
+    return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_position", "mix_weight", "mix_budget", "mix_tokens")
 
 
 def op2_ngram_join(spark, sf_dir):

@@ -119,3 +119,43 @@ def test_pipeline_stages_keep_their_columns(spark):
     assert kept.columns == corpus_pipeline.COLUMNS and 0.9 * n <= kept.count() <= n
     assert corpus_pipeline.mixture(spark, docs, SF).select("doc_id").distinct().count() == n
     assert corpus_pipeline.shards(spark, docs, SF).count() == n
+
+
+def test_ngrams_of_different_fragments_stay_apart(spark, monkeypatch):
+    from papergraph.llm import ngram_join
+
+    def alike(texts, n):
+        """One n-gram for each word, a number below 8: all have equal 48 bits and are in fragments of their own."""
+        sets = [sorted({int(w) << 61 | 7 for w in (t or "").split()}) for t in texts.to_pylist()]
+        yield 0, len(sets), np.array([g for s in sets for g in s], np.uint64), np.array([len(s) for s in sets], np.int64)
+
+    monkeypatch.setattr(ngram_join, "shingles", alike)
+    rows = spark.createDataFrame([(1, "0 1 2 3 4 5"), (2, "0 1 2 3 4"), (3, "5 6"), (4, "6 7"), (5, "7")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(rows).collect()}
+    assert got == {1: (6, 1), 2: (5, 1), 3: (2, 3), 4: (2, 4), 5: (1, 5)}
+
+
+def test_ngram_join_of_empty_tables_and_clashing_columns(spark):
+    from papergraph.llm.ngram_join import ngram_components, ngram_links
+
+    rows = spark.createDataFrame([(1, "a b c d e f", 1, 1, 1, 1), (2, "A b c d e f", 2, 2, 2, 2), (3, None, 3, 3, 3, 3)], "doc_id long, text string, set long, gram long, component_id long, hi long")
+    assert {r.doc_id: r.component_id for r in ngram_components(rows).collect()} == {1: 1, 2: 1, 3: 3}
+    assert ngram_components(rows.limit(0)).count() == 0
+    links, members = ngram_links(rows.limit(0))
+    assert links.count() == members.count() == 0
+
+
+def test_budgets_of_a_mix(spark):
+    tokens = {"a": 9000, "b": 900, "c": 90}
+    ends = [entropy(weights_at(tokens, a)) for a in (1.0, 0.0)]
+    exponent = solve_exponent(tokens, evenness=0.5)
+    assert 0 < exponent < 1 and abs(entropy(weights_at(tokens, exponent)) - sum(ends) / 2) < 1e-9
+    assert solve_exponent(tokens, evenness=1.0) < 1e-9 and solve_exponent(tokens, evenness=0.0) > 1 - 1e-9
+    with pytest.raises(ValueError, match="one of"):
+        solve_exponent(tokens, 2.0, evenness=0.5)
+    rows = spark.createDataFrame([(i, f"w {i}", "en", "big" if i % 9 else "small", 1) for i in range(3000)], SCHEMA)
+    rows = rows.union(rows.where("doc_id < 20"))  # repeated rows
+    got = mix_sources(rows, max_epochs=None, evenness=0.5)
+    for r in got.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("read"), F.first("mix_tokens").alias("said"), F.first("mix_budget").alias("asked"), F.first("mix_weight").alias("w")).collect():
+        assert r["read"] == r.said and abs(r.said - r.asked) <= 0.02 * r.asked
+    assert sorted((r.doc_id, r["count"]) for r in got.where("mix_epoch = 0").groupBy("doc_id").count().collect()) == [(i, 2 if i < 20 else 1) for i in range(3000)]
