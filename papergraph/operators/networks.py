@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papergraph.operators.storage import written
+
+#: Pairs that a task gets for its triangles; up to so few are one task.
+TASK_PAIRS = 3_000_000
+SOME_PAIRS = 20_000
+#: Paths of two edges that a task looks at in one go.
+CHUNK_WEDGES = 1_000_000
+
 
 def item_frequency(links: DataFrame, doc: str, item: str, least: int = 1, per_document: bool = False) -> DataFrame:
     """item and n, how often it occurs (or in how many documents), for items with at least that many; nulls are left out."""
@@ -77,25 +89,82 @@ def top_neighbours(edges: DataFrame, k: int = 5) -> DataFrame:
     return both_ways(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def clustering(edges: DataFrame, weighted: bool = False) -> DataFrame:
+def _corners(weighted: bool):
+    """What a task does with the pairs of one triple of groups: (u, sum over its triangles) of each of their nodes.
+
+    Pairs (u, v, g: their groups, w) lead from the smaller group, or the smaller number, to the other; key is the triple i <= j <= k.
+    For each x of i and y of j the neighbours z of y in k are looked up among those of x.
+    """
+    def counted(key, part):
+        i, j, k, p = (key[c].as_py() for c in range(4))
+        u, v, g, w = (part[c].to_numpy() for c in ("u", "v", "g", "w"))
+        sides = {at: (u[g == at], v[g == at], w[g == at]) for at in {i * p + j, i * p + k, j * p + k}}
+        (x1, y1, w1), (x2, z2, w2), (y3, z3, w3) = sides[i * p + j], sides[i * p + k], sides[j * p + k]
+        xs, ys, zs = np.unique(x1), np.unique(y1), np.unique(np.concatenate([z2, z3]))
+        keep2, keep3 = np.isin(x2, xs), np.isin(y3, ys)
+        x1, y1 = np.searchsorted(xs, x1), np.searchsorted(ys, y1)
+        x2, z2, w2 = np.searchsorted(xs, x2[keep2]), np.searchsorted(zs, z2[keep2]), w2[keep2]
+        y3, z3, w3 = np.searchsorted(ys, y3[keep3]), np.searchsorted(zs, z3[keep3]), w3[keep3]
+        order = np.argsort(x1, kind="stable")
+        x1, y1, w1 = x1[order], y1[order], w1[order]
+        order = np.lexsort((z2, x2))
+        x2, z2, w2 = x2[order], z2[order], w2[order]
+        order = np.argsort(y3, kind="stable")
+        y3, z3, w3 = y3[order], z3[order], w3[order]
+        first = np.searchsorted(y3, np.arange(len(ys) + 1))
+        many = np.diff(first)[y1]
+        before = np.concatenate([[0], np.cumsum(many)])
+        sums = [np.zeros(len(nodes)) for nodes in (xs, ys, zs)]
+        keys = x2 * max(len(zs), 1) + z2
+        s = 0
+        while s < len(x1) and len(x2):
+            e = max(s + 1, int(np.searchsorted(before, before[s] + CHUNK_WEDGES, "right")) - 1)
+            edge = np.repeat(np.arange(s, e), many[s:e])
+            at = np.arange(len(edge)) + np.repeat(first[y1[s:e]] - (before[s:e] - before[s]), many[s:e])
+            x, z = x1[edge], z3[at]
+            low, high = x1[s], x1[e - 1] + 1
+            if (high - low) * len(zs) <= 8 * CHUNK_WEDGES:
+                told = np.full((high - low) * len(zs), -1, np.int32)
+                a, b = np.searchsorted(x2, (low, high))
+                told[keys[a:b] - low * len(zs)] = np.arange(a, b)
+                found = told[(x - low) * len(zs) + z]
+                hit = np.flatnonzero(found >= 0)
+                found = found[hit]
+            else:
+                wanted = x * len(zs) + z
+                found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = np.flatnonzero(keys[found] == wanted)
+                found = found[hit]
+            value = np.cbrt(w1[edge[hit]] * w2[found] * w3[at[hit]]) if weighted else None
+            for total, node in zip(sums, (x[hit], y1[edge[hit]], z[hit]), strict=True):
+                total += np.bincount(node, value, len(total))
+            s = e
+        return pa.table({"u": pa.array(np.concatenate([xs, ys, zs])), "t": pa.array(np.concatenate(sums))})
+
+    return counted
+
+
+def clustering(edges: DataFrame, weighted: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """node and its clustering coefficient: triangles / possible ones; 0 for nodes of degree below two.
 
     Weighted, a triangle counts by the cubic root of the product of its weights, each against the largest of all.
-    Edges lead from the end of smaller degree to the other, so that no hub has many pairs of neighbours to look at.
+    Nodes are dealt to groups, and a task gets the pairs among three of them, some `task_pairs`: pairs are sent once for
+    each group, and the paths of two edges, of which a dense graph has very many, are only made inside a task.
     """
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w") if weighted else F.lit(1.0).alias("w")).where("a < b").groupBy("a", "b").agg(F.max("w").alias("w"))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    told = pairs.join(degree.toDF("a", "d_a"), "a").join(degree.toDF("b", "d_b"), "b")
-    turn = (F.col("d_a") > F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("a") > F.col("b")))
-    arcs = told.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("y"), "w")
-    fork = arcs.toDF("x", "y", "w1").join(arcs.toDF("x", "z", "w2"), "x").where("y < z").select("x", "y", "z", "w1", "w2")
-    closing = pairs.toDF("y", "z", "w3")
-    triangles = fork.join(closing, ["y", "z"])
+    pairs = written(pairs, "clustering-pairs")
+    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).withColumn("id", F.monotonically_increasing_id()), "clustering-nodes")
+    n_pairs = pairs.count()
+    p = max(4 if n_pairs > SOME_PAIRS else 1, math.ceil(math.sqrt(6 * n_pairs / task_pairs)))
+    ids = degree.select("node", F.struct(F.pmod(F.xxhash64("id"), F.lit(p)).cast("int").alias("g"), "id").alias("n"))
+    told = pairs.join(ids.toDF("a", "n_a"), "a").join(ids.toDF("b", "n_b"), "b").select(F.least("n_a", "n_b").alias("n1"), F.greatest("n_a", "n_b").alias("n2"), "w")
+    sent = told.select("n1", "n2", "w", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("other"))
+    triple = F.array_sort(F.array("n1.g", "n2.g", "other"))
+    sent = sent.select(*[F.get(triple, F.lit(c)).alias(f"g{c}") for c in range(3)], F.lit(p).alias("p"), F.col("n1.id").alias("u"), F.col("n2.id").alias("v"), (F.col("n1.g") * p + F.col("n2.g")).alias("g"), "w")
+    corners = sent.groupBy("g0", "g1", "g2", "p").applyInArrow(_corners(weighted), "u long, t double").groupBy(F.col("u").alias("id")).agg(F.sum("t").alias("t"))
     top = pairs.agg(F.max("w").alias("top"))
-    value = F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")) / F.col("top")
-    corners = triangles.join(F.broadcast(top)).select(F.explode(F.array("x", "y", "z")).alias("node"), value.alias("v")).groupBy("node").agg(F.sum("v").alias("t"))
-    share = F.when(F.col("d") > 1, F.round(2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(0.0)
-    return degree.join(corners, "node", "left").select("node", share.alias("clustering"))
+    share = F.when(F.col("d") > 1, F.round(2 * F.coalesce(F.col("t") / F.col("top"), F.lit(0)) / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(0.0)
+    return degree.join(corners, "id", "left").join(F.broadcast(top)).select("node", share.alias("clustering"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -158,7 +227,8 @@ def network_report(edges: DataFrame, nodes: DataFrame, communities: DataFrame, c
 
     whole = graph_statistics(edges, nodes)
     out = one(whole, "node_count", F.col("n_nodes")).unionByName(one(whole, "edge_count", F.col("n_edges"))).unionByName(one(whole, "density", F.col("density")))
-    share = nodes.select("node").distinct().join(clustering(edges, weighted=True), "node", "left").agg(F.round(F.avg(F.coalesce("clustering", F.lit(0.0))), 6).alias("x"))
+    # a mean half way between two digits must not hang on the order of a sum of doubles: whole millionths are summed
+    share = nodes.select("node").distinct().join(clustering(edges, weighted=True), "node", "left").agg((F.round(F.avg(F.round(F.coalesce("clustering", F.lit(0.0)) * 1e6).cast("long"))) / 1e6).alias("x"))
     out = out.unionByName(one(share, "avg_clustering", F.coalesce("x", F.lit(0.0)))).unionByName(one(communities.agg(F.countDistinct("community").alias("x")), "community_count", F.col("x")))
     out = out.unionByName(one(modularity(edges, communities).agg(F.round(F.sum("modularity"), 5).alias("x")), "modularity", F.coalesce("x", F.lit(0.0))))
     for name, df in [("degree", degrees(edges, nodes).select("node", F.col("centrality").alias("degree"))), *(central or {}).items()]:

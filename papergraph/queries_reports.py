@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papergraph.operators import context, knowledge, linkage, mentions, networks, records
-from papergraph.operators.storage import shared_folder
+from papergraph.operators.storage import shared_folder, written
 from papergraph.queries_graph import _EDGES, _edges, _simple_edges, _suppliers_by_order, table
 from papergraph.sources import sinks
 
@@ -52,7 +52,7 @@ def _suppliers(spark, sf_dir):
 
 
 def _network_report(spark, sf_dir):
-    return networks.network_report(_suppliers_by_order(spark, sf_dir), _suppliers(spark, sf_dir), _suppliers(spark, sf_dir))
+    return networks.network_report(written(_suppliers_by_order(spark, sf_dir), "network-edges"), _suppliers(spark, sf_dir), _suppliers(spark, sf_dir))
 
 
 def _full_report(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import random
 
 import pytest
 
@@ -74,3 +75,29 @@ def test_keyword_report_ties_as_first_seen(spark):
     words = spark.createDataFrame([(1, 0, " Gene"), (1, 1, "cell"), (2, 0, "CELL"), (3, 0, "")], "doc long, at int, item string")
     heads = spark.createDataFrame([(1, 0, "drug"), (2, 0, "gene"), (2, 1, "drug"), (0, 0, "late")], "doc long, at int, item string")
     assert [tuple(r) for r in networks.keyword_report([("keyword", words), ("heading", heads)], 3).collect()] == [(1, "gene", 2, "keyword"), (2, "cell", 2, "keyword"), (3, "drug", 2, "heading")]
+
+
+@pytest.mark.parametrize("chunk", [10**6, 3])
+def test_clustering_in_groups_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(networks, "CHUNK_WEDGES", chunk)  # 3: paths are looked up in sorted pairs
+    rng = random.Random(7)
+    weights = {pair: rng.randint(1, 9) for pair in itertools.combinations(range(24), 2) if rng.random() < 0.4} | {(100, 101): 3}
+    near, top = {}, max(weights.values())
+    for (a, b), w in weights.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    edges = spark.createDataFrame([(f"n{b}", f"n{a}", w) for (a, b), w in weights.items()] + [("n0", "n0", 5)], "src string, dst string, weight long")
+    for weighted in (False, True):
+        got = {r.node: r.clustering for r in networks.clustering(edges, weighted, task_pairs=40).collect()}
+        want = {}
+        for v, ns in near.items():
+            values = [(ns[a] * ns[b] * near[a][b]) ** (1 / 3) / top if weighted else 1 for a, b in itertools.combinations(ns, 2) if b in near[a]]
+            want[f"n{v}"] = 2 * sum(values) / (len(ns) * (len(ns) - 1)) if len(ns) > 1 else 0.0
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 2e-6 for v in want)
+
+
+def test_mean_of_clustering_half_way_between_digits(spark):
+    # two nodes have 0.666667, two 1, four 0
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("c", "d", 1), ("a", "d", 1)], "src string, dst string, weight long")
+    nodes = spark.createDataFrame([(v, 1) for v in "abcdefgh"], "node string, community int")
+    got = {r.figure: r.value for r in networks.network_report(edges, nodes, nodes).where("rank = 0").collect()}
+    assert got["avg_clustering"] == 0.416667  # (2 * 0.666667 + 2) / 8 = 0.41666675
