@@ -80,9 +80,9 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 
 def hypotheses(gaps: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Rows of parsed responses with their gap's concepts, confidence as a score, and the union of evidence and cited ids, best first."""
+    """Rows of parsed responses with their gap's concepts, confidence as a score, and the cited ids, in order, with the evidence that is not among them, best first."""
     rows = gaps.select("gap_id", "concept_a", "concept_b", F.col("evidence").cast("array<string>").alias("known")).join(parsed, "gap_id")
-    union = F.sort_array(F.array_union(F.coalesce("known", F.array().cast("array<string>")), "cited"))
+    union = F.array_union("cited", F.coalesce("known", F.array().cast("array<string>")))
     sections = [c for c in SECTIONS if c != "confidence"]
     return rows.select("gap_id", "concept_a", "concept_b", *sections, confidence_score("confidence").alias("confidence_score"), union.alias("evidence")).orderBy(F.desc("confidence_score"), "gap_id")
 
