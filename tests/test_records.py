@@ -169,3 +169,39 @@ def test_betweenness_closed_forms(spark):
     assert of([("a", "b", 1), ("b", "c", 1), ("c", "d", 1), ("d", "e", 1)]) == {"a": 0.0, "b": 0.5, "c": 0.666667, "d": 0.5, "e": 0.0}
     assert of([("a", "b", 1), ("b", "d", 1), ("a", "c", 1), ("c", "d", 1)]) == {k: round(1 / 6, 6) for k in "abcd"}
     assert of([("a", "b", 5), ("a", "c", 1), ("c", "b", 1)]) == {"a": 0.0, "b": 0.0, "c": 1.0}
+
+
+def test_gaps_of_twins_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(gaps, "LIST_NODES", 3)  # classes in several lists
+    names, edges = ["m1", "m2", "m3", "m4"], []
+    for i in range(12):  # twelve twins, two other classes
+        edges += [(f"s{i:02d}", m) for m in (names if i < 8 else names[:3] if i < 10 else names[1:])]
+    edges += [("m4", "m1")]
+    near, docs = {}, {}
+    for i, (a, b) in enumerate(edges):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+        docs.setdefault(a, set()).add(100 - i)
+        docs.setdefault(b, set()).add(100 - i)
+    want = {(a, b): near[a] & near[b] for a in near for b in near if a < b and b not in near[a] and len(near[a] & near[b]) >= 3}
+    rows = spark.createDataFrame(edges, "src string, dst string")
+    got = gaps.structural_gaps(rows).collect()
+    assert {(r.concept_a, r.concept_b): (r.shared, r.degree_a, r.degree_b) for r in got} == {(a, b): (len(m), len(near[a]), len(near[b])) for (a, b), m in want.items()} and len(got) == len(want)
+    kinds = {v: v[0] + v[-1] for v in near}
+    types = spark.createDataFrame([*kinds.items(), ("s00", "second")], "label string, entity_type string")
+    cross = gaps.cross_domain_gaps(rows, types).collect()
+    both = {v: [k] + ["second"] * (v == "s00") for v, k in kinds.items()}
+    assert sorted((r.concept_a, r.concept_b, r.type_a, r.type_b) for r in cross) == sorted((a, b, k, q) for a, b in want for k in both[a] for q in both[b] if k != q)
+    evidence = spark.createDataFrame([(a, "r", b, 100 - i) for i, (a, b) in enumerate(edges)], "src string, relation string, dst string, doc_id long")
+    found = gaps.gap_evidence(None, rows, evidence, k=4).collect()
+    assert {(r.concept_a, r.concept_b): (r.n_neighbours, r.neighbours, r.evidence) for r in found} == {p: (len(m), sorted(m), sorted(set().union(*(docs[x] for x in m)))[:4]) for p, m in want.items()}
+    asked = spark.createDataFrame([("s01", "s09"), ("s01", "m1"), ("s03", "s04")], "concept_a string, concept_b string")
+    told = {(r.concept_a, r.concept_b): r.neighbours for r in gaps.gap_evidence(asked, rows, evidence).collect()}
+    assert told == {("s01", "s09"): ["m1", "m2", "m3"], ("s03", "s04"): names, ("s01", "m1"): ["m4"]}
+
+
+def test_evidence_of_hypotheses_does_not_hang_on_the_length_of_ids(spark):
+    asked = spark.createDataFrame([(70000, "a", "b", ["7"])], "gap_id long, concept_a string, concept_b string, evidence array<string>")
+    text = "1. HYPOTHESIS\nh\n2. BIOLOGICAL RATIONALE: r\n3. SUPPORTING EVIDENCE\nPMID:80000 PMID:12345\n4. SUGGESTED EXPERIMENT\ne\n5. CONFIDENCE\nhigh\n6. NOVELTY\nn"
+    parsed = context.parse_responses(spark.createDataFrame([(70000, text)], "gap_id long, response string"))
+    assert context.hypotheses(asked, parsed).first().evidence == ["80000", "12345", "7"]
