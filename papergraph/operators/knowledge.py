@@ -16,22 +16,30 @@ def canonical_key(name: Column, kind: Column, concept: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(concept, F.lit("")), F.lower(name)), F.lit("||"), kind)
 
 
-def canonical_nodes(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def canonical_nodes(mentions: DataFrame, counted: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes and the names that lead to them, from mentions (ord, name, entity_type, concept_id, doc_id; ord is unique).
 
     A node's label is the shortest name of its key, the first of equally short ones; its concept id the first there is;
-    paper_count its distinct documents, weight the same, 1 at least. Keys of one label are one node, with the attributes
+    paper_count its distinct documents, weight the same, 1 at least (neither unless counted). Keys of one label are one node, with the attributes
     of the key that comes last. A name leads to the key it has last; its lower-cased form to that of the name seen last.
+    Mentions are summed up by name and key first, in numbers alone; everything but the count is chosen from that table.
     """
     rows = mentions.select("ord", F.trim("name").alias("name"), F.coalesce("entity_type", F.lit("UNKNOWN")).alias("entity_type"), "concept_id", "doc_id").where("name <> ''")
-    rows = rows.withColumn("key", canonical_key(F.col("name"), F.col("entity_type"), F.col("concept_id")))
-    keyed = rows.groupBy("key").agg(
-        F.min_by("name", F.struct(F.length("name"), "ord")).alias("label"), F.first("entity_type").alias("entity_type"), F.min("ord").alias("first_ord"),
-        F.min_by("concept_id", F.when(F.coalesce("concept_id", F.lit("")) != "", F.col("ord"))).alias("concept_id"), F.countDistinct("doc_id").alias("paper_count"),
+    seen = written(rows.groupBy("name", "entity_type", "concept_id").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")), "kg-mentions")
+    seen = seen.withColumn("key", canonical_key(F.col("name"), F.col("entity_type"), F.col("concept_id")))
+    keyed = seen.groupBy("key").agg(
+        F.min_by("name", F.struct(F.length("name"), "lo")).alias("label"), F.first("entity_type").alias("entity_type"), F.min("lo").alias("first_ord"),
+        F.min_by("concept_id", F.when(F.coalesce("concept_id", F.lit("")) != "", F.col("lo"))).alias("concept_id"),
     )
-    last = F.struct("entity_type", "concept_id", "paper_count")
-    nodes = keyed.groupBy("label").agg(F.max_by(last, "first_ord").alias("x")).select("label", "x.*", F.greatest("x.paper_count", F.lit(1)).alias("weight"))
-    names = rows.groupBy("name").agg(F.max_by("key", "ord").alias("key"), F.min("ord").alias("name_ord")).join(keyed.select("key", "label"), "key")
+    told = ["entity_type", "concept_id"]
+    every = keyed
+    if counted:
+        papers = rows.select(canonical_key(F.col("name"), F.col("entity_type"), F.col("concept_id")).alias("key"), "doc_id").groupBy("key").agg(F.countDistinct("doc_id").alias("paper_count"))
+        every, told = keyed.join(papers, "key"), [*told, "paper_count"]
+    nodes = every.groupBy("label").agg(F.max_by(F.struct(*told), "first_ord").alias("x")).select("label", "x.*")
+    if counted:
+        nodes = nodes.withColumn("weight", F.greatest("paper_count", F.lit(1)))
+    names = seen.groupBy("name").agg(F.max_by("key", "hi").alias("key"), F.min("lo").alias("name_ord")).join(keyed.select("key", "label"), "key")
     lowered = names.groupBy(F.lower("name").alias("name")).agg(F.max_by("label", "name_ord").alias("label"))
     exact = names.select("name", "label")
     return nodes, exact.unionByName(lowered.join(exact.select("name"), "name", "left_anti"))
@@ -43,20 +51,20 @@ def consolidated_edges(relations: DataFrame, names: DataFrame) -> tuple[DataFram
     Relations are source_entity, target_entity, relationship_type, doc_id and confidence. Names lead to nodes as they
     are, else in lower case; unknown names and loops go. The evidence holds every document; weight counts them. The
     confidence is the highest, 0.7 where it is null or 0. A relation without a document raises it but makes no edge.
+    Each name is led to its node once, in a table of the names that relations have.
     """
     rows = relations.select(
         F.trim("source_entity").alias("s"), F.trim("target_entity").alias("t"), F.trim(F.coalesce(F.nullif("relationship_type", F.lit("")), F.lit("associated_with"))).alias("relation"),
         "doc_id", F.coalesce(F.nullif(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.7)).alias("confidence"),
     )
-    for end, node in (("s", "src"), ("t", "dst")):
-        exact, low = names.select(F.col("name").alias("n1"), F.col("label").alias("l1")), names.select(F.col("name").alias("n2"), F.col("label").alias("l2"))
-        rows = rows.join(exact, rows[end] == exact["n1"], "left").join(low, F.col("l1").isNull() & (F.lower(end) == low["n2"]), "left")
-        rows = rows.withColumn(node, F.coalesce("l1", "l2")).drop("n1", "n2", "l1", "l2")
-    rows = rows.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    evidence = rows.where("doc_id IS NOT NULL").select("src", "relation", "dst", "doc_id").distinct()
-    confidence = rows.groupBy("src", "relation", "dst").agg(F.max("confidence").alias("confidence"))
-    weight = evidence.groupBy("src", "relation", "dst").agg(F.count("*").alias("weight"))
-    return confidence.join(weight, ["src", "relation", "dst"]), evidence
+    ends = rows.select("s").distinct().unionAll(rows.select("t").distinct()).toDF("end").distinct()
+    low = names.select(F.col("name").alias("n2"), F.col("label").alias("l2"))
+    led = ends.join(names.select(F.col("name").alias("end"), F.col("label").alias("l1")), "end", "left").join(low, F.lower("end") == low["n2"], "left")
+    led = written(led.select("end", F.coalesce("l1", "l2").alias("label")).where("label IS NOT NULL"), "kg-ends")
+    rows = rows.join(led.toDF("s", "src"), "s").join(led.toDF("t", "dst"), "t").where("src <> dst")
+    each = rows.groupBy("src", "relation", "dst", "doc_id").agg(F.max("confidence").alias("confidence"))
+    edges = each.groupBy("src", "relation", "dst").agg(F.max("confidence").alias("confidence"), F.count("doc_id").alias("weight")).where("weight > 0")
+    return edges, each.where("doc_id IS NOT NULL").select("src", "relation", "dst", "doc_id")
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:

@@ -111,3 +111,14 @@ def test_closeness_by_sketches(spark):
     got = {r.node: r.closeness for r in knowledge.closeness_sketch(edges, nodes).collect()}
     assert got.keys() == exact.keys() and got[600] == 0.0 and got[500] == exact[500]
     assert all(abs(got[v] - exact[v]) <= 0.05 * exact[v] + 1e-6 for v in exact)
+
+
+def test_nodes_without_counts_are_the_same_and_count_nothing(spark):
+    rows = spark.createDataFrame([(1, "Abc", "G", None, 5), (2, "abc", "G", None, 6), (3, "Long name", "G", "C1", 5), (4, "ln", "G", "C1", 5), (5, "LN", None, "", 7)], "ord long, name string, entity_type string, concept_id string, doc_id long")
+    (nodes, names), (bare, same) = knowledge.canonical_nodes(rows), knowledge.canonical_nodes(rows, counted=False)
+    assert bare.columns == ["label", "entity_type", "concept_id"] and sorted(map(tuple, bare.collect()), key=str) == sorted(map(tuple, nodes.select(bare.columns).collect()), key=str)
+    assert {r.label: r.paper_count for r in nodes.collect()} == {"Abc": 2, "ln": 1, "LN": 1}
+    assert sorted(names.collect()) == sorted(same.collect())
+    relations = spark.createDataFrame([("ABC", "ln", None, 1, None), ("abc ", "Long name", "", 1, 0.9), ("Abc", "ln", None, None, 0.95), ("no", "ln", None, 3, None)], "source_entity string, target_entity string, relationship_type string, doc_id long, confidence double")
+    edges, evidence = knowledge.consolidated_edges(relations, names)
+    assert [tuple(r) for r in edges.collect()] == [("Abc", "associated_with", "ln", 0.95, 1)] and [tuple(r) for r in evidence.collect()] == [("Abc", "associated_with", "ln", 1)]
