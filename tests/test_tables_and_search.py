@@ -108,3 +108,18 @@ def test_reloaded_session_is_the_first(spark):
     assert len(again) == 2 and [x.replace("keywords=None", "keywords=[]") for x in first] == again
     bad = kept.withColumn("authors", F.lit("[{")).withColumn("keywords", F.lit(None).cast("string"))
     assert {(r.pmid, r.author_count, r.keyword_count) for r in records.reload_session(bad, "q").collect()} == {("1", 0, 0), ("2", 0, 0)}
+
+
+def test_cosine_search_in_blocks_against_rows(spark, monkeypatch):
+    from papergraph.operators import vectors
+
+    monkeypatch.setattr(vectors, "CORPUS_ROWS", 3)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 2)
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(20)] + [(20, [0.0, 0.0, 0.0]), (21, [1.0]), (22, [1.0, None, 2.0]), (23, None), (24, [])]
+    queries = spark.createDataFrame([(i, v) for i, v in rows if i in (0, 7, 20, 21, 22)], "query_id long, embedding array<double>")
+    ids = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    named = ids.selectExpr("lpad(string(vec_id), 3, '0') AS vec_id", "embedding")  # ids that are no numbers go row by row
+    for k in (4, 30):
+        got = sorted(tuple(r) for r in vectors.cosine_top_k(ids, queries, k).collect())
+        want = sorted((r.query_id, r["rank"], int(r.vec_id), r.score) for r in vectors.cosine_top_k(named, queries, k).collect())
+        assert [g[:3] for g in got] == [w[:3] for w in want] and all(g[3] == w[3] for g, w in zip(got, want, strict=True))
