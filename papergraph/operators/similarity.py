@@ -16,6 +16,10 @@ from papergraph.operators.storage import forget, written
 
 #: Rows of a block: a task compares two of them.
 BLOCK_ROWS = 2000
+#: Pairs of vectors that cost as much as a row in a table: it is hashed, written, dealt and put in a block.
+ROW_PAIRS = 5000
+#: Pairs of blocks that go to Python at a time.
+PAIRS_AT_ONCE = 4
 RELATION = "semantic_similarity"
 
 
@@ -45,17 +49,27 @@ def plan_tables(n: int, least: float, recall: float, bucket: int = BLOCK_ROWS //
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 1
 
 
+def tables_pay(n: int, bits: int, tables: int) -> bool:
+    """Whether so many tables cost less than looking at every pair of n rows: each table holds all rows once more."""
+    return tables * (ROW_PAIRS + n / 2 ** (bits + 1)) < n / 2
+
+
 def similar_pairs(vectors: DataFrame, least: float = 0.85, exact: bool = True, recall: float = 0.95, seed: int = 42) -> DataFrame:
     """a < b and score of rows (node, vector) with a cosine of `least` at least, to six digits.
 
     Exact: every pair is looked at. Else a pair is looked at if the signs of its products with some random vectors are
-    equal in one of several tables, whose number follows from the recall wanted. In either case rows lie in blocks of some
+    equal in one of several tables, whose number follows from the recall wanted; a low threshold wants so many tables that
+    every pair is looked at instead where that costs less, which misses none. In either case rows lie in blocks of some
     BLOCK_ROWS inside their bucket, their number following from the bucket's size, and two blocks at a time are compared:
-    a bucket with a third of all rows is as many tasks as it needs. Null, empty and zero vectors have no pairs.
+    a bucket with a third of all rows is as many tasks as it needs. Where every pair is looked at, pairs of blocks are met
+    where they are read: no block is sent once for each other one. Null, empty and zero vectors have no pairs.
     """
     rows = vectors.select("node", F.col("vector").cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
     kind = rows.schema["node"].dataType.simpleString()
-    bits, tables = plan_tables(1 if exact else rows.count(), least, recall)
+    if not exact:
+        n = rows.count()
+        bits, tables = plan_tables(n, least, recall)
+        exact = not tables_pay(n, bits, tables)
 
     def keyed(batches):
         for batch in batches:
@@ -74,13 +88,20 @@ def similar_pairs(vectors: DataFrame, least: float = 0.85, exact: bool = True, r
         return pa.Table.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), nodes, pa.array([b"".join(part["x"].to_pylist())], pa.binary())], ["tab", "key", "blocks", "block", "nodes", "xs"])
 
     blocks = written(placed.groupBy("tab", "key", "blocks", "block").applyInArrow(packed, f"tab int, key long, blocks int, block int, nodes array<{kind}>, xs binary"), "similarity-blocks")
-    left = blocks.select("tab", "key", F.col("nodes").alias("n1"), F.col("xs").alias("x1"), F.col("block").alias("b1"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b2"))
-    right = blocks.select("tab", "key", F.col("nodes").alias("n2"), F.col("xs").alias("x2"), F.col("block").alias("b2"))
+    columns = {side: blocks.select(*[c for c in ("tab", "key") if not exact], "blocks", F.col("nodes").alias(f"n{side}"), F.col("xs").alias(f"x{side}"), F.col("block").alias(f"b{side}")) for side in (1, 2)}
+    if exact:
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = columns[1].drop("blocks").repartition(parts, "b1").join(columns[2].drop("blocks"), F.col("b1") <= F.col("b2"))
+    else:
+        left = columns[1].withColumn("b2", F.explode(F.sequence("b1", F.col("blocks") - 1))).drop("blocks")
+        pairs = left.join(columns[2].drop("blocks"), ["tab", "key", "b2"])
 
     def compared(batches):
         for batch in batches:
-            for n1, x1, n2, x2, same in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                x, y = (np.frombuffer(b).reshape(len(n), -1) for b, n in ((x1, n1), (x2, n2)))
+            for row in range(len(batch)):
+                n1, x1, n2, x2, same = (batch.column(i)[row] for i in range(5))
+                n1, n2, same = n1.as_py(), n2.as_py(), same.as_py()
+                x, y = (np.frombuffer(b.as_buffer()).reshape(len(n), -1) for b, n in ((x1, n1), (x2, n2)))
                 score = np.round(x @ y.T, 6)
                 i, j = np.nonzero(np.triu(score >= least, 1) if same else score >= least)
                 if len(i):
@@ -88,9 +109,9 @@ def similar_pairs(vectors: DataFrame, least: float = 0.85, exact: bool = True, r
                     ordered = [(u, v) if u < v else (v, u) for u, v in zip(a, b, strict=True)]
                     yield pa.RecordBatch.from_pydict({"a": [u for u, _ in ordered], "b": [v for _, v in ordered], "score": pa.array(score[i, j])})
 
-    met = left.join(right, ["tab", "key", "b2"]).select("n1", "x1", "n2", "x2", (F.col("b1") == F.col("b2")).alias("same"))
-    pairs = met.mapInArrow(compared, f"a {kind}, b {kind}, score double").where("a <> b")
-    found = written(pairs.groupBy("a", "b").agg(F.max("score").alias("score")), "similarity-pairs")
+    met = pairs.select("n1", "x1", "n2", "x2", (F.col("b1") == F.col("b2")).alias("same"))
+    scored = met.mapInArrow(compared, f"a {kind}, b {kind}, score double").where("a <> b")
+    found = written(scored.groupBy("a", "b").agg(F.max("score").alias("score")), "similarity-pairs", PAIRS_AT_ONCE)
     forget(dealt)
     forget(blocks)
     return found

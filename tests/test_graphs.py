@@ -122,3 +122,16 @@ def test_nodes_without_counts_are_the_same_and_count_nothing(spark):
     relations = spark.createDataFrame([("ABC", "ln", None, 1, None), ("abc ", "Long name", "", 1, 0.9), ("Abc", "ln", None, None, 0.95), ("no", "ln", None, 3, None)], "source_entity string, target_entity string, relationship_type string, doc_id long, confidence double")
     edges, evidence = knowledge.consolidated_edges(relations, names)
     assert [tuple(r) for r in edges.collect()] == [("Abc", "associated_with", "ln", 0.95, 1)] and [tuple(r) for r in evidence.collect()] == [("Abc", "associated_with", "ln", 1)]
+
+
+def test_buckets_only_where_they_cost_less(spark, monkeypatch):
+    assert not similarity.tables_pay(120_000, *similarity.plan_tables(120_000, 0.4, 0.95)) and similarity.tables_pay(5_000_000, *similarity.plan_tables(5_000_000, 0.85, 0.95))
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 600)] + 0.3 * rng.normal(size=(600, 16))
+    rows, want = vectors(spark, x), alike(x, 0.85)
+    wide = alike(x, 0.4)
+    assert {(r.a, r.b) for r in similarity.similar_pairs(rows, 0.4, exact=False).collect()} == wide.keys()  # too many tables: every pair is looked at
+    monkeypatch.setattr(similarity, "ROW_PAIRS", 0)
+    got = {(r.a, r.b) for r in similarity.similar_pairs(rows, 0.85, exact=False).collect()}
+    assert got <= want.keys() and len(got) >= 0.9 * len(want)
