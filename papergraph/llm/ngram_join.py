@@ -97,10 +97,24 @@ def shingles(texts: pa.Array, n: int):
 
 
 def _keys(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """128 bits of each set, as two integers; zeros for an empty set."""
+    """96 bits of each set, as integers of 64 and 32 bits; zeros for an empty set."""
     start = np.concatenate([[0], np.cumsum(counts)])
     digests = [hashlib.md5(grams[a:b].tobytes()).digest() if b > a else bytes(16) for a, b in zip(start, start[1:], strict=False)]
-    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).copy()
+    keys[:, 1] &= 0xFFFFFFFF
+    return keys
+
+
+def _packed_sets(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys in 12 bytes each, counts in 2 (in 4, if one needs them): they travel once for each fragment that a set is in."""
+    small = np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32
+    return keys[:, 0].tobytes() + keys[:, 1].astype(np.uint32).tobytes(), counts.astype(small).tobytes()
+
+
+def _unpacked_sets(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // 12
+    columns = np.frombuffer(keys, np.int64, n), np.frombuffer(keys, np.uint32, n, 8 * n).astype(np.int64)
+    return np.column_stack(columns), np.frombuffer(counts, np.uint16 if len(counts) == 2 * n else np.uint32).astype(np.int64)
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -110,7 +124,7 @@ def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
 def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """What all counting needs, from one look at the texts.
 
-    kind 0: doc_id, n (size of its set), hi and lo (the set's key) of each row. kind 1: hi, lo, n, and in df how many
+    kind 0: doc_id, n (size of its set), hi and lo (the set's key) of each row. kind 1: hi, lo, and in df how many
     of the set's n-grams in one fragment of all n-grams other sets hold too. kind 2: hi, lo, gram and df of these, df
     being the number of sets that hold it. Equal sets count once. A gram is 48 bits of its hash below the number of its
     fragment (mod 2^15), which comes from the other end of the hash: n-grams of different fragments stay apart.
@@ -145,8 +159,9 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
                         held, many = np.unique(owner[a:b], return_counts=True)
                         g = grams[a:b]
                         out["fragment"].append(int(part[a]))
-                        out["sets"].append(np.column_stack([keys[held], counts[held]]).astype(np.int64).tobytes())
-                        out["counts"].append(many.astype(np.uint32).tobytes())
+                        packed = _packed_sets(keys[held], many)
+                        out["sets"].append(packed[0])
+                        out["counts"].append(packed[1])
                         out["grams"].append(g.astype(np.uint32).tobytes() + (g >> np.uint64(32)).astype(np.uint16).tobytes())
                 if out["fragment"]:
                     null = pa.nulls(len(out["fragment"]), pa.int64())
@@ -166,8 +181,7 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
                 fragment = rest.column("fragment")[0].as_py() % (1 << 15)  # a task has one fragment
         if not held:
             return
-        sets = np.concatenate([np.frombuffer(h[0], np.int64).reshape(-1, 3) for h in held])
-        counts = np.concatenate([np.frombuffer(h[1], np.uint32) for h in held]).astype(np.int64)
+        sets, counts = map(np.concatenate, zip(*(_unpacked_sets(*h[:2]) for h in held), strict=True))
         low = np.concatenate([np.frombuffer(h[2], np.uint32, len(h[2]) // 6) for h in held])
         high = np.concatenate([np.frombuffer(h[2], np.uint16, len(h[2]) // 6, len(h[2]) // 6 * 4) for h in held])
         held.clear()
@@ -198,7 +212,7 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
     names = ["kind", "doc_id", "n", "hi", "lo", "gram", "df"]
 
     def batch_of(kind, sets, grams, df):
-        columns = [pa.array(np.full(len(sets), kind, np.int32)), pa.nulls(len(sets), pa.int64()), *(pa.array(np.ascontiguousarray(sets[:, i])) for i in (2, 0, 1)), grams, pa.array(df.astype(np.int64))]
+        columns = [pa.array(np.full(len(sets), kind, np.int32)), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64()), *(pa.array(np.ascontiguousarray(sets[:, i])) for i in (0, 1)), grams, pa.array(df.astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, names)
 
     blobs = source.mapInArrow(dealt, "fragment int, doc_id long, n long, hi long, lo long, sets binary, counts binary, grams binary")
@@ -214,7 +228,7 @@ class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int, id_col: str, text_col: str):
         self.percent, self.parts = percent, ngram_parts(docs, n, id_col, text_col)
         self.members = self.parts.where("kind = 0").select("doc_id", "n", "hi", "lo")
-        sets = self.parts.where("kind = 1").groupBy("hi", "lo").agg(F.max("n").alias("n"), (F.max("n") - F.sum("df")).alias("own"))
+        sets = self.parts.where("kind < 2").groupBy("hi", "lo").agg(F.max("n").alias("n"), (F.max("n") - F.sum(F.when(F.col("kind") == 1, F.col("df")))).alias("own"))
         sets = sets.where(F.col("own") < self.prefix(F.col("n")))
         self.open = saved(sets.select("hi", "lo", "n", "own", F.monotonically_increasing_id().alias("set")), "ngram-open")
         held = self.parts.where("kind = 2").select("hi", "lo", "gram", "df").join(self.open, ["hi", "lo"]).select("set", "n", "own", "gram", "df")

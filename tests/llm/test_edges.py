@@ -159,3 +159,16 @@ def test_budgets_of_a_mix(spark):
     for r in got.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("read"), F.first("mix_tokens").alias("said"), F.first("mix_budget").alias("asked"), F.first("mix_weight").alias("w")).collect():
         assert r["read"] == r.said and abs(r.said - r.asked) <= 0.02 * r.asked
     assert sorted((r.doc_id, r["count"]) for r in got.where("mix_epoch = 0").groupBy("doc_id").count().collect()) == [(i, 2 if i < 20 else 1) for i in range(3000)]
+
+
+def test_sets_travel_in_few_bytes():
+    import numpy as np
+
+    from papergraph.llm.ngram_join import _keys, _packed_sets, _unpacked_sets
+
+    keys = _keys(np.arange(6, dtype=np.uint64), np.array([2, 0, 3, 1]))
+    for counts in (np.array([2, 0, 3, 65535]), np.array([2, 1, 3, 65536])):
+        packed = _packed_sets(keys, counts)
+        assert len(packed[0]) == 12 * 4 and len(packed[1]) == 4 * (2 if counts.max() < 65536 else 4)
+        back = _unpacked_sets(*packed)
+        assert (back[0] == keys).all() and (back[1] == counts).all()
