@@ -12,6 +12,11 @@ _INSIDE = r"""(?:[^>"'/]|"[^"]*+"|'[^']*+'|/(?!>))*+"""  # of a tag, behind its
 _REFERENCE = r"&#([xX][0-9a-fA-F]{1,8}|[0-9]{1,10});"
 
 
+def _bound(value: Column, use) -> Column:
+    """use of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _escaped(text: Column) -> Column:
     for character, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(character), F.lit(name))
@@ -34,9 +39,12 @@ def _normal(xml: Column) -> Column:
     outside = F.transform(parts, lambda p, i: F.when(i % 2 == 1, _escaped(p)).otherwise(F.regexp_replace(p, r"(?s)<!--.*?-->|<\?.*?\?>", "")))
     whole = F.when(F.contains(xml, F.lit("<![CDATA[")) | F.contains(xml, F.lit("<!--")) | F.contains(xml, F.lit("<?")), F.array_join(outside, "")).otherwise(xml)
     full = F.regexp_replace(whole, rf"<([A-Za-z_][\w.:-]*)((?:\s{_INSIDE})?)/>", "<$1$2></$1>")
-    pieces, numbers = F.split(full, _REFERENCE, -1), F.regexp_extract_all(full, F.lit(_REFERENCE), F.lit(1))
-    decoded = F.array_join(F.zip_with(pieces, numbers, lambda p, n: F.concat(p, F.coalesce(_character(n), F.lit("")))), "")
-    return F.when(F.contains(full, F.lit("&#")), decoded).otherwise(full)
+
+    def decoded(full):
+        pieces, numbers = F.split(full, _REFERENCE, -1), F.regexp_extract_all(full, F.lit(_REFERENCE), F.lit(1))
+        return F.when(F.contains(full, F.lit("&#")), F.array_join(F.zip_with(pieces, numbers, lambda p, n: F.concat(p, F.coalesce(_character(n), F.lit("")))), "")).otherwise(full)
+
+    return _bound(full, decoded)
 
 
 def _blocks(xml: Column, tag: str) -> Column:
@@ -64,13 +72,13 @@ def _text(xml: Column, tag: str) -> Column:
 
 
 def _or_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
 
 
 def _attribute(block: Column, name: str) -> Column:
     """An attribute's value in the block's first tag, in either kind of quotes; empty if there is none."""
     quoted = F.regexp_extract(block, rf"""^<[^\s>]+(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*?\s+{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
-    return _plain(F.when(quoted == "", F.lit("")).otherwise(F.substr(quoted, F.lit(2), F.length(quoted) - 2)))
+    return _plain(_bound(quoted, lambda q: F.when(q == "", F.lit("")).otherwise(F.substr(q, F.lit(2), F.length(q) - 2))))
 
 
 def _texts(xml: Column, tag: str) -> Column:
@@ -79,22 +87,28 @@ def _texts(xml: Column, tag: str) -> Column:
 
 def _date(block: Column) -> Column:
     """YYYY, YYYY-MM or YYYY-MM-DD of Year, Month and Day; null without a year."""
-    year, month, day = (_text(block, t) for t in ("Year", "Month", "Day"))
-    number = F.lpad(month, 2, "0")
-    for i, name in enumerate(MONTHS, 1):
-        number = F.when(F.lower(F.substring(month, 1, 3)) == name[:3], f"{i:02d}").otherwise(number)
-    dated = F.when(month == "", F.lpad(year, 4, "0")).otherwise(F.concat(F.lpad(year, 4, "0"), F.lit("-"), number, F.when(day != "", F.concat(F.lit("-"), F.lpad(day, 2, "0"))).otherwise("")))
-    return F.when(year != "", dated)
+    def dated(parts):
+        year, month, day = parts["year"], parts["month"], parts["day"]
+        number = F.lpad(month, 2, "0")
+        for i, name in enumerate(MONTHS, 1):
+            number = F.when(F.lower(F.substring(month, 1, 3)) == name[:3], f"{i:02d}").otherwise(number)
+        whole = F.when(month == "", F.lpad(year, 4, "0")).otherwise(F.concat(F.lpad(year, 4, "0"), F.lit("-"), number, F.when(day != "", F.concat(F.lit("-"), F.lpad(day, 2, "0"))).otherwise("")))
+        return F.when(year != "", whole)
+
+    return _bound(block, lambda b: _bound(F.struct(*[_text(b, t).alias(t.lower()) for t in ("Year", "Month", "Day")]), dated))
 
 
 def _free_date(text: Column) -> Column:
     """Year, with the first month that is named, of a free-form date; the text itself without a year, null if empty."""
-    month = F.lower(F.regexp_extract(text, r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b", 1))
-    number = F.lit(None).cast("string")
-    for i, name in enumerate(MONTHS, 1):
-        number = F.when(month == name[:3], f"-{i:02d}").otherwise(number)
-    year = F.regexp_extract(text, r"^(\d{4})", 1)
-    return F.when(text == "", None).when(year == "", text).otherwise(F.concat(year, F.coalesce(number, F.lit(""))))
+    def dated(text):
+        month = F.lower(F.regexp_extract(text, r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b", 1))
+        number = F.lit(None).cast("string")
+        for i, name in enumerate(MONTHS, 1):
+            number = F.when(month == name[:3], f"-{i:02d}").otherwise(number)
+        year = F.regexp_extract(text, r"^(\d{4})", 1)
+        return F.when(text == "", None).when(year == "", text).otherwise(F.concat(year, F.coalesce(number, F.lit(""))))
+
+    return _bound(text, dated)
 
 
 def _named(blocks: Column, attribute: str) -> Column:
@@ -112,23 +126,25 @@ def parse_articles(articles: DataFrame, xml: str = "xml") -> DataFrame:
     # names lose their prefixes first: what declares them may stand outside the element
     bare = F.regexp_replace(F.col(xml), r"(</?)[\w.-]+:(?=[A-Za-z_])", "$1")
     sound = F.from_xml(bare, "PMID string, _corrupt_record string", {"mode": "PERMISSIVE"})
-    articles = articles.where(sound["_corrupt_record"].isNull()).select(_normal(F.col(xml)).alias("xml"))
+    # explode keeps what follows from being worked out on the element as it came, once for each use
+    articles = articles.where(sound["_corrupt_record"].isNull()).select(F.explode(F.array(_normal(F.col(xml)))).alias("xml"))
     x = F.col("xml")
     section = F.transform(_blocks(_raw(x, "Abstract"), "AbstractText"), lambda b: F.struct(_attribute(b, "Label").alias("label"), _inner(b).alias("text")))
     said = F.transform(F.filter(section, lambda s: (s["label"] != "") | (s["text"] != "")), lambda s: F.when(s["label"] != "", F.concat(s["label"], F.lit(": "), s["text"])).otherwise(s["text"]))
 
     def author(b):
         last, fore = _text(b, "LastName"), _text(b, "ForeName")
-        name = F.when((last != "") | (fore != ""), F.regexp_replace(F.concat(last, F.lit(", "), fore), r"^[, ]+|[, ]+$", "")).otherwise(_text(b, "CollectiveName"))
+        name = _bound(F.struct(last.alias("last"), fore.alias("fore")), lambda n: F.when((n["last"] != "") | (n["fore"] != ""), F.regexp_replace(F.concat(n["last"], F.lit(", "), n["fore"]), r"^[, ]+|[, ]+$", "")).otherwise(_text(b, "CollectiveName")))
         return F.struct(name.alias("name"), last.alias("last_name"), fore.alias("fore_name"), _text(b, "Initials").alias("initials"), _or_null(F.array_join(_texts(b, "Affiliation"), "; ")).alias("affiliation"))
 
     def headings(b):
-        top = F.get(_blocks(b, "DescriptorName"), F.lit(0))
-        major = _attribute(top, "MajorTopicYN") == "Y"
-        qualifiers = _blocks(b, "QualifierName")
-        each = F.transform(qualifiers, lambda q: F.struct(_inner(top).alias("descriptor"), _inner(q).alias("qualifier"), (major | (_attribute(q, "MajorTopicYN") == "Y")).alias("is_major_topic")))
-        alone = F.array(F.struct(_inner(top).alias("descriptor"), F.lit(None).cast("string").alias("qualifier"), major.alias("is_major_topic")))
-        return F.when(F.size(qualifiers) > 0, each).otherwise(alone)
+        def listed(h):
+            each = F.transform(h["qualifiers"], lambda q: F.struct(h["descriptor"].alias("descriptor"), _inner(q).alias("qualifier"), (h["major"] | (_attribute(q, "MajorTopicYN") == "Y")).alias("is_major_topic")))
+            alone = F.array(F.struct(h["descriptor"].alias("descriptor"), F.lit(None).cast("string").alias("qualifier"), h["major"].alias("is_major_topic")))
+            return F.when(F.size(h["qualifiers"]) > 0, each).otherwise(alone)
+
+        told = lambda top: F.struct(_inner(top).alias("descriptor"), (_attribute(top, "MajorTopicYN") == "Y").alias("major"), _blocks(b, "QualifierName").alias("qualifiers"))
+        return _bound(_bound(F.get(_blocks(b, "DescriptorName"), F.lit(0)), told), listed)
 
     mesh = F.flatten(F.transform(F.filter(_blocks(x, "MeshHeading"), lambda b: F.size(_blocks(b, "DescriptorName")) > 0), headings))
     issue = _raw(x, "JournalIssue")

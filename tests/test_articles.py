@@ -53,3 +53,9 @@ def test_prefixes_and_invalid_numbers(spark):
     row = read(spark, article("<ArticleTitle>a <mml:math><mml:mi>x</mml:mi></mml:math> b</ArticleTitle>"))[0]
     assert row.title == "a x b"
     assert read(spark, article("<ArticleTitle>a &#xD800; b</ArticleTitle>"), article("<ArticleTitle>&#0;</ArticleTitle>"), "", None) == []
+
+
+def test_elements_are_made_plain_once(spark):
+    rows = parse_articles(spark.createDataFrame([(article("<ArticleTitle>a</ArticleTitle>"),)], "xml string")).select("pmid", "title", "pub_date")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!\\[CDATA") == 1 and plan.count("<Month") == 2  # of the article's and of the issue's date
