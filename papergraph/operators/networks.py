@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papergraph.operators.storage import written
+from papergraph.operators.storage import forget, written
 
+#: Pairs that a task makes and counts, or sorts.
+COUNTED_PAIRS = 4_000_000
 #: Pairs that a task gets for its triangles; up to so few are one task.
 TASK_PAIRS = 3_000_000
 SOME_PAIRS = 20_000
@@ -37,17 +39,28 @@ def typed_frequency(sources: list[tuple[str, DataFrame]], least: int = 1) -> Dat
     return rows.groupBy("item").agg(F.count("*").alias("n"), F.min_by("source_type", F.struct("doc", "at")).alias("source_type")).where(F.col("n") >= least)
 
 
-def cooccurrence(links: DataFrame, doc: str, item: str, least: int = 1) -> DataFrame:
-    """src < dst and weight: in how many documents both items are, for items that occur at least `least` times.
+def cooccurrence(links: DataFrame, doc: str, item: str, least: int = 1, least_weight: int = 1) -> DataFrame:
+    """src < dst and weight: in how many documents both items are (`least_weight` at least), for items that occur at least `least` times.
 
-    Pairs are made inside a document, from its distinct items.
+    Pairs are made inside a document, from its distinct items. Rows are dealt by the number of pairs that they make, not
+    by their size: a task counts some COUNTED_PAIRS.
     """
     rows = links.where(F.col(doc).isNotNull() & F.col(item).isNotNull()).select(F.col(doc).alias("doc"), F.col(item).alias("item")).distinct()
     if least > 1:
         rows = rows.join(item_frequency(links, doc, item, least).select("item"), "item", "left_semi")
-    other = rows.select("doc", F.col("item").alias("dst"))
-    pairs = rows.join(other, "doc").where(F.col("item") < F.col("dst"))
-    return pairs.groupBy(F.col("item").alias("src"), "dst").agg(F.count("*").alias("weight"))
+    rows = written(rows, "cooccurrence-rows")
+    c = F.col("count")
+    many = rows.groupBy("doc").count().agg(F.sum((c * (c - 1) / 2).cast("long"))).first()[0] or 0
+    parts = -(-many // COUNTED_PAIRS)
+    large = parts > rows.sparkSession.sparkContext.defaultParallelism  # with fewer, tasks have no more pairs anyway
+    dealt = rows.repartition(parts, "doc") if large else rows
+    pairs = dealt.join(dealt.select("doc", F.col("item").alias("dst")), "doc").where(F.col("item") < F.col("dst"))
+    counts = pairs.groupBy(F.col("item").alias("src"), "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= least_weight)
+    if not large:
+        return counts
+    counts = written(counts, "cooccurrence", parts=parts)
+    forget(rows)
+    return counts
 
 
 def cooccurrence_network(links: DataFrame, doc: str, item: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +98,11 @@ def graph_statistics(edges: DataFrame, nodes: DataFrame | None = None, directed:
 
 def top_neighbours(edges: DataFrame, k: int = 5) -> DataFrame:
     """The k neighbours of each node with the largest weight, ties to the smaller: node, other, weight, rank."""
+    edges = edges if hasattr(edges, "written_to") else written(edges, "neighbour-edges")
+    parts = -(-2 * edges.count() // COUNTED_PAIRS)
     order = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
-    return both_ways(edges).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # dealt once by node: the rows that a task sorts do not grow with the table
+    return both_ways(edges).repartition(max(parts, edges.sparkSession.sparkContext.defaultParallelism), "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _corners(weighted: bool):
@@ -207,7 +223,7 @@ def citations(references: DataFrame, records: DataFrame) -> DataFrame:
 
 def shared_references(references: DataFrame, least: int = 1) -> DataFrame:
     """src < dst and weight: how many references two records share."""
-    return cooccurrence(references, "ref", "doc").where(F.col("weight") >= least)
+    return cooccurrence(references, "ref", "doc", least_weight=least)
 
 
 def top_central(values: DataFrame, column: str, k: int = 10) -> DataFrame:

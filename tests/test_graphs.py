@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papergraph.operators import knowledge, similarity
+from papergraph.operators import knowledge, networks, similarity
 from papergraph.operators.communities import communities
 
 
@@ -135,3 +135,16 @@ def test_buckets_only_where_they_cost_less(spark, monkeypatch):
     monkeypatch.setattr(similarity, "ROW_PAIRS", 0)
     got = {(r.a, r.b) for r in similarity.similar_pairs(rows, 0.85, exact=False).collect()}
     assert got <= want.keys() and len(got) >= 0.9 * len(want)
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(d), int(x)) for d, x in rng.integers(0, 40, (500, 2))})
+    links = spark.createDataFrame(rows, "doc long, ref long")
+    want, first = networks.shared_references(links, 3).collect(), networks.top_neighbours(networks.shared_references(links), 3).collect()
+    monkeypatch.setattr(networks, "COUNTED_PAIRS", 100)
+    many = networks.shared_references(links, 3)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, want)) and all(r.weight >= 3 for r in want)
+    near = networks.top_neighbours(networks.shared_references(links), 3)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, first))
+    assert near.rdd.getNumPartitions() >= 2 * networks.shared_references(links).count() // 100
