@@ -123,3 +123,15 @@ def test_cosine_search_in_blocks_against_rows(spark, monkeypatch):
         got = sorted(tuple(r) for r in vectors.cosine_top_k(ids, queries, k).collect())
         want = sorted((r.query_id, r["rank"], int(r.vec_id), r.score) for r in vectors.cosine_top_k(named, queries, k).collect())
         assert [g[:3] for g in got] == [w[:3] for w in want] and all(g[3] == w[3] for g, w in zip(got, want, strict=True))
+
+
+def test_one_search_builds_no_index(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i, None, f"common w{i:04d} é") for i in range(50)], "ord long, doc_id long, title string, abstract string")
+    asked = spark.createDataFrame([(1, "w0049"), (2, "common"), (3, None), (4, "w0003 w0044")], "question_id long, question string")
+    want = [(1, 1, 49), *((2, r, r - 1) for r in range(1, 6)), *((3, r, r - 1) for r in range(1, 6)), (4, 1, 3), (4, 2, 44)]
+    index = retrieval.gram_index(rows.select("ord", retrieval.lowered_text().alias("text")))
+    assert sorted(map(tuple, retrieval.keyword_retrieval(asked, rows, index=index).collect())) == want
+    monkeypatch.setattr(retrieval, "FIRST_RANGE", 4)
+    monkeypatch.setattr(retrieval, "MAX_WORDS", 2)
+    monkeypatch.setattr(retrieval, "gram_index", None)
+    assert sorted(map(tuple, retrieval.keyword_retrieval(asked, rows).collect())) == want
