@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papergraph.operators.networks import modularity
+from papergraph.operators.sketches import closeness_sketch  # noqa: F401
 from papergraph.operators.storage import forget, written
 
 
@@ -159,34 +160,6 @@ def distances(edges: DataFrame, most: int = 2000) -> DataFrame:
         reached = reached.unionAll(front)
 
 
-def closeness_sketch(edges: DataFrame, nodes: DataFrame, precision: int = 12, rounds: int = 100) -> DataFrame:
-    """node and closeness as closeness gives it, but of graphs of any size and estimated.
-
-    Each node has a sketch of the nodes within so many edges (HyperLogLog of 2^precision registers; relative error
-    of a count about 1.04 / 2^(precision / 2)). In each round it becomes the union of its own and its neighbours'; what it
-    grows by is the number of nodes at that distance. It ends when no estimate changes, or with an error after `rounds`.
-    A node's state has a fixed size whatever its degree, and unions are summed up before they are shuffled.
-    """
-    near = edges.select("src", "dst").unionAll(edges.select("dst", "src")).toDF("node", "next").where("node <> next").distinct()
-    near = written(near, "closeness-near")
-    every = nodes.select("node").distinct()
-    n = every.count()
-    state = written(every.groupBy("node").agg(F.hll_sketch_agg(F.col("node").cast("string"), precision).alias("sketch")).select("node", "sketch", F.lit(1).cast("long").alias("reached"), F.lit(0.0).alias("far"), F.lit(True).alias("grew")), "closeness-state")
-    for hop in range(1, rounds + 1):
-        # a node whose neighbours have not grown cannot grow either
-        told = near.join(state.where("grew").select(F.col("node").alias("next"), F.col("sketch").alias("other")), "next").groupBy("node").agg(F.hll_union_agg("other").alias("other"))
-        grown = state.join(told, "node", "left").select("node", F.when(F.col("other").isNull(), F.col("sketch")).otherwise(F.hll_union("sketch", F.coalesce("other", "sketch"))).alias("sketch"), F.col("reached").alias("before"), "far")
-        size = F.greatest(F.col("before"), F.hll_sketch_estimate("sketch"))
-        before, state = state, written(grown.select("node", "sketch", size.alias("reached"), (F.col("far") + hop * (size - F.col("before"))).alias("far"), (size > F.col("before")).alias("grew")), "closeness-state")
-        forget(before)
-        if state.where("grew").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"reach still grows after {rounds} rounds")
-    value = F.when(F.col("far") > 0, F.round((F.col("reached") - 1) / F.col("far") * (F.col("reached") - 1) / max(n - 1, 1), 6)).otherwise(0.0)
-    return state.select("node", value.alias("closeness"))
-
-
 def closeness(edges: DataFrame, nodes: DataFrame, most: int = 2000) -> DataFrame:
     """node and closeness ((r - 1) / sum of distances, times (r - 1) / (n - 1), r nodes being reached); 0 for isolated nodes."""
     n = nodes.select("node").distinct().count()

@@ -148,3 +148,20 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     near = networks.top_neighbours(networks.shared_references(links), 3)
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, first))
     assert near.rdd.getNumPartitions() >= 2 * networks.shared_references(links).count() // 100
+
+
+def test_closeness_sketches_travel_in_slices_and_blocks(spark, monkeypatch):
+    from papergraph.operators import sketches
+
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), 1000 + int(b)) for a, b in rng.integers(0, 60, (900, 2))] + [(5000, 5001 + i) for i in range(300)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    whole = {r.node: r.closeness for r in knowledge.closeness_sketch(edges, nodes, 11).collect()}
+    for name, value in (("SLICE_BYTES", 1), ("EDGE_BYTES", 1), ("LEAST_SLICE", 1024), ("SOME_EDGES", 500), ("CHUNK_EDGES", 50), ("MANY", 3)):
+        monkeypatch.setattr(sketches, name, value)
+    assert {r.node: r.closeness for r in knowledge.closeness_sketch(edges, nodes, 11).collect()} == whole
+    n = len(whole)
+    assert whole[5000] == round(300 / (n - 1), 6)  # neighbours are counted, not estimated
+    exact = {r.node: r.closeness for r in knowledge.closeness(edges, nodes, 3000).collect()}
+    assert all(abs(whole[v] - exact[v]) <= 0.1 * exact[v] + 1e-6 for v in exact)
