@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 from papergraph.llm.common import discard, mixed, pieces, saved, utf8
 from papergraph.operators.components import connected_components
+from papergraph.operators.storage import written
 
 #: N-grams that one task counts at a time, and bytes of text that are hashed at a time.
 FRAGMENT_GRAMS = 2_000_000
+#: Fragments that travel as one, since each set's key travels with each of them; a task counts them one after another.
+SPANS = 2
+#: Rows that go to Python at a time, where one may hold some 10 KB and more.
+BATCH_ROWS = 200
 RUN_BYTES = 1 << 18
 #: Ranges of the global order in which overlaps are counted apart.
 RANGES = 4
@@ -106,15 +111,16 @@ def _keys(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _packed_sets(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Keys in 12 bytes each, counts in 2 (in 4, if one needs them): they travel once for each fragment that a set is in."""
-    small = np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32
+    """Keys in 12 bytes each, counts in 1 (in 2 or 4, if one needs them): they travel once for each fragment that a set is in."""
+    most = counts.max(initial=0)
+    small = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
     return keys[:, 0].tobytes() + keys[:, 1].astype(np.uint32).tobytes(), counts.astype(small).tobytes()
 
 
 def _unpacked_sets(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(keys) // 12
     columns = np.frombuffer(keys, np.int64, n), np.frombuffer(keys, np.uint32, n, 8 * n).astype(np.int64)
-    return np.column_stack(columns), np.frombuffer(counts, np.uint16 if len(counts) == 2 * n else np.uint32).astype(np.int64)
+    return np.column_stack(columns), np.frombuffer(counts, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(counts) // max(n, 1) or 1]).astype(np.int64)
 
 
 def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -131,7 +137,7 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
     """
     source = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fragments = max(8, -(-size // (6 * FRAGMENT_GRAMS)))
+    fragments = max(8, -(-size // (6 * FRAGMENT_GRAMS * SPANS)))
 
     def dealt(batches):
         for batch in batches:
@@ -182,32 +188,40 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
         if not held:
             return
         sets, counts = map(np.concatenate, zip(*(_unpacked_sets(*h[:2]) for h in held), strict=True))
-        low = np.concatenate([np.frombuffer(h[2], np.uint32, len(h[2]) // 6) for h in held])
-        high = np.concatenate([np.frombuffer(h[2], np.uint16, len(h[2]) // 6, len(h[2]) // 6 * 4) for h in held])
-        held.clear()
+        end = sum(len(h[2]) // 6 for h in held)
+        low, high = np.empty(end, np.uint32), np.empty(end, np.uint16)
+        while held:  # from the end, so that what has been unpacked goes
+            packed = held.pop()[2]
+            k = len(packed) // 6
+            low[end - k : end], high[end - k : end] = np.frombuffer(packed, np.uint32, k), np.frombuffer(packed, np.uint16, k, 4 * k)
+            end -= k
         order = np.lexsort((sets[:, 1], sets[:, 0]))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(sets[order, 0]) != 0) | (np.diff(sets[order, 1]) != 0)
         once = np.zeros(len(order), bool)
         once[order[new]] = True
-        owner = np.repeat(np.arange(len(sets)), counts)
-        good = once[owner]
-        grams = low[good] + (high[good].astype(np.int64) << 32)
-        owner = owner[good]
-        order = np.argsort(grams)
-        grams, owner = grams[order], owner[order]
-        start = np.flatnonzero(np.diff(grams, prepend=-1))
-        many = np.diff(np.concatenate([start, [len(grams)]]))
-        df = np.repeat(many, many)
-        shared = df > 1
-        grams, owner, df = grams[shared], owner[shared], df[shared]
-        order = np.argsort(owner, kind="stable")  # set by set, so that the file holds each key once
-        grams, owner, df = grams[order], owner[order], df[order]
-        some, each = np.unique(owner, return_counts=True)
-        yield batch_of(1, sets[some], pa.nulls(len(some), pa.int64()), each)
-        for a in range(0, len(grams), 100_000):
-            part = slice(a, a + 100_000)
-            yield batch_of(2, sets[owner[part]], pa.array(grams[part] + (fragment << 48)), df[part])
+        owners = np.repeat(np.arange(len(sets), dtype=np.int32), counts)
+        good = once[owners]
+        held_too = np.zeros(len(sets), np.int64)
+        for span in range(SPANS):
+            first, last = span * (1 << 16) // SPANS, (span + 1) * (1 << 16) // SPANS - 1
+            here = np.flatnonzero(good & (high >= first) & (high <= last))
+            grams, owner = low[here] + (high[here].astype(np.int64) << 32), owners[here]
+            order = np.argsort(grams)
+            grams, owner = grams[order], owner[order]
+            start = np.flatnonzero(np.diff(grams, prepend=-1))
+            many = np.diff(np.concatenate([start, [len(grams)]]))
+            df = np.repeat(many, many)
+            shared = df > 1
+            grams, owner, df = grams[shared], owner[shared], df[shared]
+            order = np.argsort(owner, kind="stable")  # set by set, so that the file holds each key once
+            grams, owner, df = grams[order], owner[order], df[order]
+            held_too += np.bincount(owner, minlength=len(sets))
+            for a in range(0, len(grams), 100_000):
+                part = slice(a, a + 100_000)
+                yield batch_of(2, sets[owner[part]], pa.array(grams[part] + (fragment << 48)), df[part])
+        some = np.flatnonzero(held_too)
+        yield batch_of(1, sets[some], pa.nulls(len(some), pa.int64()), held_too[some])
 
     names = ["kind", "doc_id", "n", "hi", "lo", "gram", "df"]
 
@@ -216,7 +230,7 @@ def ngram_parts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
         return pa.RecordBatch.from_arrays(columns, names)
 
     blobs = source.mapInArrow(dealt, "fragment int, doc_id long, n long, hi long, lo long, sets binary, counts binary, grams binary")
-    return saved(blobs.repartitionById(fragments, "fragment").mapInArrow(counted, "kind int, doc_id long, n long, hi long, lo long, gram long, df long"), "ngram-parts")
+    return written(blobs.repartitionById(fragments, "fragment").mapInArrow(counted, "kind int, doc_id long, n long, hi long, lo long, gram long, df long"), "ngram-parts", batch=BATCH_ROWS)
 
 
 class _Join:

@@ -172,3 +172,22 @@ def test_sets_travel_in_few_bytes():
         assert len(packed[0]) == 12 * 4 and len(packed[1]) == 4 * (2 if counts.max() < 65536 else 4)
         back = _unpacked_sets(*packed)
         assert (back[0] == keys).all() and (back[1] == counts).all()
+
+
+def test_counts_of_sets_travel_in_one_byte_and_keys_once_for_several_fragments(spark, monkeypatch):
+    from papergraph.llm import ngram_join
+
+    keys = ngram_join._keys(np.arange(6, dtype=np.uint64), np.array([2, 0, 3, 1]))
+    for most, width in ((255, 1), (256, 2), (65536, 4)):
+        counts = np.array([2, 0, 3, most])
+        packed = ngram_join._packed_sets(keys, counts)
+        assert len(packed[1]) == 4 * width and (ngram_join._unpacked_sets(*packed)[1] == counts).all()
+    rows = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 3, 400 + i % 3))) for i in range(6)], "doc_id long, text string")
+    found = {}
+    for spans in (1, 4):  # also more than are usual
+        monkeypatch.setattr(ngram_join, "SPANS", spans)
+        parts = ngram_join.ngram_parts(rows, 5, "doc_id", "text")
+        found[spans] = sorted(map(tuple, parts.where("kind = 2").select("hi", "lo", "gram", "df").collect()))
+        counts = parts.where("kind = 1").groupBy("hi", "lo").agg(F.sum("df").alias("n"), F.count("*").alias("k")).collect()
+        assert len(counts) == 3 and sum(r.n for r in counts) == len(found[spans]) and all(r.k <= 8 for r in counts)
+    assert found[1] == found[4] and found[1]
