@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import pytest
 
@@ -65,3 +67,12 @@ def test_whole_edge_tables_against_brute_force(spark, monkeypatch):
         with_.setdefault(r.dst, set()).add(r.src)
     want = {v: round(sum(len(n & with_[u]) for u in n) / (len(n) * (len(n) - 1)), 6) if len(n) > 1 else 0.0 for v, n in with_.items()}
     assert {r.node: r.clustering for r in library.QUERIES["clustering_plain"](spark, SF).collect()} == want
+
+
+def test_prompts_of_whole_questions(spark, tmp_path):
+    start = "a question whose telling words come later "
+    spark.createDataFrame([(1, start + "on zebrafish")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "Title\nof zebrafish"), (8, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 0, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = f"Answer from the records below alone and cite their ids.\n\nRETRIEVED PAPERS:\nPMID:7 | Title\nTitle\nof zebrafish…\n\nUSER QUESTION: {start}on zebrafish"
+    assert [tuple(r) for r in library.QUERIES["grounded_prompts"](spark, str(tmp_path)).collect()] == [(1, hashlib.sha256(want.encode()).hexdigest())]
