@@ -14,8 +14,10 @@ from papergraph.operators.storage import forget, written
 #: Pairs that a task makes and counts, or sorts.
 COUNTED_PAIRS = 4_000_000
 #: Pairs that a task gets for its triangles; up to so few are one task.
-TASK_PAIRS = 3_000_000
+TASK_PAIRS = 6_000_000
 SOME_PAIRS = 20_000
+#: Tasks of a round that get a block, and parts that a round's shuffle has at most.
+SENT_COPIES, MOST_PARTS = 4, 4000
 #: Paths of two edges that a task looks at in one go.
 CHUNK_WEDGES = 1_000_000
 
@@ -105,28 +107,59 @@ def top_neighbours(edges: DataFrame, k: int = 5) -> DataFrame:
     return both_ways(edges).repartition(max(parts, edges.sparkSession.sparkContext.defaultParallelism), "node").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _least(values: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes for each, or doubles."""
+    top = values.max(initial=0)
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if top <= np.iinfo(kind).max and values.min(initial=0) >= 0 and (values.dtype.kind != "f" or np.array_equal(values, np.floor(values))):
+            return values.astype(kind).tobytes()
+    return values.astype(np.float64).tobytes()
+
+
+def _read(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.float64}[len(data) // n] if n else np.uint8)
+
+
+def _block(key, part):
+    """The pairs (xy: both places; w) of two groups, once each with the largest weight: xs with the numbers of their ys, ys by x, weights; and the ys with the numbers of their xs."""
+    xy = part["xy"].to_numpy()
+    order = np.argsort(xy, kind="stable")
+    xy = xy[order]
+    first = np.flatnonzero(np.diff(xy, prepend=~xy[:1]) != 0)
+    w = _least(np.maximum.reduceat(part["w"].to_numpy()[order], first)) if "w" in part.column_names else None
+    x, y = xy[first] >> 32, xy[first] & 0xFFFFFFFF
+    xs, xc = np.unique(x, return_counts=True)
+    ends, ec = np.unique(y, return_counts=True)
+    data = [key[0].as_py(), key[1].as_py(), xs.astype(np.int32).tobytes(), xc.astype(np.int32).tobytes(), _least(y), w, ends.astype(np.int32).tobytes(), ec.astype(np.int32).tobytes()]
+    return pa.table([pa.array([v], t) for v, t in zip(data, [pa.int32()] * 2 + [pa.binary()] * 6, strict=True)], names=["g1", "g2", "xs", "xc", "ys", "w", "ends", "ec"])
+
+
 def _corners(weighted: bool):
-    """What a task does with the pairs of one triple of groups: (u, sum over its triangles) of each of their nodes.
+    """What a task does with the blocks of one triple of groups i <= j <= k: of each group its nodes' places, and the sums over their triangles.
 
-    Pairs (u, v, g: their groups, w) lead from the smaller group, or the smaller number, to the other; key is the triple i <= j <= k.
-    For each x of i and y of j the neighbours z of y in k are looked up among those of x.
+    Pairs lead from the smaller group, or the smaller place, to the other. For each x of i and y of j the neighbours z of y
+    in k are looked up among those of x.
     """
     def counted(key, part):
-        i, j, k, p = (key[c].as_py() for c in range(4))
-        u, v, g, w = (part[c].to_numpy() for c in ("u", "v", "g", "w"))
-        sides = {at: (u[g == at], v[g == at], w[g == at]) for at in {i * p + j, i * p + k, j * p + k}}
-        (x1, y1, w1), (x2, z2, w2), (y3, z3, w3) = sides[i * p + j], sides[i * p + k], sides[j * p + k]
+        i, j, k = (key[c].as_py() for c in range(3))
+        held = {(row["g1"], row["g2"]): row for row in part.to_pylist()}
+
+        def side(a, b):
+            row = held.get((a, b))
+            if row is None:
+                return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+            many = np.frombuffer(row["xc"], np.int32)
+            n = int(many.sum())
+            return np.repeat(np.frombuffer(row["xs"], np.int32), many), _read(row["ys"], n).astype(np.int32), _read(row["w"], n).astype(np.float64) if weighted else np.zeros(0)
+
+        (x1, y1, w1), (x2, z2, w2), (y3, z3, w3) = side(i, j), side(i, k), side(j, k)
         xs, ys, zs = np.unique(x1), np.unique(y1), np.unique(np.concatenate([z2, z3]))
         keep2, keep3 = np.isin(x2, xs), np.isin(y3, ys)
         x1, y1 = np.searchsorted(xs, x1), np.searchsorted(ys, y1)
-        x2, z2, w2 = np.searchsorted(xs, x2[keep2]), np.searchsorted(zs, z2[keep2]), w2[keep2]
-        y3, z3, w3 = np.searchsorted(ys, y3[keep3]), np.searchsorted(zs, z3[keep3]), w3[keep3]
-        order = np.argsort(x1, kind="stable")
-        x1, y1, w1 = x1[order], y1[order], w1[order]
-        order = np.lexsort((z2, x2))
-        x2, z2, w2 = x2[order], z2[order], w2[order]
-        order = np.argsort(y3, kind="stable")
-        y3, z3, w3 = y3[order], z3[order], w3[order]
+        x2, z2 = np.searchsorted(xs, x2[keep2]), np.searchsorted(zs, z2[keep2])
+        y3, z3 = np.searchsorted(ys, y3[keep3]), np.searchsorted(zs, z3[keep3])
+        if weighted:
+            w1, w2, w3 = np.cbrt(w1), np.cbrt(w2[keep2]), np.cbrt(w3[keep3])
         first = np.searchsorted(y3, np.arange(len(ys) + 1))
         many = np.diff(first)[y1]
         before = np.concatenate([[0], np.cumsum(many)])
@@ -151,36 +184,63 @@ def _corners(weighted: bool):
                 found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 hit = np.flatnonzero(keys[found] == wanted)
                 found = found[hit]
-            value = np.cbrt(w1[edge[hit]] * w2[found] * w3[at[hit]]) if weighted else None
+            value = w1[edge[hit]] * w2[found] * w3[at[hit]] if weighted else None
             for total, node in zip(sums, (x[hit], y1[edge[hit]], z[hit]), strict=True):
                 total += np.bincount(node, value, len(total))
             s = e
-        return pa.table({"u": pa.array(np.concatenate([xs, ys, zs])), "t": pa.array(np.concatenate(sums))})
+        kept = [(g, nodes[total > 0].astype(np.int32).tobytes(), total[total > 0].tobytes()) for g, nodes, total in zip((i, j, k), (xs, ys, zs), sums, strict=True)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["g", "places", "t"])
 
     return counted
 
 
+def _summed(key, part):
+    """Of one group: each place, its degree and its sum over triangles."""
+    places = [np.frombuffer(b, np.int32) for b in part["places"].to_pylist()]
+    n = 1 + max(int(at.max(initial=-1)) for at in places)
+    d, t = np.zeros(n, np.int64), np.zeros(n)
+    for at, many, sums in zip(places, part["d"].to_pylist(), part["t"].to_pylist(), strict=True):
+        if many is not None:
+            d[at] += np.frombuffer(many, np.int32)
+        else:
+            t[at] += np.frombuffer(sums, np.float64)
+    return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(d), pa.array(t)], names=["g", "place", "d", "t"])
+
+
 def clustering(edges: DataFrame, weighted: bool = False, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """node and its clustering coefficient: triangles / possible ones; 0 for nodes of degree below two.
 
     Weighted, a triangle counts by the cubic root of the product of its weights, each against the largest of all.
-    Nodes are dealt to groups, and a task gets the pairs among three of them, some `task_pairs`: pairs are sent once for
-    each group, and the paths of two edges, of which a dense graph has very many, are only made inside a task.
+    Nodes are dealt to groups, the pairs of two groups are one block of some bytes for a pair, and a task gets the blocks among three groups, some
+    `task_pairs` pairs: the paths of two edges, of which a dense graph has very many, are only made inside a task. A block
+    goes to as many tasks as there are groups, but to few (SENT_COPIES) at a time, one round of tasks after another.
     """
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("w") if weighted else F.lit(1.0).alias("w")).where("a < b").groupBy("a", "b").agg(F.max("w").alias("w"))
-    pairs = written(pairs, "clustering-pairs")
-    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).withColumn("id", F.monotonically_increasing_id()), "clustering-nodes")
+    own = not hasattr(edges, "written_to")
+    edges = written(edges, "clustering-edges") if own else edges
+    pairs = edges.where("src <> dst")
     n_pairs = pairs.count()
     p = max(4 if n_pairs > SOME_PAIRS else 1, math.ceil(math.sqrt(6 * n_pairs / task_pairs)))
-    ids = degree.select("node", F.struct(F.pmod(F.xxhash64("id"), F.lit(p)).cast("int").alias("g"), "id").alias("n"))
-    told = pairs.join(ids.toDF("a", "n_a"), "a").join(ids.toDF("b", "n_b"), "b").select(F.least("n_a", "n_b").alias("n1"), F.greatest("n_a", "n_b").alias("n2"), "w")
-    sent = told.select("n1", "n2", "w", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("other"))
-    triple = F.array_sort(F.array("n1.g", "n2.g", "other"))
-    sent = sent.select(*[F.get(triple, F.lit(c)).alias(f"g{c}") for c in range(3)], F.lit(p).alias("p"), F.col("n1.id").alias("u"), F.col("n2.id").alias("v"), (F.col("n1.g") * p + F.col("n2.g")).alias("g"), "w")
-    corners = sent.groupBy("g0", "g1", "g2", "p").applyInArrow(_corners(weighted), "u long, t double").groupBy(F.col("u").alias("id")).agg(F.sum("t").alias("t"))
-    top = pairs.agg(F.max("w").alias("top"))
-    share = F.when(F.col("d") > 1, F.round(2 * F.coalesce(F.col("t") / F.col("top"), F.lit(0)) / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(0.0)
-    return degree.join(corners, "id", "left").join(F.broadcast(top)).select("node", share.alias("clustering"))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.pmod(F.xxhash64("node"), F.lit(p)).cast("int").alias("g"))
+    nodes = written(ends.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("node")) - 1), "clustering-nodes")
+    at = nodes.select("node", F.struct("g", "place").alias("n"))
+    told = pairs.join(at.toDF("src", "n_src"), "src").join(at.toDF("dst", "n_dst"), "dst").select(F.least("n_src", "n_dst").alias("n1"), F.greatest("n_src", "n_dst").alias("n2"), F.col("weight").cast("double").alias("w"))
+    told = told.select(F.col("n1.g").alias("g1"), F.col("n2.g").alias("g2"), (F.shiftleft(F.col("n1.place").cast("long"), 32) + F.col("n2.place")).alias("xy"), *["w"] * weighted)
+    blocks = written(told.groupBy("g1", "g2").applyInArrow(_block, "g1 int, g2 int, xs binary, xc binary, ys binary, w binary, ends binary, ec binary"), "clustering-blocks", parts=min(p * (p + 1), MOST_PARTS))
+    top = pairs.agg(F.max("weight").cast("double")).first()[0] if weighted else 1.0
+    if own:
+        forget(edges)
+    rounds = -(-p // SENT_COPIES)
+    triple = F.array_sort(F.array("g1", "g2", "other"))
+    sent = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))).select(*[F.get(triple, F.lit(c)).alias(f"i{c}") for c in range(3)], "g1", "g2", "xs", "xc", "ys", "w")
+    counted = blocks.select(F.explode(F.array(F.struct(F.col("g1").alias("g"), F.col("xs").alias("places"), F.col("xc").alias("d")), F.struct(F.col("g2").alias("g"), F.col("ends").alias("places"), F.col("ec").alias("d")))).alias("x")).select("x.*", F.lit(None).cast("binary").alias("t"))
+    for i in range(rounds):
+        now = sent.where((F.col("i0") + F.col("i1") + F.col("i2")) % rounds == i)
+        corners = written(now.groupBy("i0", "i1", "i2").applyInArrow(_corners(weighted), "g int, places binary, t binary"), "clustering-corners", parts=max(1, min(p * (p + 1) * (p + 2) // 3 // rounds, MOST_PARTS)))
+        counted = counted.unionByName(corners.withColumn("d", F.lit(None).cast("binary")))
+    shares = written(counted.groupBy("g").applyInArrow(_summed, "g int, place int, d long, t double"), "clustering-shares", parts=min(2 * p, MOST_PARTS))
+    forget(blocks)
+    share = F.when(F.col("d") > 1, F.round(2 * (F.col("t") / F.lit(top)) / (F.col("d") * (F.col("d") - 1)), 6)).otherwise(0.0)
+    return nodes.join(shares, ["g", "place"]).select("node", share.alias("clustering"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

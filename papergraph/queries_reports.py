@@ -52,7 +52,9 @@ def _suppliers(spark, sf_dir):
 
 
 def _network_report(spark, sf_dir):
-    return networks.network_report(written(_suppliers_by_order(spark, sf_dir), "network-edges"), _suppliers(spark, sf_dir), _suppliers(spark, sf_dir))
+    edges = _suppliers_by_order(spark, sf_dir)
+    edges = edges if hasattr(edges, "written_to") else written(edges, "network-edges")
+    return networks.network_report(edges, _suppliers(spark, sf_dir), _suppliers(spark, sf_dir))
 
 
 def _full_report(spark, sf_dir):

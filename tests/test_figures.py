@@ -95,6 +95,27 @@ def test_clustering_in_groups_against_brute_force(spark, monkeypatch, chunk):
         assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 2e-6 for v in want)
 
 
+def test_clustering_sends_few_bytes_for_a_pair(spark, monkeypatch):
+    tables, write = {}, networks.written
+    monkeypatch.setattr(networks, "written", lambda df, name, *args, **kw: tables.setdefault(name, []).append(write(df, name, *args, **kw)) or tables[name][-1])
+    monkeypatch.setattr(networks, "forget", lambda df: None)
+    rng = random.Random(5)
+    weights = {pair: rng.choice([1, 2, 70000, 2.5]) for pair in itertools.combinations(range(120), 2) if rng.random() < 0.6}
+    edges = spark.createDataFrame([(a, b, float(w)) for (a, b), w in weights.items()] + [(b, a, 0.5) for a, b in list(weights)[::3]] + [(3, 3, 9.0), (None, 4, 1.0)], "src long, dst long, weight double")
+    near = {}
+    for (a, b), w in weights.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    for weighted in (False, True):
+        got = {r.node: r.clustering for r in networks.clustering(edges, weighted, task_pairs=1200).collect()}
+        for v, ns in near.items():
+            sums = sum((ns[a] * ns[b] * near[a][b]) ** (1 / 3) / 70000 if weighted else 1 for a, b in itertools.combinations(ns, 2) if b in near[a])
+            assert got[v] == pytest.approx(2 * sums / (len(ns) * (len(ns) - 1)), abs=2e-6)
+        assert got.keys() == near.keys()
+    plain = tables["clustering-blocks"][0].collect()
+    assert sum(sum(len(r[c]) for c in ("xs", "xc", "ys")) for r in plain) < 4 * len(weights)
+    assert len(tables["clustering-corners"]) == 2 * 2  # two rounds of seven groups, plain and weighted: a block goes to four tasks at a time
+
+
 def test_mean_of_clustering_half_way_between_digits(spark):
     # two nodes have 0.666667, two 1, four 0
     edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("c", "d", 1), ("a", "d", 1)], "src string, dst string, weight long")
