@@ -165,3 +165,22 @@ def test_closeness_sketches_travel_in_slices_and_blocks(spark, monkeypatch):
     assert whole[5000] == round(300 / (n - 1), 6)  # neighbours are counted, not estimated
     exact = {r.node: r.closeness for r in knowledge.closeness(edges, nodes, 3000).collect()}
     assert all(abs(whole[v] - exact[v]) <= 0.1 * exact[v] + 1e-6 for v in exact)
+
+
+def test_sketches_of_derived_nodes_stay_in_their_block(spark, monkeypatch):
+    from papergraph.operators import sketches
+
+    sizes, write = {}, sketches.written
+
+    def counted(df, name, *args, **kw):
+        table = write(df, name, *args, **kw)
+        sizes.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(sketches, "written", counted)
+    edges = spark.createDataFrame([(i % 4, 100 + i) for i in range(80)] + [((i + 1) % 4, 100 + i) for i in range(40)], "src long, dst long")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    got = {r.node: r.closeness for r in knowledge.closeness_sketch(edges, nodes, 10).collect()}
+    assert set(sizes["closeness-state"]) == {4}  # the hubs, not the eighty leaves
+    exact = {r.node: r.closeness for r in knowledge.closeness(edges, nodes, 3000).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[v] - exact[v]) <= 0.1 * exact[v] for v in exact)
