@@ -76,3 +76,20 @@ def test_prompts_of_whole_questions(spark, tmp_path):
     spark.createDataFrame([(2, 0, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = f"Answer from the records below alone and cite their ids.\n\nRETRIEVED PAPERS:\nPMID:7 | Title\nTitle\nof zebrafish…\n\nUSER QUESTION: {start}on zebrafish"
     assert [tuple(r) for r in library.QUERIES["grounded_prompts"](spark, str(tmp_path)).collect()] == [(1, hashlib.sha256(want.encode()).hexdigest())]
+
+
+def test_nodes_of_gaps_without_their_pairs(spark, monkeypatch):
+    # a and b are alike, c shares three neighbours with them, d only two; e has no like
+    edges = spark.createDataFrame([(x, y) for x, ys in {"a": "1234", "b": "1234", "c": "123", "d": "12", "e": "9"}.items() for y in ys], "src string, dst string")
+    want = {v for r in gaps.structural_gaps(edges).collect() for v in (r.concept_a, r.concept_b)}
+    scores = gaps.structural_gaps(edges, adjusted=True)
+    assert {tuple(r) for r in scores.selectExpr("score", "adjusted_score").collect()} == {tuple(r) for r in gaps.structural_gaps(edges).selectExpr("score", "round(score * 1.5D, 4)").collect()}
+    whole = {r.node for r in gaps.gap_nodes(library.QUERIES["gap_report"](spark, SF)).collect()}
+
+    def never(*args, **kw):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(gaps, "_expanded", never)
+    assert {r.node for r in gaps.structural_nodes(edges).collect()} == want == {"a", "b", "c", "1", "2", "3"} | ({"4"} & want)
+    got = [r.node for r in library.QUERIES["gap_nodes"](spark, SF).collect()]
+    assert set(got) == whole and len(got) == len(whole)
